@@ -1,0 +1 @@
+"""Every input of this package is a bounded table; there is no streaming operator."""
