@@ -84,7 +84,7 @@ def clean_orders(
 
     The rows without copies are written once: the median and the result both read them.
     """
-    unique = keep_first(_typed(orders, date_format), key)
+    unique = keep_first(typed_orders(orders, date_format), key)
     if rating_policy == "median":
         unique = stage(unique, "clean-orders")
     return fill_missing(unique, rating_policy)
@@ -94,10 +94,10 @@ def clean_orders_fill_first(
     orders: DataFrame, key: Sequence[str] = DEDUP_KEY, date_format: str = "yyyy-MM-dd"
 ) -> DataFrame:
     """The variant of the charts: discounts are filled before copies are dropped."""
-    return keep_first(fill_missing(_typed(orders, date_format), "keep_null"), key)
+    return keep_first(fill_missing(typed_orders(orders, date_format), "keep_null"), key)
 
 
-def _typed(orders: DataFrame, date_format: str) -> DataFrame:
+def typed_orders(orders: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
     """Numbers, dates and labels; an unreadable date is an error."""
     text = {f.name for f in orders.schema.fields if f.dataType.typeName() == "string"}
     typed = coerce_numeric(orders, {c: to for c, to in ORDER_NUMBERS.items() if c in text})
@@ -137,7 +137,7 @@ def reconcile_orders(
     orders: DataFrame, products: DataFrame, key: Sequence[str] = DEDUP_KEY, hot: HotKeys | None = None
 ) -> DataFrame:
     """``reconcile`` for order rows that still need their price."""
-    valued = spread_join(_typed(orders, "yyyy-MM-dd"), products, "product_id", "left", hot).withColumn(
+    valued = spread_join(typed_orders(orders), products, "product_id", "left", hot).withColumn(
         "order_value", line_value(F.col("quantity"), F.col("price"), F.col("discount_pct"))
     )
     return reconcile(valued, "order_value", key)
