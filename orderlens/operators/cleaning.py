@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.coerce import to_number
 from orderlens.functions.labels import clean_label
-from orderlens.functions.money import line_value, money
+from orderlens.functions.money import money
 from orderlens.operators.quantiles import exact_quantiles
-from orderlens.operators.skew import HotKeys, spread_join
 from orderlens.schemas import DEDUP_KEY
 from orderlens.session import stage
 
@@ -31,16 +30,21 @@ def normalise_labels(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: clean_label(F.col(name)) for name in columns})
 
 
-def keep_first(df: DataFrame, key: Sequence[str] = DEDUP_KEY, order_by: str = "order_id") -> DataFrame:
+def keep_first(
+    df: DataFrame, key: Sequence[str] = DEDUP_KEY, order_by: str = "order_id", count_as: str | None = None
+) -> DataFrame:
     """One row per key, the one with the smallest ``order_by``; NULLs in the key are equal.
 
     The smallest row per key is an aggregate, so copies collapse before the shuffle and a
     key with very many copies costs one row per task. Rows that agree in key and
-    ``order_by`` are told apart by their other columns.
+    ``order_by`` are told apart by their other columns. ``count_as`` adds the number of
+    rows each kept row stands for.
     """
     rest = [c for c in df.columns if c not in key and c != order_by]
-    smallest = F.min(F.struct(order_by, *rest)).alias("_first")
-    return df.groupBy(*key).agg(smallest).select(*key, "_first.*").select(*df.columns)
+    counts = [F.count(F.lit(1)).alias(count_as)] if count_as else []
+    first = df.groupBy(*key).agg(F.min(F.struct(order_by, *rest)).alias("_first"), *counts)
+    extra = [count_as] if count_as else []
+    return first.select(*key, "_first.*", *extra).select(*df.columns, *extra)
 
 
 def removed_copies(df: DataFrame, key: Sequence[str] = DEDUP_KEY, order_by: str = "order_id") -> DataFrame:
@@ -133,11 +137,18 @@ def _per_key(orders: DataFrame, amount: str, key: Sequence[str], order_by: str)
     )
 
 
-def reconcile_orders(
-    orders: DataFrame, products: DataFrame, key: Sequence[str] = DEDUP_KEY, hot: HotKeys | None = None
-) -> DataFrame:
-    """``reconcile`` for order rows that still need their price."""
-    valued = spread_join(typed_orders(orders), products, "product_id", "left", hot).withColumn(
-        "order_value", line_value(F.col("quantity"), F.col("price"), F.col("discount_pct"))
+def reconcile_copies(valued: DataFrame, copies: str = "n_copies") -> DataFrame:
+    """``reconcile`` for kept rows that carry the number of rows they stand for.
+
+    Copies agree in quantity, discount and product, hence in value: the raw total needs no
+    second look at the raw rows.
+    """
+    value, n = F.col("order_value"), F.col(copies)
+    return valued.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("raw_rows"),
+        F.count(F.lit(1)).alias("clean_rows"),
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("removed_rows"),
+        F.coalesce(money(F.sum(value * n)), F.lit(0.0)).alias("raw_total"),
+        F.coalesce(money(F.sum(value)), F.lit(0.0)).alias("clean_total"),
+        F.coalesce(money(F.sum(value * (n - 1))), F.lit(0.0)).alias("delta"),
     )
-    return reconcile(valued, "order_value", key)

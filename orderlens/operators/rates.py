@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,59 +21,64 @@ def _returned() -> Column:
     return F.col("returned").cast("long")
 
 
+def rates_by_columns(cells: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """One rate table per column and one overall, stacked as ``(dimension, label, ...)``.
+
+    ``cells`` has one row per combination of the columns with ``n`` and ``n_returned``, so
+    the grouping sets expand a few combinations and not the orders. Rows without a label
+    are left out of that label's table.
+    """
+    sets = cells.groupingSets([[d] for d in dims] + [[]], *dims).agg(
+        F.sum("n").alias("orders"), F.sum("n_returned").alias("returned_orders"), F.grouping_id(*dims).alias("level")
+    )
+    everything = 2 ** len(dims) - 1
+    dimension = F.when(F.col("level") == everything, "all")
+    label = F.when(F.col("level") == everything, "all")
+    for i, d in enumerate(dims):
+        here = F.col("level") == everything - 2 ** (len(dims) - 1 - i)
+        dimension, label = dimension.when(here, d), label.when(here, F.col(d))
+    return sets.select(
+        dimension.alias("dimension"),
+        label.alias("label"),
+        "orders",
+        "returned_orders",
+        rate_pct(F.col("returned_orders"), F.col("orders")).alias("return_rate_pct"),
+    ).filter(F.col("label").isNotNull())
+
+
+def rate_cells(orders: DataFrame, dims: Sequence[str]) -> DataFrame:
+    return fold(orders, dims, n=_one(), n_returned=_returned())
+
+
 def rates_by_dimension(orders: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders and return rate per payment method, category, city and channel, and overall.
 
-    Customers and payment methods are folded first and then joined, so no single order row
-    is joined; the remaining cells are few and feed all groupings at once. Rows without a
-    label are left out of that label's table.
+    Customers and payment methods are folded first and then joined, and so are products:
+    no single order row is joined.
     """
-    per_customer = fold(orders, ["customer_id", "payment_method"], n=_one(), n_returned=_returned())
+    per_customer = rate_cells(orders, ["customer_id", "payment_method"])
     attributes = customers.select("customer_id", "city", "acquisition_source")
     dims = ["payment_method", "city", "acquisition_source"]
     cells = fold(
         per_customer.join(attributes, "customer_id", "left"), dims, n=F.col("n"), n_returned=F.col("n_returned")
     )
-    sets = cells.groupingSets([["payment_method"], ["city"], ["acquisition_source"], []], *dims).agg(
-        F.sum("n").alias("n"), F.sum("n_returned").alias("n_returned"), F.grouping_id(*dims).alias("level")
-    )
-    level = F.col("level")
-    by_customer = sets.select(
-        F.when(level == 3, "payment_method")
-        .when(level == 5, "city")
-        .when(level == 6, "acquisition_source")
-        .otherwise("all")
-        .alias("dimension"),
-        F.when(level == 7, "all").otherwise(F.coalesce(*dims)).alias("label"),
-        "n",
-        "n_returned",
-    )
-    per_product = fold(orders, ["product_id"], n=_one(), n_returned=_returned())
-    by_category = (
-        per_product.join(products.select("product_id", "category"), "product_id")
-        .groupBy(F.lit("category").alias("dimension"), F.col("category").alias("label"))
-        .agg(F.sum("n").alias("n"), F.sum("n_returned").alias("n_returned"))
-    )
-    return (
-        by_customer.unionByName(by_category)
-        .filter(F.col("label").isNotNull())
-        .select(
-            "dimension",
-            "label",
-            F.col("n").alias("orders"),
-            F.col("n_returned").alias("returned_orders"),
-            rate_pct(F.col("n_returned"), F.col("n")).alias("return_rate_pct"),
-        )
+    per_product = rate_cells(orders, ["product_id"]).join(products.select("product_id", "category"), "product_id")
+    by_category = rates_by_columns(
+        fold(per_product, ["category"], n=F.col("n"), n_returned=F.col("n_returned")), ["category"]
     )
+    return rates_by_columns(cells, dims).unionByName(by_category.filter(F.col("dimension") == "category"))
 
 
 def risk_segments(orders: DataFrame, customers: DataFrame, payment_method: str | None = None) -> DataFrame:
     """Orders and return rate per payment method and city tier, worst first."""
     rows = orders if payment_method is None else orders.filter(F.col("payment_method") == payment_method)
-    per_customer = fold(rows, ["customer_id", "payment_method"], n=_one(), n_returned=_returned())
+    per_customer = rate_cells(rows, ["customer_id", "payment_method"])
+    return rank_risk(per_customer.join(customers.select("customer_id", "city_tier"), "customer_id", "left"))
+
+
+def rank_risk(cells: DataFrame) -> DataFrame:
     return (
-        per_customer.join(customers.select("customer_id", "city_tier"), "customer_id", "left")
-        .filter(F.col("payment_method").isNotNull() & F.col("city_tier").isNotNull())
+        cells.filter(F.col("payment_method").isNotNull() & F.col("city_tier").isNotNull())
         .groupBy("payment_method", "city_tier")
         .agg(
             F.sum("n").alias("orders"),
@@ -95,9 +102,18 @@ def rating_contrast(orders: DataFrame) -> DataFrame:
 def worst_product(orders: DataFrame, products: DataFrame) -> DataFrame:
     """The product whose returned orders were worth the most; the smaller key wins a tie."""
     returned = orders.filter(F.col("returned") == 1)
+    return _largest_loss(price_fold(fold_by_product(returned), products))
+
+
+def worst_valued_product(valued: DataFrame) -> DataFrame:
+    """``worst_product`` for rows that have their product and value already."""
+    returned = valued.filter((F.col("returned") == 1) & F.col("product_name").isNotNull())
+    return _largest_loss(fold(returned, ["product_id", "product_name"], amount=F.col("order_value")))
+
+
+def _largest_loss(totals: DataFrame) -> DataFrame:
     return (
-        price_fold(fold_by_product(returned), products)
-        .select("product_id", "product_name", money(F.col("amount")).alias("revenue_lost"))
+        totals.select("product_id", "product_name", money(F.col("amount")).alias("revenue_lost"))
         .orderBy(F.desc("revenue_lost"), "product_id")
         .limit(1)
     )

@@ -176,6 +176,201 @@ def _join_rows(fact: str, dim: str, fact_key: str, dim_key: str) -> str:
     )
 
 
+CLEAN = f"""with {LINES}, {HEADERS}, {CUSTOMERS}, {PRODUCTS},
+raw as (
+  select order_id || '-' || arrival as order_id, customer_id, product_id, order_date, quantity, discount_pct,
+         upper(trim(case when arrival = 1 then lower(payment_method) else payment_method end)) as payment_method,
+         rating, returned
+  from lines join headers using (order_key), (values (0), (1)) as arrivals(arrival)
+  where arrival = 0 or (rating is null and quantity % 2 = 0)),
+ranked as (
+  select *, count(*) over (partition by {COPY_KEY}) as n_copies,
+         row_number() over (partition by {COPY_KEY} order by order_id, rating nulls first, returned) as rn
+  from raw),
+kept as (select * exclude (rn) from ranked where rn = 1),
+q as (select quantile_cont(quantity, 0.25) as q1, quantile_cont(quantity, 0.75) as q3 from kept),
+fences as (select q1, q3, q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from q),
+f as (
+  select kept.* replace (coalesce(discount_pct, 0) as discount_pct,
+                         coalesce(rating, (select median(rating) from kept)) as rating),
+         product_name, category, city, city_tier, acquisition_source, {VALUE} as order_value,
+         strftime(order_date, '%Y-%m') as month, (quantity < lo or quantity > hi) as is_outlier
+  from kept left join products using (product_id) left join customers using (customer_id), fences)
+"""
+
+_SUM = "cast(round(sum({}), 2) as double)"
+_PEAK_ALL = "select round(sum(order_value), 2) as v from f group by month order by v desc, month limit 1"
+_PEAK_KEPT = _PEAK_ALL.replace("from f", "from f where not is_outlier")
+
+
+def _leaf(path: str, value: str, tail: str = "from f") -> str:
+    return f"select '{path}' as path, cast({value} as double) as value {tail}"
+
+
+def _leaves_by(column: str) -> str:
+    prefix = f"'returns.by_{column}.' || {column}"
+    return (
+        f"select {prefix} || '.orders' as path, cast(count(*) as double) as value from f group by {column}"
+        f" union all select {prefix} || '.return_rate_pct', {RATE} from f group by {column}"
+    )
+
+
+METRICS = (
+    CLEAN
+    + """, worst as (
+  select payment_method, city_tier, count(*) as n, """
+    + RATE
+    + """ as rate from f group by 1, 2 order by rate desc, payment_method, city_tier limit 1),
+people as (
+  select case when s <= 900000 then 'low' when s <= 1100000 then 'mid' else 'high' end as tier, count(*) as n
+  from (select customer_id, sum(order_value) as s from f group by 1) group by 1),
+leaves as ("""
+    + " union all ".join(
+        [
+            _leaf("data.raw_orders", "sum(n_copies)"),
+            _leaf("data.clean_orders", "count(*)"),
+            _leaf("data.duplicates_removed", "sum(n_copies - 1)"),
+            _leaf("data.customers", "count(distinct customer_id)"),
+            _leaf("data.products", "count(distinct product_id)"),
+            _leaf("revenue.raw_total_inr", _SUM.format("order_value * cast(n_copies as decimal(9,0))")),
+            _leaf("revenue.clean_total_inr", _SUM.format("order_value")),
+            _leaf("revenue.duplicate_delta_inr", _SUM.format("order_value * cast(n_copies - 1 as decimal(9,0))")),
+            _leaf("revenue.avg_order_value_inr", AOV),
+            _leaf("returns.overall_rate_pct", RATE),
+            _leaf("returns.returned_orders", "sum(returned)"),
+            *[_leaves_by(c) for c in ("payment_method", "category", "city", "acquisition_source")],
+            _leaf(
+                "returns.worst_product_by_revenue_lost.revenue_lost_inr",
+                "v",
+                "from (select round(sum(order_value), 2) as v from f where returned = 1 group by product_id"
+                " order by v desc limit 1)",
+            ),
+            _leaf("highest_risk_segment.city_tier", "city_tier", "from worst"),
+            _leaf("highest_risk_segment.orders", "n", "from worst"),
+            _leaf("highest_risk_segment.return_rate_pct", "rate", "from worst"),
+            _leaf("outliers.q1", "q1", "from fences"),
+            _leaf("outliers.q3", "q3", "from fences"),
+            _leaf("outliers.upper_fence", "hi", "from fences"),
+            _leaf("outliers.flagged_rows", "count(*) filter (where is_outlier)"),
+            _leaf("outliers.peak_month_all_orders.revenue_inr", "v", f"from ({_PEAK_ALL})"),
+            _leaf("outliers.peak_month_without_outliers.revenue_inr", "v", f"from ({_PEAK_KEPT})"),
+            _leaf("correlations.discount_vs_returned", "round(corr(discount_pct, returned), 3)"),
+            _leaf("correlations.rating_vs_returned", "round(corr(rating, returned), 3)"),
+            _leaf("correlations.quantity_vs_returned", "round(corr(quantity, returned), 3)"),
+            f"select 'monthly.' || month, {REVENUE} from f where not is_outlier group by month",
+            *[
+                _leaf(f"segment_summary.{t}_value_customers", f"coalesce(sum(n) filter (where tier = '{t}'), 0)", "from people")
+                for t in ("low", "mid", "high")
+            ],
+        ]
+    )
+    + ")"
+)
+
+
+def _figures(subject: str, name: str) -> str:
+    """CTE ``name`` with the brief figures per value of the expression ``subject``."""
+    base = f"(select f.*, {subject} as subject from f)"
+    return f"""{name} as (
+  select * from (
+    select subject, count(*) as orders, strftime(min(order_date), '%Y-%m-%d') as first_day,
+      strftime(max(order_date), '%Y-%m-%d') as last_day, {REVENUE} as revenue, {AOV} as avg_order_value,
+      {RATE} as return_rate_pct, {_SUM.format("order_value * cast(n_copies as decimal(9,0))")} as raw_revenue,
+      {_SUM.format("order_value * cast(n_copies - 1 as decimal(9,0))")} as duplicate_delta
+    from {base} group by 1)
+  join (
+    select subject, first(payment_method order by rate desc, payment_method) as worst_payment,
+      max(rate) as worst_rate_pct, first(payment_method order by rate, payment_method) as best_payment,
+      min(rate) as best_rate_pct
+    from (select subject, payment_method, {RATE} as rate from {base} group by 1, 2) group by 1) using (subject)
+  join (
+    select subject, first(payment_method order by rate desc, payment_method, city_tier) as risk_payment,
+      first(city_tier order by rate desc, payment_method, city_tier) as risk_tier, max(rate) as risk_rate_pct
+    from (select subject, payment_method, city_tier, {RATE} as rate from {base} group by 1, 2, 3)
+    group by 1) using (subject)
+  join (
+    select subject, first(month order by v desc, month) as peak_month, max(v) as peak_revenue
+    from (select subject, month, {REVENUE} as v from {base} where not is_outlier group by 1, 2)
+    group by 1) using (subject)
+  join (
+    select subject, first(product_id order by v desc, product_id) as lost_product_id,
+      first(product_name order by v desc, product_id) as lost_product, max(v) as lost_revenue
+    from (select subject, product_id, product_name, {REVENUE} as v from {base} where returned = 1 group by 1, 2, 3)
+    group by 1) using (subject))"""
+
+
+def _inr(column: str) -> str:
+    return f"'INR ' || format('{{:,.2f}}', {column})"
+
+
+BRIEF = f"""
+  'SITUATION' || chr(10) || subject || ': ' || orders || ' clean orders from ' || first_day || ' to ' || last_day
+  || ' brought in ' || {_inr("revenue")} || ', on average ' || {_inr("avg_order_value")} || ' per order. '
+  || return_rate_pct || '% of them were returned.' || chr(10) || chr(10) || 'COMPLICATION' || chr(10)
+  || 'Returns differ by payment method: ' || worst_payment || ' stands at ' || worst_rate_pct || '% and '
+  || best_payment || ' at ' || best_rate_pct || '%. The riskiest combination is ' || risk_payment || ' in tier '
+  || risk_tier || ' cities with ' || risk_rate_pct || '%. Copies had raised raw revenue to '
+  || {_inr("raw_revenue")} || ', which is ' || {_inr("duplicate_delta")}
+  || ' too much. Without outliers the best month was ' || peak_month || ' with ' || {_inr("peak_revenue")} || '.'
+  || chr(10) || chr(10) || 'RESOLUTION' || chr(10) || '1. Confirm ' || worst_payment
+  || ' orders before they ship, first in tier ' || risk_tier || ' cities.' || chr(10)
+  || '2. Reward customers who pay by ' || best_payment || '.' || chr(10) || '3. Review ' || lost_product || ' ('
+  || lost_product_id || '), whose returned orders were worth ' || {_inr("lost_revenue")} || '.' || chr(10)
+  || '4. Plan with figures that are free of copies and flagged for outliers.'"""
+
+BRIEFS = f"{_figures('city', 'cities')}, briefs as (select subject as text_id, {BRIEF} as text from cities)"
+
+DATE, MONTH, NUMBER = (
+    r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}",
+    r"\p{Nd}{4}-\p{Nd}{2}",
+    r"\p{Nd}[\p{Nd},]*\.?\p{Nd}*",
+)
+TOKENS = (
+    "list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text,"
+    f" '{DATE}', ' DATE ', 'g'), '{MONTH}', ' MONTH ', 'g'), '{NUMBER}'), lambda x: replace(x, ',', '')))"
+)
+FORMS = "[replace(format('{:,.2f}', value), ',', ''), replace(format('{:,.0f}', value), ',', ''), cast(value as varchar)]"
+
+HEADLINE = {
+    "data.clean_orders": "Clean orders",
+    "revenue.clean_total_inr": "Total revenue (clean)",
+    "revenue.avg_order_value_inr": "Average order value",
+    "revenue.duplicate_delta_inr": "Duplicate delta",
+    "returns.overall_rate_pct": "Overall return rate %",
+    "highest_risk_segment.return_rate_pct": "Highest-risk segment %",
+    "highest_risk_segment.city_tier": "Highest-risk tier",
+    "outliers.peak_month_without_outliers.revenue_inr": "Peak month revenue",
+}
+
+FACT_CHECK = (
+    METRICS
+    + f""", {BRIEFS}, {_figures("'The company'", "companies")},
+texts as (
+  select 'doc-' || doc_id as text_id, text from documents
+  union all select text_id, text from briefs
+  union all select subject, {BRIEF} from companies),
+tokens as (select text_id, {TOKENS} as tokens from texts),
+headline as (
+  select label, {FORMS} as forms from leaves
+  join (values {", ".join(f"('{p}', '{label}')" for p, label in HEADLINE.items())}) as h(path, label) using (path)),
+checked as (select text_id, label, list_has_any(tokens, forms) as ok, len(tokens) as numbers from tokens, headline)
+"""
+)
+
+OWN_FIGURES = " union all ".join(
+    f"select subject as text_id, '{label}' as label, cast({column} as double) as value from cities"
+    for label, column in (
+        ("Total revenue (clean)", "revenue"),
+        ("Average order value", "avg_order_value"),
+        ("Overall return rate %", "return_rate_pct"),
+        ("Worst payment rate %", "worst_rate_pct"),
+        ("Highest-risk segment %", "risk_rate_pct"),
+        ("Duplicate delta", "duplicate_delta"),
+        ("Peak month revenue", "peak_revenue"),
+    )
+)
+
+
 ORACLE: dict[str, str] = {
     "report1_headline": FACT
     + f"""select {ORDERS} as total_orders, cast(count(distinct customer_id) as bigint) as customers,
@@ -383,4 +578,21 @@ ORACLE: dict[str, str] = {
     select payment_method, return_rate_pct, (select {RATE} from fact) as overall_rate_pct,
       return_rate_pct = (select max(return_rate_pct) from rates) as is_highest from rates""",
     "chart_monthly_revenue": FACT + f"select month, {REVENUE} as revenue from fact group by 1",
+    "findings_metrics": METRICS + "select * from leaves",
+    "narrative_render": CLEAN + f", {BRIEFS} select text_id, text from briefs",
+    "fact_check_headline": FACT_CHECK + "select text_id, label, ok from checked",
+    "fact_check_score": FACT_CHECK
+    + """select text_id, cast(count(*) filter (where ok) as bigint) as matched, cast(count(*) as bigint) as total,
+       cast(max(numbers) as bigint) as numbers from checked group by 1""",
+    "fact_check_unsupported": FACT_CHECK
+    + f""", allowed as (select unnest({FORMS}) as token from leaves)
+    select text_id, token from (select text_id, unnest(tokens) as token from tokens)
+    where length(token) > 2
+      and not (regexp_full_match(token, '[0-9]{{4}}') and coalesce(try_cast(token as integer), 0) between 2000 and 2099)
+      and token not in (select token from allowed)""",
+    "fact_check_briefs": CLEAN
+    + f""", {BRIEFS}, own as ({OWN_FIGURES})
+    select text_id, label, list_has_any({TOKENS}, {FORMS}) as ok from briefs join own using (text_id)""",
+    "text_word_count": "select doc_id, cast(len(list_filter(string_split_regex(text, "
+    f"'{SPACES}+'), lambda w: w <> '')) as bigint) as words from documents",
 }

@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.functions.leaves import numeric_leaves
 from orderlens.functions.money import money
-from orderlens.operators import cleaning, correlation, enrich, outliers, quality, rates, segments
-from orderlens.plans import charts, reports
+from orderlens.functions.text import word_count
+from orderlens.operators import cleaning, correlation, enrich, factcheck, outliers, quality, rates, segments
+from orderlens.plans import briefs, charts, findings, reports
 from orderlens.session import shared_dir
 from orderlens.sources import benchmark_tables as bench
 from orderlens.sources.tables import read_table, write_table
@@ -455,3 +457,104 @@ def chart_rate_by_payment(spark, folder):
 @query
 def chart_monthly_revenue(spark, folder):
     return charts.monthly_revenue(_orders(spark, folder), _products(spark, folder))
+
+
+# Findings, briefs and the check of numbers in texts
+
+# Figures of the findings that a text is expected to state.
+HEADLINE_PATHS = {
+    "data.clean_orders": "Clean orders",
+    "revenue.clean_total_inr": "Total revenue (clean)",
+    "revenue.avg_order_value_inr": "Average order value",
+    "revenue.duplicate_delta_inr": "Duplicate delta",
+    "returns.overall_rate_pct": "Overall return rate %",
+    "highest_risk_segment.return_rate_pct": "Highest-risk segment %",
+    "highest_risk_segment.city_tier": "Highest-risk tier",
+    "outliers.peak_month_without_outliers.revenue_inr": "Peak month revenue",
+}
+
+
+def _analysis(spark, folder):
+    return findings.analyse(
+        bench.retail_raw(spark, folder),
+        _products(spark, folder),
+        _customers(spark, folder),
+        hot_products=_hot_products(spark, folder),
+        hot_customers=_hot_customers(spark, folder),
+    )
+
+
+def _document(analysis):
+    return findings.findings_document(analysis, ["lineitem", "orders", "part", "customer"], BENCHMARK_TIERS)
+
+
+def _headline(figures):
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in HEADLINE_PATHS.items() for x in pair]), F.col("path"))
+    return figures.filter(F.col("path").isin(*HEADLINE_PATHS)).select(label.alias("label"), "value")
+
+
+def _city_figures(analysis):
+    return briefs.brief_figures(analysis.orders, "city")
+
+
+def _company_figures(analysis):
+    return briefs.brief_figures(analysis.orders.withColumn("company", F.lit("The company")), "company")
+
+
+def _texts(spark, folder, analysis):
+    """All documents, the brief of each city and the brief of the company."""
+    documents = bench.table(spark, folder, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("text_id"), "text")
+    return documents.unionByName(briefs.render_briefs(_city_figures(analysis), "city")).unionByName(
+        briefs.render_briefs(_company_figures(analysis), "company")
+    )
+
+
+@query
+def findings_document(spark, folder):
+    document = _document(_analysis(spark, folder))
+    return document.select(F.to_json(F.struct(*document.columns)).alias("document"))
+
+
+@query
+def findings_metrics(spark, folder):
+    return numeric_leaves(_document(_analysis(spark, folder)))
+
+
+@query
+def narrative_render(spark, folder):
+    return briefs.render_briefs(_city_figures(_analysis(spark, folder)), "city")
+
+
+@query
+def fact_check_headline(spark, folder):
+    analysis = _analysis(spark, folder)
+    figures = numeric_leaves(_document(analysis))
+    return factcheck.headline_check(_texts(spark, folder, analysis), _headline(figures))
+
+
+@query
+def fact_check_score(spark, folder):
+    analysis = _analysis(spark, folder)
+    figures = numeric_leaves(_document(analysis))
+    return factcheck.headline_score(_texts(spark, folder, analysis), _headline(figures))
+
+
+@query
+def fact_check_unsupported(spark, folder):
+    analysis = _analysis(spark, folder)
+    figures = numeric_leaves(_document(analysis))
+    return factcheck.unsupported_numbers(_texts(spark, folder, analysis), figures)
+
+
+@query
+def fact_check_briefs(spark, folder):
+    """Each city's brief against that city's own figures."""
+    figures = _city_figures(_analysis(spark, folder))
+    return factcheck.own_figures_check(
+        briefs.render_briefs(figures, "city"), briefs.stated_figures(figures, "city")
+    )
+
+
+@query
+def text_word_count(spark, folder):
+    return bench.table(spark, folder, "documents").select("doc_id", word_count(F.col("text")).alias("words"))

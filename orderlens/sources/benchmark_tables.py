@@ -14,8 +14,23 @@ from orderlens.functions.money import PRICE
 from orderlens.operators.skew import HotKeys, hot_keys, spread_join
 
 
+# Declared, so that reading a table starts no job to infer its schema.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 _HOT: dict[tuple[str, str, str, str], HotKeys] = {}
@@ -71,6 +86,29 @@ def retail_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def retail_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw order rows with later copies: unrated lines of an even quantity arrive twice,
+    the copy with another spelling of its payment method."""
+    twice = F.col("rating").isNull() & (F.col("quantity") % 2 == 0)
+    arrivals = F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    method = F.when(F.col("arrival") == 1, F.lower("payment_method")).otherwise(F.col("payment_method"))
+    return (
+        retail_orders(spark, folder)
+        .withColumn("arrival", F.explode(arrivals))
+        .select(
+            F.concat_ws("-", "order_id", "arrival").alias("order_id"),
+            "customer_id",
+            "product_id",
+            "order_date",
+            "quantity",
+            "discount_pct",
+            method.alias("payment_method"),
+            "rating",
+            "returned",
+        )
+    )
+
+
 def retail_products(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"),
