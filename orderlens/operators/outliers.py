@@ -18,8 +18,11 @@ class Fences(NamedTuple):
 
 
 def iqr_fences(df: DataFrame, column: str, factor: float = 1.5) -> Fences:
-    q1, q3 = exact_quantiles(df, column, [0.25, 0.75])
-    if q1 is None:
+    return fences_of(*exact_quantiles(df, column, [0.25, 0.75]), factor)
+
+
+def fences_of(q1: float | None, q3: float | None, factor: float = 1.5) -> Fences:
+    if q1 is None or q3 is None:
         return Fences(None, None, None, None)
     return Fences(q1, q3, q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
 

@@ -8,7 +8,7 @@ table, and brings two rows per quantile to the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,26 +20,47 @@ SKETCH_ACCURACY = 10_000
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
     """Quantiles with linear interpolation; NULL and NaN are left out."""
-    value = F.col(column).cast("double")
-    values = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    return quantiles_of(df, {column: probabilities})[column]
+
+
+def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """``exact_quantiles`` for several columns; the columns share the first two passes."""
+    values = df.select(
+        *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in wanted]
+    )
     slack = 2 / SKETCH_ACCURACY
-    edges = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
-    seen = values.agg(
-        F.count("v").alias("n"),
-        F.approx_count_distinct("v").alias("distinct"),
-        F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edges"),
-    ).first()
-    if not seen["n"]:
-        return [None] * len(probabilities)
-    if seen["distinct"] <= SMALL_DOMAIN:
+    sketches = []
+    for c, probabilities in wanted.items():
+        edges = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
+        sketches.append(
+            F.struct(
+                F.count(c).alias("n"),
+                F.approx_count_distinct(c).alias("distinct"),
+                F.percentile_approx(c, edges, SKETCH_ACCURACY).alias("edges"),
+            ).alias(c)
+        )
+    seen = values.agg(*sketches).first()
+    small = [c for c in wanted if seen[c]["n"] and seen[c]["distinct"] <= SMALL_DOMAIN]
+    result: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in wanted}
+    if small:
         # One counter per distinct value fits any task.
-        return list(values.agg(F.percentile("v", list(probabilities))).first()[0])
+        exact = values.agg(*[F.percentile(c, list(wanted[c])).alias(c) for c in small]).first()
+        result.update({c: list(exact[c]) for c in small})
+    for c in wanted:
+        if seen[c]["n"] and c not in small:
+            one = values.select(F.col(c).alias("v")).filter("v IS NOT NULL")
+            result[c] = _by_histograms(one, wanted[c], seen[c]["n"], seen[c]["edges"])
+    return result
+
 
-    positions = [p * (seen["n"] - 1) for p in probabilities]
+def _by_histograms(
+    values: DataFrame, probabilities: Sequence[float], n: int, edges: Sequence[float]
+) -> list[float | None]:
+    positions = [p * (n - 1) for p in probabilities]
     brackets: dict[int, tuple[float, float]] = {}
     for i, position in enumerate(positions):
         for rank in (math.floor(position), math.ceil(position)):
-            brackets[rank] = (seen["edges"][2 * i], seen["edges"][2 * i + 1])
+            brackets[rank] = (edges[2 * i], edges[2 * i + 1])
     found: dict[int, float] = {}
     while brackets:
         for rank, (low, high) in _narrow(values, brackets).items():

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.labels import SPEND_TIERS, spend_tier
-from orderlens.functions.money import mean_money, rate_pct
-from orderlens.operators.cleaning import fill_missing, keep_first, reconcile_copies, typed_orders
+from orderlens.functions.money import mean_money, money, rate_pct
+from orderlens.operators.cleaning import fill_missing, keep_first, typed_orders
 from orderlens.operators.correlation import correlation_matrix
 from orderlens.operators.enrich import enrich_orders
-from orderlens.operators.outliers import Fences, flag_outliers, iqr_fences
+from orderlens.operators.outliers import Fences, fences_of, flag_outliers
+from orderlens.operators.quantiles import quantiles_of
 from orderlens.operators.rates import (
-    peak,
     rank_risk,
     rate_cells,
     rates_by_columns,
@@ -72,8 +72,9 @@ def analyse(
     unique = keep_first(typed_orders(raw_orders), key, count_as="n_copies")
     enriched = enrich_orders(unique, products, customers, hot_products, hot_customers)
     stored = stage(enriched.select(*KEPT_COLUMNS), "enriched-orders")
-    fences = iqr_fences(stored, "quantity")
-    return Analysis(flag_outliers(fill_missing(stored), "quantity", fences), fences)
+    known = quantiles_of(stored, {"quantity": [0.25, 0.75], "rating": [0.5]})
+    fences = fences_of(*known["quantity"])
+    return Analysis(flag_outliers(fill_missing(stored, median=known["rating"][0]), "quantity", fences), fences)
 
 
 def findings_document(
@@ -93,14 +94,22 @@ def findings_document(
     matrix = correlation_matrix(orders, ("quantity", "discount_pct", "rating", "returned"))
     with_returned = matrix.filter((F.col("var_y") == "returned") & (F.col("var_x") != "returned"))
     tier = spend_tier(F.col("amount"), tiers)
+    value, copies = F.col("order_value"), F.col("n_copies")
     totals = orders.agg(
         F.count(F.lit(1)).alias("n"),
+        F.sum(copies).alias("n_raw"),
         F.sum(F.col("returned").cast("long")).alias("n_returned"),
-        F.sum("order_value").alias("amount"),
+        F.coalesce(F.sum(value), F.lit(0)).alias("amount"),
+        F.coalesce(F.sum(value * copies), F.lit(0)).alias("amount_raw"),
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
         F.count_if("is_outlier").alias("flagged"),
     )
+    by_month = monthly.agg(
+        _map(F.col("month"), F.col("revenue_without_outliers"), "kept"),
+        _peak("revenue_all_orders").alias("peak_all"),
+        _peak("revenue_without_outliers").alias("peak_kept"),
+    )
     # One-row parts, each evaluated once and read by several fields below.
     parts = totals.withColumns(
         {
@@ -112,12 +121,9 @@ def findings_document(
                     ]
                 )
             ),
-            "money": _row(reconcile_copies(orders)),
             "worst": _row(worst_valued_product(orders)),
             "risk": _row(rank_risk(rate_cells(orders, ["payment_method", "city_tier"])).limit(1)),
-            "by_month": monthly.agg(_map(F.col("month"), F.col("revenue_without_outliers"), "by_month")).scalar(),
-            "peak_all": _peak(monthly, "revenue_all_orders"),
-            "peak_kept": _peak(monthly, "revenue_without_outliers"),
+            "months": _row(by_month),
             "r": _row(
                 with_returned.agg(
                     *[
@@ -141,17 +147,17 @@ def findings_document(
     document = parts.select(
         F.struct(
             F.array(*[F.lit(f) for f in source_files]).cast("array<string>").alias("source_files"),
-            F.col("money.raw_rows").alias("raw_orders"),
+            F.col("n_raw").alias("raw_orders"),
             n.alias("clean_orders"),
-            F.col("money.removed_rows").alias("duplicates_removed"),
+            (F.col("n_raw") - n).alias("duplicates_removed"),
             F.col("people.all").alias("customers"),
             F.col("n_products").alias("products"),
             F.struct(_iso("first").alias("from"), _iso("last").alias("to")).alias("period"),
         ).alias("data"),
         F.struct(
-            F.col("money.raw_total").alias("raw_total_inr"),
-            F.col("money.clean_total").alias("clean_total_inr"),
-            F.col("money.delta").alias("duplicate_delta_inr"),
+            money(F.col("amount_raw")).alias("raw_total_inr"),
+            money(F.col("amount")).alias("clean_total_inr"),
+            money(F.col("amount_raw") - F.col("amount")).alias("duplicate_delta_inr"),
             mean_money(F.col("amount"), n).alias("avg_order_value_inr"),
         ).alias("revenue"),
         F.struct(
@@ -173,8 +179,8 @@ def findings_document(
             F.col("flagged").alias("flagged_rows"),
             "order_ids",
             F.lit("flagged only, never dropped").alias("handling"),
-            F.col("peak_all").alias("peak_month_all_orders"),
-            F.col("peak_kept").alias("peak_month_without_outliers"),
+            F.col("months.peak_all").alias("peak_month_all_orders"),
+            F.col("months.peak_kept").alias("peak_month_without_outliers"),
         ).alias("outliers"),
         F.struct(
             F.col("r.discount_pct").alias("discount_vs_returned"),
@@ -182,7 +188,7 @@ def findings_document(
             F.col("r.quantity").alias("quantity_vs_returned"),
             F.when(F.col("r.strongest") < 0.15, WEAK_NOTE).otherwise(NOTABLE_NOTE).alias("note"),
         ).alias("correlations"),
-        F.col("by_month").alias("monthly"),
+        F.col("months.kept").alias("monthly"),
         F.struct(
             *[F.col("people")[t].alias(f"{t.split()[0].lower()}_value_customers") for t in SPEND_TIERS]
         ).alias("segment_summary"),
@@ -205,12 +211,19 @@ def _iso(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
-def _peak(monthly: DataFrame, amount: str) -> Column:
-    return _row(peak(monthly, amount).withColumnRenamed(amount, "revenue_inr"))
+def _peak(amount: str) -> Column:
+    """The month with the largest amount, the earliest of equals; for rows of a trend."""
+    ranked = F.struct((-F.col(amount)).alias("order"), "month", F.col(amount).alias("revenue_inr"))
+    best = F.min(F.when(F.col(amount).isNotNull(), ranked))
+    return F.struct(best["month"].alias("month"), best["revenue_inr"].alias("revenue_inr"))
 
 
 def _outlier_ids(orders: DataFrame, inline_ids: int) -> Column:
+    """All flagged ids in order, or NULL if there are more than ``inline_ids``."""
     ids = orders.filter("is_outlier").select(F.col("order_id").cast("string").alias("order_id"))
-    if ids.limit(inline_ids + 1).count() > inline_ids:
-        return F.lit(None).cast("array<string>")
-    return ids.agg(F.array_sort(F.collect_list("order_id")).alias("ids")).scalar()
+    some = F.array_sort(F.collect_list("order_id"))
+    return (
+        ids.limit(inline_ids + 1)
+        .agg(F.when(F.count(F.lit(1)) <= inline_ids, some).alias("ids"))
+        .scalar()
+    )

@@ -344,10 +344,9 @@ HEADLINE = {
 
 FACT_CHECK = (
     METRICS
-    + f""", {BRIEFS}, {_figures("'The company'", "companies")},
+    + f""", {_figures("'The company'", "companies")},
 texts as (
   select 'doc-' || doc_id as text_id, text from documents
-  union all select text_id, text from briefs
   union all select subject, {BRIEF} from companies),
 tokens as (select text_id, {TOKENS} as tokens from texts),
 headline as (

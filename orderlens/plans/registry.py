@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from orderlens.functions.money import money
 from orderlens.functions.text import word_count
 from orderlens.operators import cleaning, correlation, enrich, factcheck, outliers, quality, rates, segments
 from orderlens.plans import briefs, charts, findings, reports
-from orderlens.session import shared_dir
+from orderlens.session import new_path
 from orderlens.sources import benchmark_tables as bench
 from orderlens.sources.tables import read_table, write_table
 
@@ -441,7 +440,7 @@ def dq_quarantine(spark, folder):
 def ingest_roundtrip(spark, folder):
     headers = bench.order_headers(spark, folder)
     dated = headers.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
-    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    path = new_path(spark, "ingest")
     write_table(dated, path, partition_by=["order_month"])
     return read_table(spark, path, dated.schema).select(*dated.columns)
 
@@ -502,11 +501,9 @@ def _company_figures(analysis):
 
 
 def _texts(spark, folder, analysis):
-    """All documents, the brief of each city and the brief of the company."""
+    """All documents and the brief of the company."""
     documents = bench.table(spark, folder, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("text_id"), "text")
-    return documents.unionByName(briefs.render_briefs(_city_figures(analysis), "city")).unionByName(
-        briefs.render_briefs(_company_figures(analysis), "company")
-    )
+    return documents.unionByName(briefs.render_briefs(_company_figures(analysis), "company"))
 
 
 @query

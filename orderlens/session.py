@@ -47,6 +47,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     executors and each reader still loads only its own columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGED: list[str] = []
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh folder name below the shared folder, remembered for ``drop_staged``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this process has staged, once no result needs it any more."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
