@@ -27,8 +27,15 @@ SPEND_TIERS = ("Low value", "Mid value", "High value")
 
 
 def strip_whitespace(text: Column) -> Column:
-    """Remove white space of any kind at both ends (SQL ``trim`` removes spaces only)."""
-    return F.btrim(text, F.lit(WHITESPACE_CHARACTERS))
+    """Remove white space of any kind at both ends.
+
+    Spaces go by the fast SQL ``trim``; only texts that still start or end with a control
+    character, or hold a character beyond ASCII, are compared with the whole set.
+    """
+    trimmed = F.trim(text)
+    edge = (F.substring(trimmed, 1, 1) <= " ") | (F.substring(trimmed, -1, 1) <= " ")
+    other = F.octet_length(trimmed) != F.char_length(trimmed)
+    return F.when(edge | other, F.btrim(trimmed, F.lit(WHITESPACE_CHARACTERS))).otherwise(trimmed)
 
 
 def clean_label(text: Column) -> Column:

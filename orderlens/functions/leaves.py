@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, NumericType, StructType
 
+from orderlens.functions.rows import unpack
+
 
 def _join(path: Column | None, step: Column) -> Column:
     return step if path is None else F.concat_ws(".", path, step)
@@ -37,4 +39,4 @@ def numeric_leaves(documents: DataFrame) -> DataFrame:
     """Every number of every document as ``(path, value)``; booleans are not numbers."""
     whole = F.struct(*documents.columns)
     leaves = _leaves(whole, documents.schema, None)
-    return documents.select(F.explode(leaves).alias("leaf")).select("leaf.*").filter(F.col("value").isNotNull())
+    return unpack(documents, leaves).filter(F.col("value").isNotNull())

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.coerce import to_number
@@ -137,18 +137,29 @@ def _per_key(orders: DataFrame, amount: str, key: Sequence[str], order_by: str)
     )
 
 
-def reconcile_copies(valued: DataFrame, copies: str = "n_copies") -> DataFrame:
+def copies_value(value: str = "order_value", copies: str = "n_copies") -> Column:
+    """What the removed copies of a kept row were worth; most rows have none."""
+    surplus = F.col(value) * (F.col(copies) - 1)
+    return F.when(F.col(copies) > 1, surplus).otherwise(F.lit(0))
+
+
+def reconcile_copies(valued: DataFrame) -> DataFrame:
     """``reconcile`` for kept rows that carry the number of rows they stand for.
 
     Copies agree in quantity, discount and product, hence in value: the raw total needs no
     second look at the raw rows.
     """
-    value, n = F.col("order_value"), F.col(copies)
+    zero = F.lit(0)
     return valued.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("raw_rows"),
-        F.count(F.lit(1)).alias("clean_rows"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("removed_rows"),
-        F.coalesce(money(F.sum(value * n)), F.lit(0.0)).alias("raw_total"),
-        F.coalesce(money(F.sum(value)), F.lit(0.0)).alias("clean_total"),
-        F.coalesce(money(F.sum(value * (n - 1))), F.lit(0.0)).alias("delta"),
+        F.coalesce(F.sum("n_copies"), zero).alias("raw_rows"),
+        F.count(zero).alias("clean_rows"),
+        F.coalesce(F.sum("order_value"), zero).alias("clean"),
+        F.coalesce(F.sum(copies_value()), zero).alias("surplus"),
+    ).select(
+        "raw_rows",
+        "clean_rows",
+        (F.col("raw_rows") - F.col("clean_rows")).alias("removed_rows"),
+        money(F.col("clean") + F.col("surplus")).alias("raw_total"),
+        money(F.col("clean")).alias("clean_total"),
+        money(F.col("surplus")).alias("delta"),
     )

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.functions.rows import unpack
+
 MEASURES = ("quantity", "discount_pct", "rating", "returned", "order_value")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = MEASURES, digits: int = 3) -> DataFrame:
     """All pairs as rows ``(var_x, var_y, r)``; rows with a NULL in a pair do not count for it.
 
-    One aggregate over one scan computes every pair. A constant column has no correlation.
+    One aggregate over one scan computes every pair. A constant column has no correlation:
+    its r is NULL (the built-in ``corr`` would raise an error instead).
     """
-    x = [F.col(c).cast("double") for c in columns]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    one = df.agg(*[F.round(F.corr(x[i], x[j]), digits).alias(f"r_{i}_{j}") for i, j in pairs])
+    one = df.agg(*[_pearson(columns[i], columns[j], digits).alias(f"r_{i}_{j}") for i, j in pairs])
     cells = [
         F.struct(
             F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"r_{min(i, j)}_{max(i, j)}").alias("r")
@@ -25,7 +27,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] = MEASURES, digits:
         for i, a in enumerate(columns)
         for j, b in enumerate(columns)
     ]
-    return one.select(F.inline(F.array(*cells)))
+    return unpack(one, F.array(*cells))
+
+
+def _pearson(a: str, b: str, digits: int) -> Column:
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.round(F.try_divide(F.covar_pop(x, y), spread), digits)
 
 
 def correlation_checks(matrix: DataFrame, target: str = "returned", weak: float = 0.15) -> DataFrame:

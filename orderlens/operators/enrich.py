@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.labels import month_label
-from orderlens.functions.money import line_value, net_units, priced
+from orderlens.functions.money import CENTS, line_value, net_units, priced, with_cents
 from orderlens.operators.skew import HotKeys, fold, spread_join
 
 def order_value(
     orders: DataFrame, products: DataFrame, hot: HotKeys | None = None, how: str = "inner"
 ) -> DataFrame:
     """Every order row with its product attributes and its value."""
-    value = line_value(F.col("quantity"), F.col("price"), F.col("discount_pct"))
-    return spread_join(orders, products, "product_id", how, hot).withColumn("order_value", value)
+    joined = spread_join(orders, with_cents(products), "product_id", how, hot)
+    return joined.withColumn("order_value", line_value(joined)).drop(CENTS)
 
 
 def enrich_orders(
@@ -36,7 +36,7 @@ def fold_by_product(orders: DataFrame, *keys: str) -> DataFrame:
     The value of a line is net units times price, so the value of all lines of a product
     is the sum of net units times price: the join to the products comes after the fold.
     """
-    net = net_units(F.col("quantity"), F.col("discount_pct"))
+    net = net_units(orders)
     return fold(
         orders,
         ["product_id", *keys],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.functions.rows import unpack
 from orderlens.functions.text import number_tokens, renderings
 from orderlens.operators.skew import NO_HOT_KEYS, HotKeys, spread_join
 
@@ -28,15 +29,11 @@ def headline_check(texts: DataFrame, headline: DataFrame, signed: bool = False)
 
     The figures travel as one value, so no text is shuffled or joined.
     """
-    return _tokens(texts, signed).withColumn("figures", _expected(headline)).select(
-        "text_id",
-        F.inline(
-            F.transform(
-                "figures",
-                lambda f: F.struct(f["label"].alias("label"), F.arrays_overlap("tokens", f["forms"]).alias("ok")),
-            )
-        ),
+    checks = F.transform(
+        "figures",
+        lambda f: F.struct(f["label"].alias("label"), F.arrays_overlap("tokens", f["forms"]).alias("ok")),
     )
+    return unpack(_tokens(texts, signed).withColumn("figures", _expected(headline)), checks, "text_id")
 
 
 def headline_score(texts: DataFrame, headline: DataFrame, signed: bool = False) -> DataFrame:

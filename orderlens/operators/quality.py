@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens import schemas
+from orderlens.functions.rows import unpack
 from orderlens.operators.cleaning import count_copies
 from orderlens.operators.skew import HotKeys, spread_join
 from orderlens.schemas import DEDUP_KEY
@@ -56,7 +57,7 @@ def declared_checks(table: str) -> list[Check]:
 def _stacked(counts: DataFrame, names: Sequence[str], label: str, value: str) -> DataFrame:
     """One row of counters ``c0, c1, ...`` as rows ``(label, value)``."""
     cells = [F.struct(F.lit(n).alias(label), F.col(f"c{i}").alias(value)) for i, n in enumerate(names)]
-    return counts.select(F.inline(F.array(*cells)))
+    return unpack(counts, F.array(*cells))
 
 
 def count_violations(df: DataFrame, checks: Sequence[Check]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.money import rate_pct
+from orderlens.functions.rows import unpack
 from orderlens.functions.text import amount_text
+from orderlens.operators.cleaning import copies_value
 
 # The figures every brief has to state.
 HEADLINE = {
@@ -48,8 +50,8 @@ def brief_figures(orders: DataFrame, subject: str) -> DataFrame:
         F.round(F.sum(value), 2).alias("revenue"),
         F.round(F.try_divide(F.sum(value).cast("double"), n), 2).alias("avg_order_value"),
         rate_pct(F.sum(F.col("returned").cast("long")), n).alias("return_rate_pct"),
-        F.round(F.sum(value * F.col("n_copies")), 2).alias("raw_revenue"),
-        F.round(F.sum(value * (F.col("n_copies") - 1)), 2).alias("duplicate_delta"),
+        F.round(F.sum(value) + F.sum(copies_value()), 2).alias("raw_revenue"),
+        F.round(F.sum(copies_value()), 2).alias("duplicate_delta"),
     )
     payments = (
         _rated(orders, subject, "payment_method")
@@ -165,4 +167,4 @@ def render_briefs(figures: DataFrame, subject: str) -> DataFrame:
 def stated_figures(figures: DataFrame, subject: str) -> DataFrame:
     """The headline figures as rows ``(text_id, label, value)``."""
     cells = [F.struct(F.lit(label).alias("label"), F.col(c).cast("double").alias("value")) for label, c in HEADLINE.items()]
-    return figures.select(F.col(subject).cast("string").alias("text_id"), F.inline(F.array(*cells)))
+    return unpack(figures.withColumn("text_id", F.col(subject).cast("string")), F.array(*cells), "text_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.labels import SPEND_TIERS, spend_tier
 from orderlens.functions.money import mean_money, money, rate_pct
-from orderlens.operators.cleaning import fill_missing, keep_first, typed_orders
+from orderlens.operators.cleaning import copies_value, fill_missing, keep_first, typed_orders
 from orderlens.operators.correlation import correlation_matrix
 from orderlens.operators.enrich import enrich_orders
 from orderlens.operators.outliers import Fences, fences_of, flag_outliers
@@ -94,13 +94,12 @@ def findings_document(
     matrix = correlation_matrix(orders, ("quantity", "discount_pct", "rating", "returned"))
     with_returned = matrix.filter((F.col("var_y") == "returned") & (F.col("var_x") != "returned"))
     tier = spend_tier(F.col("amount"), tiers)
-    value, copies = F.col("order_value"), F.col("n_copies")
     totals = orders.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(copies).alias("n_raw"),
+        F.sum("n_copies").alias("n_raw"),
         F.sum(F.col("returned").cast("long")).alias("n_returned"),
-        F.coalesce(F.sum(value), F.lit(0)).alias("amount"),
-        F.coalesce(F.sum(value * copies), F.lit(0)).alias("amount_raw"),
+        F.coalesce(F.sum("order_value"), F.lit(0)).alias("amount"),
+        F.coalesce(F.sum(copies_value()), F.lit(0)).alias("surplus"),
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
         F.count_if("is_outlier").alias("flagged"),
@@ -155,9 +154,9 @@ def findings_document(
             F.struct(_iso("first").alias("from"), _iso("last").alias("to")).alias("period"),
         ).alias("data"),
         F.struct(
-            money(F.col("amount_raw")).alias("raw_total_inr"),
+            money(F.col("amount") + F.col("surplus")).alias("raw_total_inr"),
             money(F.col("amount")).alias("clean_total_inr"),
-            money(F.col("amount_raw") - F.col("amount")).alias("duplicate_delta_inr"),
+            money(F.col("surplus")).alias("duplicate_delta_inr"),
             mean_money(F.col("amount"), n).alias("avg_order_value_inr"),
         ).alias("revenue"),
         F.struct(

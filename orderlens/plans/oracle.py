@@ -139,7 +139,7 @@ CORRELATION = (
          cast(returned as double) as returned, cast(order_value as double) as order_value
   from valued),
 matrix as ({" union all ".join(
-    f"select '{a}' as var_x, '{b}' as var_y, round(corr({a}, {b}), 3) as r from filled"
+    f"select '{a}' as var_x, '{b}' as var_y, round(corr({a}, {b}), 3) + 0.0 as r from filled"
     for a in MEASURES for b in MEASURES)})
 """
 )
@@ -254,9 +254,9 @@ leaves as ("""
             _leaf("outliers.flagged_rows", "count(*) filter (where is_outlier)"),
             _leaf("outliers.peak_month_all_orders.revenue_inr", "v", f"from ({_PEAK_ALL})"),
             _leaf("outliers.peak_month_without_outliers.revenue_inr", "v", f"from ({_PEAK_KEPT})"),
-            _leaf("correlations.discount_vs_returned", "round(corr(discount_pct, returned), 3)"),
-            _leaf("correlations.rating_vs_returned", "round(corr(rating, returned), 3)"),
-            _leaf("correlations.quantity_vs_returned", "round(corr(quantity, returned), 3)"),
+            _leaf("correlations.discount_vs_returned", "round(corr(discount_pct, returned), 3) + 0.0"),
+            _leaf("correlations.rating_vs_returned", "round(corr(rating, returned), 3) + 0.0"),
+            _leaf("correlations.quantity_vs_returned", "round(corr(quantity, returned), 3) + 0.0"),
             f"select 'monthly.' || month, {REVENUE} from f where not is_outlier group by month",
             *[
                 _leaf(f"segment_summary.{t}_value_customers", f"coalesce(sum(n) filter (where tier = '{t}'), 0)", "from people")
