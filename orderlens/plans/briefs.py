@@ -39,7 +39,7 @@ def _rated(orders: DataFrame, subject: str, *keys: str) -> DataFrame:
 def brief_figures(orders: DataFrame, subject: str) -> DataFrame:
     """The figures of each subject, from orders that ``analyse`` has cleaned and flagged.
 
-    Each part aggregates to a few rows per subject; the joins run on those.
+    Each part aggregates to one row per subject; the parts are stacked and folded into one row.
     """
     n = F.count(F.lit(1))
     value = F.col("order_value")
@@ -100,10 +100,16 @@ def brief_figures(orders: DataFrame, subject: str) -> DataFrame:
             F.col("top.amount").alias("lost_revenue"),
         )
     )
-    figures = totals.filter(F.col(subject).isNotNull())
+    stacked = totals
     for part in (payments, risk, peaks, losses):
-        figures = figures.join(part, subject, "left")
-    return figures
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    # Each column is filled by one part, once per subject.
+    columns = [c for c in stacked.columns if c != subject]
+    return (
+        stacked.filter(F.col(subject).isNotNull())
+        .groupBy(subject)
+        .agg(*[F.max(c).alias(c) for c in columns])
+    )
 
 
 def _percent(column: str) -> Column:
