@@ -16,6 +16,10 @@ WHITESPACE_CHARACTERS = "".join(
         + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000],
     )
 )
+RARE_WHITESPACE = (
+    r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 WHITESPACE = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderlens.functions.labels import WHITESPACE
+from orderlens.functions.labels import RARE_WHITESPACE, WHITESPACE
 
 # What counts as a date, a month and a number, in any script's digits.
+DIGIT = r"\p{Nd}"
 DATE = r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}"
 MONTH = r"\p{Nd}{4}-\p{Nd}{2}"
 NUMBER = r"\p{Nd}[\p{Nd},]*\.?\p{Nd}*"
@@ -22,21 +23,25 @@ def number_tokens(text: Column, signed: bool = False) -> Column:
     """
     masked = F.regexp_replace(F.regexp_replace(text, DATE, " DATE "), MONTH, " MONTH ")
     found = F.regexp_extract_all(masked, F.lit(SIGNED_NUMBER if signed else NUMBER), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda token: F.replace(token, F.lit(","), F.lit(""))))
+    tokens = F.array_distinct(F.transform(found, lambda token: F.replace(token, F.lit(","), F.lit(""))))
+    # Most texts hold no digit at all; one short search spares them the three passes.
+    return F.when(text.rlike(DIGIT), tokens).otherwise(F.array().cast("array<string>"))
 
 
 def plain_number(value: Column) -> Column:
     """The shortest decimal text of a double, never in scientific form: 2501.9, 175.0."""
-    digits = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"0+$", "")
+    digits = F.regexp_replace(value.try_cast("decimal(38,12)").cast("string"), r"0+$", "")
     return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
 
 
 def renderings(value: Column) -> Column:
     """The spellings that count as stating ``value``: two digits, no digits, plain."""
-    return F.array(
-        F.replace(F.format_number(value, 2), F.lit(","), F.lit("")),
-        F.replace(F.format_number(value, 0), F.lit(","), F.lit("")),
-        plain_number(value),
+    return F.array_compact(
+        F.array(
+            F.replace(F.format_number(value, 2), F.lit(","), F.lit("")),
+            F.replace(F.format_number(value, 0), F.lit(","), F.lit("")),
+            plain_number(value),
+        )
     )
 
 
@@ -45,6 +50,12 @@ def amount_text(value: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words between white space of any kind."""
-    words = F.filter(F.split(text, f"{WHITESPACE}+"), lambda w: w != "")
-    return F.size(words).cast("long")
+    """Number of words between white space of any kind.
+
+    Only texts with rare white space are split by the large character class.
+    """
+
+    def words(pattern: str) -> Column:
+        return F.size(F.array_remove(F.split(text, f"{pattern}+"), "")).cast("long")
+
+    return F.when(text.rlike(RARE_WHITESPACE), words(WHITESPACE)).otherwise(words(r"\s"))

@@ -53,7 +53,7 @@ def _hot_products(spark, folder):
 
 
 def _hot_customers(spark, folder):
-    return bench.hot(spark, folder, "orders", "o_custkey")
+    return bench.hot_customers(spark, folder)
 
 
 def _valued(spark, folder):

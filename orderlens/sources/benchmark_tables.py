@@ -44,6 +44,18 @@ def hot(spark: SparkSession, folder: str, name: str, column: str) -> HotKeys:
     return _HOT[wanted]
 
 
+def hot_customers(spark: SparkSession, folder: str) -> HotKeys:
+    """Customers with many orders, and the customers of orders with many lines."""
+    many_orders = hot(spark, folder, "orders", "o_custkey")
+    many_lines = hot(spark, folder, "lineitem", "l_orderkey")
+    if not many_lines.values:
+        return many_orders
+    owners = table(spark, folder, "orders").filter(F.col("o_orderkey").isin(*many_lines.values))
+    keys = {row["o_custkey"] for row in owners.select("o_custkey").distinct().collect()}
+    values = tuple(sorted({*many_orders.values, *keys} - {None}))
+    return HotKeys(values, max(many_orders.top_share, many_lines.top_share), many_orders.nulls)
+
+
 def messy_priority(key, label):
     """The order priority in three spellings, to stand in for a free-text payment method."""
     return (
