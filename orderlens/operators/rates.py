@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.labels import month_label
 from orderlens.functions.money import money, rate_pct
+from orderlens.functions.rows import unpack
 from orderlens.operators.enrich import fold_by_product, price_fold
 from orderlens.operators.skew import fold
 
@@ -121,13 +122,9 @@ def _largest_loss(totals: DataFrame) -> DataFrame:
 
 def returned_share(orders: DataFrame) -> DataFrame:
     """How many orders were returned and not returned, with their share of all orders."""
-    total = orders.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        orders.groupBy("returned")
-        .agg(F.count(F.lit(1)).alias("orders"))
-        .withColumn("pct", rate_pct(F.col("orders"), total, 1))
-        .orderBy("returned")
-    )
+    counts = orders.groupBy("returned").agg(F.count(F.lit(1)).alias("orders"))
+    total = counts.agg(F.sum("orders")).scalar()
+    return counts.withColumn("pct", rate_pct(F.col("orders"), total, 1)).orderBy("returned")
 
 
 def trend(valued: DataFrame, amount: str = "order_value", period: Column | None = None) -> DataFrame:
@@ -149,13 +146,19 @@ def peak(trend_rows: DataFrame, amount: str, key: str = "month") -> DataFrame:
     return trend_rows.select(key, amount).orderBy(F.desc_nulls_last(amount), key).limit(1)
 
 
+def best_period(amount: str, key: str = "month") -> Column:
+    """Aggregate of trend rows: the period with the largest amount, the earliest of equals."""
+    ranked = F.struct((-F.col(amount)).alias("order"), F.col(key).alias("month"), F.col(amount).alias("revenue"))
+    best = F.min(F.when(F.col(amount).isNotNull(), ranked))
+    return F.struct(best["month"].alias("month"), best["revenue"].alias("revenue"))
+
+
 def peaks(trend_rows: DataFrame) -> DataFrame:
-    """Peak period over all rows and over the rows without outliers."""
-    parts = [
-        peak(trend_rows, amount).select(F.lit(kind).alias("series"), "month", F.col(amount).alias("revenue"))
-        for kind, amount in (
-            ("all orders", "revenue_all_orders"),
-            ("outliers excluded", "revenue_without_outliers"),
-        )
+    """Peak period over all rows and over the rows without outliers, from one aggregate."""
+    series = {"all orders": "revenue_all_orders", "outliers excluded": "revenue_without_outliers"}
+    best = trend_rows.agg(*[best_period(amount).alias(amount) for amount in series.values()])
+    cells = [
+        F.struct(F.lit(name).alias("series"), F.col(f"{amount}.month").alias("month"), F.col(f"{amount}.revenue").alias("revenue"))
+        for name, amount in series.items()
     ]
-    return parts[0].unionByName(parts[1])
+    return unpack(best, F.array(*cells))

@@ -31,19 +31,22 @@ class HotKeys(NamedTuple):
 NO_HOT_KEYS = HotKeys()
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.02, tracked: int = 4096) -> HotKeys:
+def hot_keys(
+    df: DataFrame, key: str, share: float = 0.005, min_rows: int = 100_000, tracked: int = 4096
+) -> HotKeys:
     """Find the keys with more than ``share`` of all rows by one pass with a bounded sketch.
 
-    At most ``1 / share`` keys come to the driver. The list only decides which rows are
-    spread, so a stale or incomplete list costs balance and never changes a result.
+    Keys with at most ``min_rows`` rows fit any task and stay as they are. At most
+    ``1 / share`` keys come to the driver. The list only decides which rows are spread, so
+    a stale or incomplete list costs balance and never changes a result.
     """
     most = math.ceil(1 / share)
     found, present, total = df.agg(
         F.expr(f"approx_top_k(`{key}`, {most}, {tracked})"), F.count(key), F.count(F.lit(1))
     ).first()
-    heavy = {r["item"]: r["count"] for r in found or () if r["item"] is not None}
-    heavy = {item: n for item, n in heavy.items() if n > share * total}
-    nulls = total - present if total - present > share * total else 0
+    limit = max(share * total, min_rows)
+    heavy = {r["item"]: r["count"] for r in found or () if r["item"] is not None and r["count"] > limit}
+    nulls = total - present if total - present > limit else 0
     if not heavy and not nulls:
         return NO_HOT_KEYS
     return HotKeys(tuple(heavy), max([nulls, *heavy.values()]) / total, nulls > 0)

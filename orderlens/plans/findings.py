@@ -16,6 +16,7 @@ from orderlens.operators.enrich import enrich_orders
 from orderlens.operators.outliers import Fences, fences_of, flag_outliers
 from orderlens.operators.quantiles import quantiles_of
 from orderlens.operators.rates import (
+    best_period,
     rank_risk,
     rate_cells,
     rates_by_columns,
@@ -106,8 +107,8 @@ def findings_document(
     )
     by_month = monthly.agg(
         _map(F.col("month"), F.col("revenue_without_outliers"), "kept"),
-        _peak("revenue_all_orders").alias("peak_all"),
-        _peak("revenue_without_outliers").alias("peak_kept"),
+        best_period("revenue_all_orders").alias("peak_all"),
+        best_period("revenue_without_outliers").alias("peak_kept"),
     )
     # One-row parts, each evaluated once and read by several fields below.
     parts = totals.withColumns(
@@ -210,13 +211,6 @@ def _iso(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
 
 
-def _peak(amount: str) -> Column:
-    """The month with the largest amount, the earliest of equals; for rows of a trend."""
-    ranked = F.struct((-F.col(amount)).alias("order"), "month", F.col(amount).alias("revenue_inr"))
-    best = F.min(F.when(F.col(amount).isNotNull(), ranked))
-    return F.struct(best["month"].alias("month"), best["revenue_inr"].alias("revenue_inr"))
-
-
 def _outlier_ids(orders: DataFrame, inline_ids: int) -> Column:
     """All flagged ids in order, or NULL if there are more than ``inline_ids``."""
     ids = orders.filter("is_outlier").select(F.col("order_id").cast("string").alias("order_id"))

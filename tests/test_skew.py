@@ -23,7 +23,8 @@ def rows(df):
 
 
 def test_hot_keys_finds_the_heavy_key_and_nulls(fact):
-    hot = hot_keys(fact, "k")
+    assert hot_keys(fact, "k") == NO_HOT_KEYS
+    hot = hot_keys(fact, "k", min_rows=0)
     assert hot.values == (5,)
     assert hot.nulls
     assert 0.25 < hot.top_share < 0.34
@@ -31,7 +32,7 @@ def test_hot_keys_finds_the_heavy_key_and_nulls(fact):
 
 def test_no_hot_key_leaves_a_plain_join(fact, dim):
     even = fact.filter("k >= 1000")
-    assert hot_keys(even, "k") == NO_HOT_KEYS
+    assert hot_keys(even, "k", min_rows=0) == NO_HOT_KEYS
     assert spread_join(even, dim, "k").columns == ["k", "payload", "label"]
 
 
@@ -40,7 +41,8 @@ def test_no_hot_key_leaves_a_plain_join(fact, dim):
 def test_spread_join_equals_plain_join(spark, fact, dim, how, broadcast):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        assert rows(spread_join(fact, dim, "k", how)) == rows(fact.join(dim, "k", how))
+        hot = hot_keys(fact, "k", min_rows=0)
+        assert rows(spread_join(fact, dim, "k", how, hot)) == rows(fact.join(dim, "k", how))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -52,7 +54,7 @@ def test_rows_of_a_hot_key_land_in_several_partitions(spark, fact, dim):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
         parts = (
-            spread_join(fact, dim, "k", "left")
+            spread_join(fact, dim, "k", "left", hot_keys(fact, "k", min_rows=0))
             .filter("k = 5")
             .groupBy(F.spark_partition_id().alias("p"))
             .count()
