@@ -57,6 +57,13 @@ def own_figures_check(texts: DataFrame, figures: DataFrame, signed: bool = False
     )
 
 
+def own_figures_score(checked: DataFrame) -> DataFrame:
+    """Matched and expected figures per text of ``own_figures_check``."""
+    return checked.groupBy("text_id").agg(
+        F.count_if("ok").alias("matched"), F.count(F.lit(1)).alias("total")
+    )
+
+
 def needs_support(token: Column) -> Column:
     year = token.rlike(r"^[0-9]{4}$") & token.try_cast("int").between(FIRST_YEAR, LAST_YEAR)
     return (F.length(token) > 2) & ~token.isin(*LIST_NUMBERS) & ~F.coalesce(year, F.lit(False))

@@ -162,20 +162,33 @@ def route(
     df: DataFrame,
     checks: Sequence[Check],
     references: Sequence[tuple[str, DataFrame, str, HotKeys | None]] = (),
+    unique: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Every row with ``reject_reasons``: the names of the failed checks, empty if none.
 
     ``references`` are foreign keys ``(column, dimension, key of the dimension, hot keys)``.
-    Key copies in a dimension do not multiply rows.
+    Key copies in a dimension do not multiply rows. ``unique`` names a primary key and the
+    column that tells which row came first: later rows of the same key are rejected.
     """
     reasons = [F.when(check.failed, check.name) for check in checks]
-    found = []
+    added = []
+    if unique:
+        key, order_by = unique
+        repeated = (
+            df.groupBy(key)
+            .agg(F.min(order_by).alias("_first"), F.count(F.lit(1)).alias("_n"))
+            .filter("_n > 1")
+            .drop("_n")
+        )
+        df = spread_join(df, repeated, key, "left")
+        added.append("_first")
+        reasons.append(F.when(F.col(order_by) > F.col("_first"), f"{key} repeated"))
     for i, (column, dim, key, hot) in enumerate(references):
         present = dim.select(F.col(key).alias(column)).distinct().withColumn(f"_found{i}", F.lit(True))
         df = spread_join(df, present, column, "left", hot)
-        found.append(f"_found{i}")
+        added.append(f"_found{i}")
         reasons.append(F.when(F.col(column).isNotNull() & F.col(f"_found{i}").isNull(), f"{column} unknown"))
-    return df.withColumn("reject_reasons", F.array_compact(F.array(*reasons))).drop(*found)
+    return df.withColumn("reject_reasons", F.array_compact(F.array(*reasons))).drop(*added)
 
 
 def accepted(routed: DataFrame) -> DataFrame:

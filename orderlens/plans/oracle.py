@@ -370,6 +370,15 @@ OWN_FIGURES = " union all ".join(
 )
 
 
+CHECKED_BRIEFS = (
+    CLEAN
+    + f""", {BRIEFS}, own as ({OWN_FIGURES}),
+own_checked as (
+  select text_id, label, list_has_any({TOKENS}, {FORMS}) as ok from briefs join own using (text_id))
+"""
+)
+
+
 ORACLE: dict[str, str] = {
     "report1_headline": FACT
     + f"""select {ORDERS} as total_orders, cast(count(distinct customer_id) as bigint) as customers,
@@ -589,9 +598,10 @@ ORACLE: dict[str, str] = {
     where length(token) > 2
       and not (regexp_full_match(token, '[0-9]{{4}}') and coalesce(try_cast(token as integer), 0) between 2000 and 2099)
       and token not in (select token from allowed)""",
-    "fact_check_briefs": CLEAN
-    + f""", {BRIEFS}, own as ({OWN_FIGURES})
-    select text_id, label, list_has_any({TOKENS}, {FORMS}) as ok from briefs join own using (text_id)""",
+    "fact_check_briefs": CHECKED_BRIEFS + "select * from own_checked",
+    "brief_scores": CHECKED_BRIEFS
+    + f"""select text_id, cast(count(*) filter (where ok) as bigint) as matched, {ORDERS} as total
+       from own_checked group by 1""",
     "text_word_count": "select doc_id, cast(len(list_filter(string_split_regex(text, "
     f"'{SPACES}+'), lambda w: w <> '')) as bigint) as words from documents",
 }

@@ -543,15 +543,24 @@ def fact_check_unsupported(spark, folder):
     return factcheck.unsupported_numbers(_texts(spark, folder, analysis), figures)
 
 
-@query
-def fact_check_briefs(spark, folder):
-    """Each city's brief against that city's own figures."""
+def _checked_briefs(spark, folder):
     figures = _city_figures(_analysis(spark, folder))
     return factcheck.own_figures_check(
         briefs.render_briefs(figures, "city"), briefs.stated_figures(figures, "city")
     )
 
 
+@query
+def fact_check_briefs(spark, folder):
+    """Each city's brief against that city's own figures."""
+    return _checked_briefs(spark, folder)
+
+
+@query
+def brief_scores(spark, folder):
+    return factcheck.own_figures_score(_checked_briefs(spark, folder))
+
+
 @query
 def text_word_count(spark, folder):
     return bench.table(spark, folder, "documents").select("doc_id", word_count(F.col("text")).alias("words"))

@@ -61,12 +61,19 @@ def write_table(
     rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_by).parquet(path)
 
 
+def write_routed(routed: DataFrame, path: str) -> None:
+    """Write accepted and rejected rows in one pass, below ``rejected=false`` and ``=true``."""
+    routed.withColumn("rejected", F.size("reject_reasons") > 0).write.mode("overwrite").partitionBy(
+        "rejected"
+    ).parquet(path)
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
     """Store a table bucketed and sorted by a join key, so later joins on it do not shuffle."""
     df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
@@ -80,9 +87,9 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FINDINGS).option("multiLine", True).json(path)
 
 
-def write_briefs(briefs: DataFrame, path: str, generated_by: str = "template") -> None:
-    """Store texts together with how and when they were made."""
-    stamped = briefs.withColumns(
+def write_briefs(briefs: DataFrame, scores: DataFrame, path: str, generated_by: str = "template") -> None:
+    """Store texts with their score ``(text_id, matched, total)`` and how and when they were made."""
+    stamped = briefs.join(scores.select("text_id", "matched", "total"), "text_id", "left").withColumns(
         {"generated_by": F.lit(generated_by), "generated_at": F.current_timestamp()}
     )
     stamped.write.mode("overwrite").parquet(path)

@@ -198,15 +198,18 @@ def test_briefs_state_their_own_figures(spark, analysis, document, tmp_path):
     figures = briefs.brief_figures(analysis.orders, "city")
     texts = briefs.render_briefs(figures, "city").cache()
     stated = briefs.stated_figures(figures, "city")
-    checked = as_dicts(factcheck.own_figures_check(texts, stated))
-    assert len(checked) == 3 * len(briefs.HEADLINE) and all(r["ok"] for r in checked)
+    checked = factcheck.own_figures_check(texts, stated)
+    found = as_dicts(checked)
+    assert len(found) == 3 * len(briefs.HEADLINE) and all(r["ok"] for r in found)
+    scores = factcheck.own_figures_score(checked)
+    assert {(r["matched"], r["total"]) for r in scores.collect()} == {(7, 7)}
     whole = briefs.brief_figures(analysis.orders.withColumn("company", F.lit("All")), "company")
     brief = briefs.render_briefs(whole, "company")
     leaves = numeric_leaves(findings.findings_document(analysis, [], TIERS))
     assert as_dicts(factcheck.unsupported_numbers(brief, leaves)) == []
-    write_briefs(texts, str(tmp_path / "briefs"))
+    write_briefs(texts, scores, str(tmp_path / "briefs"))
     stored = spark.read.parquet(str(tmp_path / "briefs"))
-    assert stored.count() == 3 and {"generated_by", "generated_at"} <= set(stored.columns)
+    assert stored.filter("matched = total AND generated_at IS NOT NULL").count() == 3
 
 
 def test_enrichment_keeps_every_row(retail):

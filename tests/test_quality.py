@@ -6,7 +6,7 @@ import pytest
 from orderlens import schemas
 from orderlens.operators import quality
 from orderlens.operators.skew import NO_HOT_KEYS
-from orderlens.sources.tables import read_csv, read_table, write_table
+from orderlens.sources.tables import read_csv, read_table, write_routed, write_table
 from tests.conftest import as_dicts
 
 GOOD = ("O1", "C00", "P0", dt.date(2026, 1, 1), 1, 0, "card", 5, 0)
@@ -61,6 +61,18 @@ def test_routing_splits_rows_and_names_reasons(spark, retail):
     assert reasons == [("customer_id not null",), ("customer_id unknown",), ("quantity in range",)]
 
 
+def test_later_rows_of_a_primary_key_are_rejected(spark, tmp_path):
+    rows = [("a", 1), ("a", 3), ("a", 2), ("b", 4), (None, 5)]
+    df = spark.createDataFrame(rows, "id string, arrival int")
+    routed = quality.route(df, quality.not_null(["id"]), unique=("id", "arrival"))
+    assert sorted(r["arrival"] for r in quality.accepted(routed).collect()) == [1, 4]
+    write_routed(routed, str(tmp_path / "routed"))
+    columns = "id string, arrival int, reject_reasons array<string>, rejected boolean"
+    back = read_table(spark, str(tmp_path / "routed"), columns)
+    reasons = {r["arrival"]: r["reject_reasons"] for r in back.filter("rejected").collect()}
+    assert reasons == {2: ["id repeated"], 3: ["id repeated"], 5: ["id not null"]}
+
+
 def test_keys_orphans_and_join_counts(spark):
     fact = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "k int")
     dim = spark.createDataFrame([(1,), (2,), (2,)], "d int")
