@@ -83,11 +83,14 @@ def findings_document(
     source_files: Sequence[str] = (),
     tiers: Sequence[float] = (1200, 2500),
     inline_ids: int = 1000,
+    inline_labels: int = 10_000,
 ) -> DataFrame:
     """All findings as one nested row.
 
     The ids of flagged orders are listed in the document while they are at most
-    ``inline_ids``; beyond that the list is NULL and ``outlier_rows`` holds them all.
+    ``inline_ids``; beyond that the list is NULL and ``outlier_rows`` holds them all. In the
+    same way the map of a dimension with more than ``inline_labels`` labels is NULL, and
+    ``rates_by_columns`` holds the whole table.
     """
     orders = analysis.orders
     monthly = trend(orders)
@@ -113,14 +116,7 @@ def findings_document(
     # One-row parts, each evaluated once and read by several fields below.
     parts = totals.withColumns(
         {
-            "rates": _row(
-                rates.agg(
-                    *[
-                        _map(F.when(F.col("dimension") == d, F.col("label")), F.struct("orders", "return_rate_pct"), d)
-                        for d in DIMENSIONS
-                    ]
-                )
-            ),
+            "rates": _row(_rate_maps(rates, inline_labels)),
             "worst": _row(worst_valued_product(orders)),
             "risk": _row(rank_risk(rate_cells(orders, ["payment_method", "city_tier"])).limit(1)),
             "months": _row(by_month),
@@ -196,6 +192,21 @@ def findings_document(
     return document.select(*[F.col(f.name).cast(f.dataType) for f in FINDINGS.fields])
 
 
+def _rate_maps(rates: DataFrame, inline_labels: int) -> DataFrame:
+    """One map per dimension; dimensions with too many labels are left out beforehand."""
+    short = rates.groupBy("dimension").count().filter(F.col("count") <= inline_labels).select("dimension")
+    cell = F.struct("orders", "return_rate_pct")
+    here = {d: F.col("dimension") == d for d in DIMENSIONS}
+    return (
+        rates.join(short, "dimension", "left_semi")
+        .agg(
+            *[_map(F.when(here[d], F.col("label")), cell, d) for d in DIMENSIONS],
+            *[F.count_if(here[d]).alias(f"n_{d}") for d in DIMENSIONS],
+        )
+        .select(*[F.when(F.col(f"n_{d}") > 0, F.col(d)).alias(d) for d in DIMENSIONS])
+    )
+
+
 def _row(df: DataFrame) -> Column:
     """A one-row frame as a struct value."""
     return df.select(F.struct(*df.columns)).scalar()

@@ -145,6 +145,12 @@ def test_too_many_outliers_leave_the_list_to_the_table(analysis):
     assert row["flagged_rows"] == 2 and row["order_ids"] is None
 
 
+def test_too_many_labels_leave_the_map_to_the_table(analysis, document):
+    returns = findings.findings_document(analysis, inline_labels=2).select("returns.*").first()
+    assert returns["by_city"] is None and returns["by_payment_method"] is None
+    assert returns["returned_orders"] == document["returns"]["returned_orders"]
+
+
 def test_document_roundtrip(spark, analysis, document, tmp_path):
     one = findings.findings_document(analysis, ["orders"], TIERS)
     assert one.schema.simpleString() == schemas.FINDINGS.simpleString()
