@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, token_counts
+from orderlens.llm import bpe, ngram_join, token_counts
 from orderlens.llm.common import table
 
 
@@ -20,9 +20,15 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's near-duplicate class and its number of links."""
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 #: No operator here has one: each reads tables only Python can hash or encode, or learns from them.
