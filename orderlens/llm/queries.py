@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, ngram_join, token_counts
+from orderlens.llm import bpe, ngram_join, suffix_dedup, token_counts
 from orderlens.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document without the 100-byte strings that start earlier."""
+    return suffix_dedup.removed_bytes(table(spark, folder, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's near-duplicate class and its number of links."""
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
@@ -28,6 +33,7 @@ def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
 }
 
