@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, ngram_join, suffix_dedup, token_counts
+from orderlens.llm import bpe, ngram_join, quality_rules, suffix_dedup, token_counts, url_filters
 from orderlens.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filters.filter_urls(table(spark, folder, "pages").select("page_id", "url"), table(spark, folder, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     return bpe.encode_decode(table(spark, folder, "documents"))
@@ -25,15 +30,22 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.removed_bytes(table(spark, folder, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's near-duplicate class and its number of links."""
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op9_ngram_join": op9_ngram_join,
 }
 
