@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, ngram_join, quality_rules, suffix_dedup, token_counts, url_filters
+from orderlens.llm import bpe, maxent_lm, ngram_join, quality_rules, suffix_dedup, token_counts, url_filters
 from orderlens.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """The language model's score of every document, learned from four fifths of them."""
+    return maxent_lm.score(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op4_byte_bpe": op4_byte_bpe,
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_ngram_join": op9_ngram_join,
+    "op10_maxent_lm": op10_maxent_lm,
 }
 
 #: No operator here has one: each reads tables only Python can hash or encode, or learns from them.
