@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, maxent_lm, ngram_join, quality_rules, suffix_dedup, token_counts, url_filters
+from orderlens.llm import bpe, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 from orderlens.llm.common import table
 
 
@@ -15,6 +15,16 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, folder, "pages").select("page_id", "url"), table(spark, folder, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licenses in every document."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality, toxicity and verdict of every document."""
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded bytes of every document, as digests."""
     return bpe.encode_decode(table(spark, folder, "documents"))
@@ -47,6 +57,8 @@ def op10_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_license_scan": op2_license_scan,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_counts": op5_token_counts,
     "op6_suffix_dedup": op6_suffix_dedup,

@@ -175,3 +175,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
             held = table.combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Separators when punctuation is to be ignored: all ASCII but letters and digits.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of lower-cased words without punctuation, and the texts' offsets among them."""
+    data, offsets = joined(column)
+    hashes, _, _, bounds = words(lowered(data), offsets, PUNCTUATION)
+    return hashes, bounds
