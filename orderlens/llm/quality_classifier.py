@@ -35,8 +35,8 @@ ITERATIONS, PENALTY = 30, 3e-4
 STEPS = 20
 #: Evidence and shares stay this far from certainty.
 LARGEST_LOGIT, SMOOTHING = 12.0, 1.0
-#: Strength of a prior when sites don't differ at all.
-STRONGEST = 1e6
+#: Strengths of a prior (in labels) when sites differ as much as can be, and not at all.
+WEAKEST, STRONGEST = 1.0, 1e6
 TARGETS = ("quality", "toxic")
 
 
@@ -88,7 +88,7 @@ def _strength(share: float, spread: float, groups: int, total: float, squares: f
     within = share * (1 - share)
     room = total - squares / total if total else 0.0
     between = (spread - (groups - 1) * within) / room if room > 0 else 0.0
-    return min(max(within / between - 1, 0.0), STRONGEST) if between > 0 else STRONGEST
+    return min(max(within / between - 1, WEAKEST), STRONGEST) if between > 0 else STRONGEST
 
 
 def sites(known: DataFrame, target: str) -> tuple[DataFrame, Site]:
