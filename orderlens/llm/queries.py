@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
+from orderlens.llm import bpe, decontaminate, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 from orderlens.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items in every document."""
+    return decontaminate.leaked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's near-duplicate class and its number of links."""
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
@@ -63,9 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op9_ngram_join": op9_ngram_join,
     "op10_maxent_lm": op10_maxent_lm,
 }
 
-#: No operator here has one: each reads tables only Python can hash or encode, or learns from them.
+#: None can be said in SQL: each operator learns, hashes or encodes. tests/llm compares them with brute force.
 ORACLE: dict[str, str] = {}
