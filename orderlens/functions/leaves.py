@@ -1,4 +1,4 @@
-"""All numbers inside a nested column, by its schema."""
+"""All leaves of a nested document, by its schema."""
 
 from __future__ import annotations
 
@@ -13,30 +13,33 @@ def _join(path: Column | None, step: Column) -> Column:
     return step if path is None else F.concat_ws(".", path, step)
 
 
-def _leaves(value: Column, kind: DataType, path: Column | None) -> Column | None:
-    """An array of ``(path, value)``, or None where the type holds no number."""
-    if isinstance(kind, NumericType):
-        return F.array(F.struct(path.alias("path"), value.cast("double").alias("value")))
+LEAF = "struct<path:string,text:string,value:double>"
+
+
+def _leaves(value: Column, kind: DataType, path: Column | None) -> Column:
+    """An array of ``(path, text, value)``: numbers as values, all else that isn't nested as text."""
+    none = F.array().cast(f"array<{LEAF}>")
     if isinstance(kind, StructType):
-        inner = [_leaves(value[f.name], f.dataType, _join(path, F.lit(f.name))) for f in kind.fields]
-        inner = [F.coalesce(x, F.array().cast("array<struct<path:string,value:double>>")) for x in inner if x is not None]
-        return F.concat(*inner) if inner else None
+        inner = [F.coalesce(_leaves(value[f.name], f.dataType, _join(path, F.lit(f.name))), none) for f in kind.fields]
+        return F.concat(*inner) if inner else none
     if isinstance(kind, MapType):
-        if _leaves(F.lit(None), kind.valueType, F.lit("")) is None:
-            return None
         entries = F.map_entries(value)
         return F.flatten(F.transform(entries, lambda e: _leaves(e["value"], kind.valueType, _join(path, e["key"]))))
     if isinstance(kind, ArrayType):
-        if _leaves(F.lit(None), kind.elementType, F.lit("")) is None:
-            return None
         return F.flatten(
             F.transform(value, lambda e, i: _leaves(e, kind.elementType, _join(path, i.cast("string"))))
         )
-    return None
+    number = isinstance(kind, NumericType)
+    leaf = F.struct(path, value.cast("string") if not number else F.lit(None), value if number else F.lit(None))
+    return F.array(leaf.cast(LEAF))
+
+
+def leaves(documents: DataFrame) -> DataFrame:
+    """Every leaf of every document as ``(path, text, value)``; NULLs are left out."""
+    found = unpack(documents, _leaves(F.struct(*documents.columns), documents.schema, None))
+    return found.filter(F.col("value").isNotNull() | F.col("text").isNotNull())
 
 
 def numeric_leaves(documents: DataFrame) -> DataFrame:
     """Every number of every document as ``(path, value)``; booleans are not numbers."""
-    whole = F.struct(*documents.columns)
-    leaves = _leaves(whole, documents.schema, None)
-    return unpack(documents, leaves).filter(F.col("value").isNotNull())
+    return leaves(documents).filter(F.col("value").isNotNull()).select("path", "value")

@@ -30,8 +30,18 @@ def number_tokens(text: Column, signed: bool = False) -> Column:
 
 def plain_number(value: Column) -> Column:
     """The shortest decimal text of a double, never in scientific form: 2501.9, 175.0."""
-    digits = F.regexp_replace(value.try_cast("decimal(38,12)").cast("string"), r"0+$", "")
-    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    text = value.cast("double").cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.replace(F.substring_index(text, "E", 1), F.lit("-"), F.lit(""))
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    whole = F.substring_index(mantissa, ".", 1)
+    rest = F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), whole, rest)
+    filled = F.rpad(rest, F.greatest(exponent, F.length(rest)), "0")
+    tail = F.substr(filled, exponent + 1)
+    large = F.concat(sign, whole, F.substr(filled, F.lit(1), exponent), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+    expanded = F.when(exponent < 0, small).otherwise(large)
+    return F.when(text.contains("E"), expanded).when(~text.isin("NaN", "Infinity", "-Infinity"), text)
 
 
 def renderings(value: Column) -> Column:

@@ -31,19 +31,24 @@ def normalise_labels(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def keep_first(
-    df: DataFrame, key: Sequence[str] = DEDUP_KEY, order_by: str = "order_id", count_as: str | None = None
+    df: DataFrame,
+    key: Sequence[str] = DEDUP_KEY,
+    order_by: str = "order_id",
+    count_as: str | None = None,
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per key, the one with the smallest ``order_by``; NULLs in the key are equal.
 
     The smallest row per key is an aggregate, so copies collapse before the shuffle and a
     key with very many copies costs one row per task. Rows that agree in key and
     ``order_by`` are told apart by their other columns. ``count_as`` adds the number of
-    rows each kept row stands for.
+    rows each kept row stands for, ``sums`` sums over those rows.
     """
     rest = [c for c in df.columns if c not in key and c != order_by]
     counts = [F.count(F.lit(1)).alias(count_as)] if count_as else []
-    first = df.groupBy(*key).agg(F.min(F.struct(order_by, *rest)).alias("_first"), *counts)
-    extra = [count_as] if count_as else []
+    totals = {name: F.sum(expr).alias(name) for name, expr in (sums or {}).items()}
+    first = df.groupBy(*key).agg(F.min(F.struct(order_by, *rest)).alias("_first"), *counts, *totals.values())
+    extra = [*([count_as] if count_as else []), *totals]
     return first.select(*key, "_first.*", *extra).select(*df.columns, *extra)
 
 
@@ -135,31 +140,3 @@ def _per_key(orders: DataFrame, amount: str, key: Sequence[str], order_by: str)
     return orders.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"), first[amount].alias("kept")
     )
-
-
-def copies_value(value: str = "order_value", copies: str = "n_copies") -> Column:
-    """What the removed copies of a kept row were worth; most rows have none."""
-    surplus = F.col(value) * (F.col(copies) - 1)
-    return F.when(F.col(copies) > 1, surplus).otherwise(F.lit(0))
-
-
-def reconcile_copies(valued: DataFrame) -> DataFrame:
-    """``reconcile`` for kept rows that carry the number of rows they stand for.
-
-    Copies agree in quantity, discount and product, hence in value: the raw total needs no
-    second look at the raw rows.
-    """
-    zero = F.lit(0)
-    return valued.agg(
-        F.coalesce(F.sum("n_copies"), zero).alias("raw_rows"),
-        F.count(zero).alias("clean_rows"),
-        F.coalesce(F.sum("order_value"), zero).alias("clean"),
-        F.coalesce(F.sum(copies_value()), zero).alias("surplus"),
-    ).select(
-        "raw_rows",
-        "clean_rows",
-        (F.col("raw_rows") - F.col("clean_rows")).alias("removed_rows"),
-        money(F.col("clean") + F.col("surplus")).alias("raw_total"),
-        money(F.col("clean")).alias("clean_total"),
-        money(F.col("surplus")).alias("delta"),
-    )

@@ -9,11 +9,24 @@ from orderlens.functions.labels import month_label
 from orderlens.functions.money import CENTS, line_value, net_units, priced, with_cents
 from orderlens.operators.skew import HotKeys, fold, spread_join
 
+
+def one_row_per_key(dimension: DataFrame, key: str) -> DataFrame:
+    """``dimension`` itself, once a grouped count has shown that no key repeats.
+
+    A repeated key would multiply orders and money in every join to it. NULL keys join to
+    nothing and don't count.
+    """
+    repeated = dimension.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").count()
+    if repeated:
+        raise ValueError(f"{repeated} values of {key} occur more than once in a dimension")
+    return dimension
+
+
 def order_value(
     orders: DataFrame, products: DataFrame, hot: HotKeys | None = None, how: str = "inner"
 ) -> DataFrame:
     """Every order row with its product attributes and its value."""
-    joined = spread_join(orders, with_cents(products), "product_id", how, hot)
+    joined = spread_join(orders, with_cents(one_row_per_key(products, "product_id")), "product_id", how, hot)
     return joined.withColumn("order_value", line_value(joined)).drop(CENTS)
 
 
@@ -26,7 +39,7 @@ def enrich_orders(
 ) -> DataFrame:
     """Left joins to both dimensions, with the value and the month of each order."""
     valued = order_value(orders, products, hot_products, "left")
-    joined = spread_join(valued, customers, "customer_id", "left", hot_customers)
+    joined = spread_join(valued, one_row_per_key(customers, "customer_id"), "customer_id", "left", hot_customers)
     return joined.withColumn("month", month_label(F.col("order_date")))
 
 
@@ -51,7 +64,7 @@ def fold_by_product(orders: DataFrame, *keys: str) -> DataFrame:
 def price_fold(folded: DataFrame, products: DataFrame) -> DataFrame:
     """Turn folded net units into money by the price of the product."""
     return (
-        folded.join(products, "product_id")
+        folded.join(one_row_per_key(products, "product_id"), "product_id")
         .withColumn("amount", priced(F.col("net"), F.col("price")))
         .withColumn("amount_returned", priced(F.col("net_returned"), F.col("price")))
         .drop("net", "net_returned")

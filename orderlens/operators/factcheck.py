@@ -9,8 +9,7 @@ from orderlens.functions.rows import unpack
 from orderlens.functions.text import number_tokens, renderings
 from orderlens.operators.skew import NO_HOT_KEYS, HotKeys, spread_join
 
-# Numbers that need no support - the numbering of a list, and years.
-LIST_NUMBERS = ("1", "2", "3", "4", "5")
+# Years need no support, nor do numbers of one or two characters.
 FIRST_YEAR, LAST_YEAR = 2000, 2099
 
 
@@ -66,7 +65,7 @@ def own_figures_score(checked: DataFrame) -> DataFrame:
 
 def needs_support(token: Column) -> Column:
     year = token.rlike(r"^[0-9]{4}$") & token.try_cast("int").between(FIRST_YEAR, LAST_YEAR)
-    return (F.length(token) > 2) & ~token.isin(*LIST_NUMBERS) & ~F.coalesce(year, F.lit(False))
+    return (F.length(token) > 2) & ~F.coalesce(year, F.lit(False))
 
 
 def unsupported_numbers(

@@ -27,6 +27,11 @@ def not_null(columns: Sequence[str]) -> list[Check]:
     return [Check(f"{c} not null", F.col(c).isNull()) for c in columns]
 
 
+def readable(line: str = "_corrupt") -> Check:
+    """Lines of a CSV file with a cell that did not fit its type, as ``read_csv`` keeps them."""
+    return Check("unreadable cell", F.col(line).isNotNull())
+
+
 def in_domain(domains: Mapping[str, Sequence]) -> list[Check]:
     """A NULL passes, as in a SQL CHECK."""
     return [Check(f"{c} in domain", ~F.col(c).isin(*values)) for c, values in domains.items()]

@@ -8,14 +8,16 @@ table, and brings two rows per quantile to the driver.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 4096
-SMALL_DOMAIN = 10_000
 SKETCH_ACCURACY = 10_000
+#: Cells beside the CELLS inside a bracket: below it, minus infinity, infinity, above it.
+BELOW, LOWEST, HIGHEST, ABOVE = -2, -1, CELLS, CELLS + 1
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
@@ -24,7 +26,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
 
 
 def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
-    """``exact_quantiles`` for several columns; the columns share the first two passes."""
+    """``exact_quantiles`` for several columns, which share the first pass."""
     values = df.select(
         *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in wanted]
     )
@@ -33,21 +35,12 @@ def quantiles_of(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[s
     for c, probabilities in wanted.items():
         edges = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
         sketches.append(
-            F.struct(
-                F.count(c).alias("n"),
-                F.approx_count_distinct(c).alias("distinct"),
-                F.percentile_approx(c, edges, SKETCH_ACCURACY).alias("edges"),
-            ).alias(c)
+            F.struct(F.count(c).alias("n"), F.percentile_approx(c, edges, SKETCH_ACCURACY).alias("edges")).alias(c)
         )
     seen = values.agg(*sketches).first()
-    small = [c for c in wanted if seen[c]["n"] and seen[c]["distinct"] <= SMALL_DOMAIN]
     result: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in wanted}
-    if small:
-        # One counter per distinct value fits any task.
-        exact = values.agg(*[F.percentile(c, list(wanted[c])).alias(c) for c in small]).first()
-        result.update({c: list(exact[c]) for c in small})
     for c in wanted:
-        if seen[c]["n"] and c not in small:
+        if seen[c]["n"] and wanted[c]:
             one = values.select(F.col(c).alias("v")).filter("v IS NOT NULL")
             result[c] = _by_histograms(one, wanted[c], seen[c]["n"], seen[c]["edges"])
     return result
@@ -62,35 +55,63 @@ def _by_histograms(
         for rank in (math.floor(position), math.ceil(position)):
             brackets[rank] = (edges[2 * i], edges[2 * i + 1])
     found: dict[int, float] = {}
+    started: set[int] = set()
     while brackets:
         for rank, (low, high) in _narrow(values, brackets).items():
             if low == high:
                 found[rank] = low
                 del brackets[rank]
+            elif rank in started and (low, high) == brackets[rank]:
+                raise RuntimeError(f"rank {rank} stays between {low} and {high}")
             else:
+                started.add(rank)
                 brackets[rank] = (low, high)
-    result = []
-    for position in positions:
-        low, high = found[math.floor(position)], found[math.ceil(position)]
-        result.append(low + (high - low) * (position - math.floor(position)))
-    return result
+    return [_between(found[math.floor(at)], found[math.ceil(at)], at) for at in positions]
+
+
+def _between(low: float, high: float, at: float) -> float:
+    """The interpolation of the built-in percentile, step by step."""
+    if low == high:
+        return low
+    return (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+
+def _cell(v: Column, low: float, high: float) -> Column:
+    """The number of the cell of ``v``: equal parts of the bracket's finite span, infinities apart."""
+    first, last = max(low, -sys.float_info.max), min(high, sys.float_info.max)
+    if not first < last:
+        inside = F.lit(0)
+    elif math.isfinite(last - first):
+        inside = F.floor((v - first) / (last - first) * CELLS)
+    else:
+        inside = F.floor((v / 2 - first / 2) / (last / 2 - first / 2) * CELLS)
+    return (
+        F.when(v < low, BELOW)
+        .when(v == -math.inf, LOWEST)
+        .when(v > high, ABOVE)
+        .when(v == math.inf, HIGHEST)
+        .otherwise(F.least(inside, F.lit(CELLS - 1)))
+    )
 
 
 def _narrow(values: DataFrame, brackets: dict[int, tuple[float, float]]) -> dict[int, tuple[float, float]]:
-    """One histogram pass: the smallest and largest value of the cell holding each rank."""
+    """One histogram pass: the smallest and largest value of the cell holding each rank.
+
+    After the first pass both ends of a bracket are values that occur and lie in different
+    cells, so every further pass narrows it.
+    """
     spans = sorted(set(brackets.values()))
     v = F.col("v")
-    cells = []
-    for i, (low, high) in enumerate(spans):
-        inside = F.least(F.floor((v - low) / (high - low) * CELLS), F.lit(CELLS - 1)) if high > low else F.lit(0)
-        cell = F.when(v < low, -1).when(v > high, CELLS).otherwise(inside)
-        cells.append(F.struct(F.lit(i).alias("span"), cell.cast("int").alias("cell")))
+    cells = [
+        F.struct(F.lit(i).alias("span"), _cell(v, low, high).cast("int").alias("cell"))
+        for i, (low, high) in enumerate(spans)
+    ]
     histogram = (
         values.select("v", F.explode(F.array(*cells)).alias("at"))
         .groupBy("at.span", "at.cell")
         .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
-    # At most (CELLS + 2) rows per span enter the window.
+    # At most (CELLS + 4) rows per span enter the window.
     upto = F.sum("n").over(Window.partitionBy("span").orderBy("cell"))
     ranked = histogram.select("span", "low", "high", "n", upto.alias("upto"))
     wanted = F.lit(False)

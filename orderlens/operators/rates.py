@@ -51,11 +51,14 @@ def rate_cells(orders: DataFrame, dims: Sequence[str]) -> DataFrame:
     return fold(orders, dims, n=_one(), n_returned=_returned())
 
 
-def rates_by_dimension(orders: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
+def rates_by_dimension(
+    orders: DataFrame, products: DataFrame, customers: DataFrame, lines: DataFrame | None = None
+) -> DataFrame:
     """Orders and return rate per payment method, category, city and channel, and overall.
 
     Customers and payment methods are folded first and then joined, and so are products:
-    no single order row is joined.
+    no single order row is joined. ``lines`` are the same orders where they can be had with
+    fewer columns: the product side needs product and return only.
     """
     per_customer = rate_cells(orders, ["customer_id", "payment_method"])
     attributes = customers.select("customer_id", "city", "acquisition_source")
@@ -63,7 +66,7 @@ def rates_by_dimension(orders: DataFrame, products: DataFrame, customers: DataFr
     cells = fold(
         per_customer.join(attributes, "customer_id", "left"), dims, n=F.col("n"), n_returned=F.col("n_returned")
     )
-    per_product = rate_cells(orders, ["product_id"]).join(products.select("product_id", "category"), "product_id")
+    per_product = rate_cells(orders if lines is None else lines, ["product_id"]).join(products.select("product_id", "category"), "product_id")
     by_category = rates_by_columns(
         fold(per_product, ["category"], n=F.col("n"), n_returned=F.col("n_returned")), ["category"]
     )
@@ -106,12 +109,6 @@ def worst_product(orders: DataFrame, products: DataFrame) -> DataFrame:
     return _largest_loss(price_fold(fold_by_product(returned), products))
 
 
-def worst_valued_product(valued: DataFrame) -> DataFrame:
-    """``worst_product`` for rows that have their product and value already."""
-    returned = valued.filter((F.col("returned") == 1) & F.col("product_name").isNotNull())
-    return _largest_loss(fold(returned, ["product_id", "product_name"], amount=F.col("order_value")))
-
-
 def _largest_loss(totals: DataFrame) -> DataFrame:
     return (
         totals.select("product_id", "product_name", money(F.col("amount")).alias("revenue_lost"))

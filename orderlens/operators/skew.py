@@ -21,35 +21,40 @@ SALT = "_salt"
 
 
 class HotKeys(NamedTuple):
-    """Keys holding more than a given share of the rows, and the largest such share."""
+    """Keys that fill more than a partition, and the share of all rows that each one holds."""
 
     values: tuple = ()
-    top_share: float = 0.0
-    nulls: bool = False
+    shares: tuple[float, ...] = ()
+    null_share: float = 0.0
 
 
 NO_HOT_KEYS = HotKeys()
 
 
 def hot_keys(
-    df: DataFrame, key: str, share: float = 0.005, min_rows: int = 100_000, tracked: int = 4096
+    df: DataFrame, key: str, share: float | None = None, min_rows: int = 100_000, tracked: int = 1 << 16
 ) -> HotKeys:
     """Find the keys with more than ``share`` of all rows by one pass with a bounded sketch.
 
-    Keys with at most ``min_rows`` rows fit any task and stay as they are. At most
-    ``1 / share`` keys come to the driver. The list only decides which rows are spread, so
-    a stale or incomplete list costs balance and never changes a result.
+    By default that is the share of an average shuffle partition. Keys with at most
+    ``min_rows`` rows fit any task and stay as they are. At most ``1 / share`` keys come to
+    the driver. The list only decides which rows are spread, so a stale or incomplete list
+    costs balance and never changes a result.
     """
-    most = math.ceil(1 / share)
+    if share is None:
+        share = 1 / max(2, _partitions(df))
+    most = min(math.ceil(1 / share), tracked)
     found, present, total = df.agg(
         F.expr(f"approx_top_k(`{key}`, {most}, {tracked})"), F.count(key), F.count(F.lit(1))
     ).first()
     limit = max(share * total, min_rows)
-    heavy = {r["item"]: r["count"] for r in found or () if r["item"] is not None and r["count"] > limit}
-    nulls = total - present if total - present > limit else 0
-    if not heavy and not nulls:
-        return NO_HOT_KEYS
-    return HotKeys(tuple(heavy), max([nulls, *heavy.values()]) / total, nulls > 0)
+    heavy = {r["item"]: r["count"] / total for r in found or () if r["item"] is not None and r["count"] > limit}
+    nulls = (total - present) / total if total - present > limit else 0.0
+    return HotKeys(tuple(heavy), tuple(heavy.values()), nulls)
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def fold(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
@@ -57,10 +62,23 @@ def fold(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
 
 
-def salt_count(df: DataFrame, hot: HotKeys) -> int:
-    """Enough salts that one piece of the hottest key is about one average partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, math.ceil(hot.top_share * partitions))
+def salt_count(df: DataFrame, share: float) -> int:
+    """Enough salts that one piece of a key with this share is about one average partition."""
+    return max(2, math.ceil(share * _partitions(df)))
+
+
+def _salts(df: DataFrame, key: str, hot: HotKeys) -> Column:
+    """How many salts the key of a row has: 1 unless it is hot."""
+    one = F.lit(1).cast("long")
+    counts = F.when(F.col(key).isNull(), F.lit(salt_count(df, hot.null_share)).cast("long"))
+    if not hot.values:
+        return counts.otherwise(one)
+    kind = df.schema[key].dataType
+    known = F.map_from_arrays(
+        F.array(*[F.lit(v).cast(kind) for v in hot.values]),
+        F.array(*[F.lit(salt_count(df, x)).cast("long") for x in hot.shares]),
+    )
+    return counts.otherwise(F.coalesce(F.try_element_at(known, F.col(key)), one))
 
 
 def spread_join(
@@ -81,16 +99,10 @@ def spread_join(
     """
     if hot is None:
         hot = hot_keys(fact, key)
-    if not hot.values and not hot.nulls:
+    if not hot.values and not hot.null_share:
         return fact.join(dim, key, how)
-    salts = salt_count(fact, hot)
-    first = F.lit(0).cast("long")
-    is_hot = F.col(key).isin(*hot.values) if hot.values else F.lit(False)
     columns = spread_by or [c for c in fact.columns if c != key]
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *columns), F.lit(salts).cast("long"))
-    salted = fact.withColumn(SALT, F.when(F.col(key).isNull() | is_hot, salt).otherwise(first))
-    every = F.sequence(first, F.lit(salts - 1).cast("long"))
-    repeated = dim.filter(F.col(key).isNotNull()).withColumn(
-        SALT, F.explode(F.when(is_hot, every).otherwise(F.array(first)))
-    )
-    return salted.join(repeated, [key, SALT], how).drop(SALT)
+    drawn = F.pmod(F.xxhash64(F.spark_partition_id(), *columns), _salts(fact, key, hot))
+    every = F.sequence(F.lit(0).cast("long"), _salts(dim, key, hot) - 1)
+    repeated = dim.filter(F.col(key).isNotNull()).withColumn(SALT, F.explode(every))
+    return fact.withColumn(SALT, drawn).join(repeated, [key, SALT], how).drop(SALT)

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from orderlens.functions.money import rate_pct
 from orderlens.functions.rows import unpack
 from orderlens.functions.text import amount_text
-from orderlens.operators.cleaning import copies_value
 
-# The figures every brief has to state.
+# Labels of the figures that every brief has to state.
 HEADLINE = {
     "Total revenue (clean)": "revenue",
     "Average order value": "avg_order_value",
@@ -27,34 +26,34 @@ def _best(order: Column, *columns: str) -> Column:
     return F.min(F.struct((-order).alias("_order"), *columns))
 
 
-def _rated(orders: DataFrame, subject: str, *keys: str) -> DataFrame:
-    n = F.count(F.lit(1))
+def _rated(cells: DataFrame, subject: str, *keys: str) -> DataFrame:
     return (
-        orders.filter(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False))
+        cells.filter(F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False)) == F.lit(False))
         .groupBy(subject, *keys)
-        .agg(n.alias("orders"), rate_pct(F.sum(F.col("returned").cast("long")), n).alias("rate"))
+        .agg(F.sum("n").alias("orders"), rate_pct(F.sum("n_returned"), F.sum("n")).alias("rate"))
     )
 
 
-def brief_figures(orders: DataFrame, subject: str) -> DataFrame:
-    """The figures of each subject, from orders that ``analyse`` has cleaned and flagged.
+def brief_figures(cells: DataFrame, orders: DataFrame, subject: str) -> DataFrame:
+    """The figures of each subject, from what ``analyse`` has cleaned, flagged and folded.
 
-    Each part aggregates to one row per subject; the parts are stacked and folded into one row.
+    All but the lost product come from the cells. Each part aggregates to one row per
+    subject; the parts are stacked and folded into one row.
     """
-    n = F.count(F.lit(1))
+    n = F.sum("n")
     value = F.col("order_value")
-    totals = orders.groupBy(subject).agg(
+    totals = cells.groupBy(subject).agg(
         n.alias("orders"),
-        F.date_format(F.min("order_date"), "yyyy-MM-dd").alias("first_day"),
-        F.date_format(F.max("order_date"), "yyyy-MM-dd").alias("last_day"),
-        F.round(F.sum(value), 2).alias("revenue"),
-        F.round(F.try_divide(F.sum(value).cast("double"), n), 2).alias("avg_order_value"),
-        rate_pct(F.sum(F.col("returned").cast("long")), n).alias("return_rate_pct"),
-        F.round(F.sum(value) + F.sum(copies_value()), 2).alias("raw_revenue"),
-        F.round(F.sum(copies_value()), 2).alias("duplicate_delta"),
+        F.date_format(F.min("first"), "yyyy-MM-dd").alias("first_day"),
+        F.date_format(F.max("last"), "yyyy-MM-dd").alias("last_day"),
+        F.round(F.sum("amount"), 2).alias("revenue"),
+        F.round(F.try_divide(F.sum("amount").cast("double"), n), 2).alias("avg_order_value"),
+        rate_pct(F.sum("n_returned"), n).alias("return_rate_pct"),
+        F.round(F.sum("amount") + F.sum("surplus"), 2).alias("raw_revenue"),
+        F.round(F.sum("surplus"), 2).alias("duplicate_delta"),
     )
     payments = (
-        _rated(orders, subject, "payment_method")
+        _rated(cells, subject, "payment_method")
         .groupBy(subject)
         .agg(
             _best(F.col("rate"), "payment_method", "rate").alias("worst"),
@@ -69,7 +68,7 @@ def brief_figures(orders: DataFrame, subject: str) -> DataFrame:
         )
     )
     risk = (
-        _rated(orders, subject, "payment_method", "city_tier")
+        _rated(cells, subject, "payment_method", "city_tier")
         .groupBy(subject)
         .agg(_best(F.col("rate"), "payment_method", "city_tier", "rate").alias("top"))
         .select(
@@ -80,9 +79,9 @@ def brief_figures(orders: DataFrame, subject: str) -> DataFrame:
         )
     )
     peaks = (
-        orders.filter(~F.col("is_outlier"))
+        cells.filter(~F.col("is_outlier"))
         .groupBy(subject, "month")
-        .agg(F.round(F.sum(value), 2).alias("amount"))
+        .agg(F.round(F.sum("amount"), 2).alias("amount"))
         .groupBy(subject)
         .agg(_best(F.col("amount"), "month", "amount").alias("top"))
         .select(subject, F.col("top.month").alias("peak_month"), F.col("top.amount").alias("peak_revenue"))

@@ -1,4 +1,4 @@
-"""The findings: every figure of the clean analysis, as frames and as one document."""
+"""The findings: every figure of the clean analysis, as a document of fixed fields and side tables."""
 
 from __future__ import annotations
 
@@ -9,20 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.labels import SPEND_TIERS, spend_tier
-from orderlens.functions.money import mean_money, money, rate_pct
-from orderlens.operators.cleaning import copies_value, fill_missing, keep_first, typed_orders
+from orderlens.functions.leaves import numeric_leaves
+from orderlens.functions.money import mean_money, money, net_units, priced, rate_pct
+from orderlens.functions.rows import unpack
+from orderlens.operators.cleaning import fill_missing, keep_first, typed_orders
 from orderlens.operators.correlation import correlation_matrix
 from orderlens.operators.enrich import enrich_orders
 from orderlens.operators.outliers import Fences, fences_of, flag_outliers
 from orderlens.operators.quantiles import quantiles_of
-from orderlens.operators.rates import (
-    best_period,
-    rank_risk,
-    rate_cells,
-    rates_by_columns,
-    trend,
-    worst_valued_product,
-)
+from orderlens.operators.rates import best_period, rank_risk, rates_by_columns
 from orderlens.operators.segments import customer_rollup
 from orderlens.operators.skew import HotKeys
 from orderlens.schemas import DEDUP_KEY, FINDINGS
@@ -43,6 +38,7 @@ KEPT_COLUMNS = (
     "order_value",
     "city_tier",
     "n_copies",
+    "copies_value",
     *DIMENSIONS,
 )
 
@@ -51,10 +47,20 @@ WEAK_NOTE = "all correlations are weak (|r| < 0.15) - no single numeric variable
 NOTABLE_NOTE = "at least one correlation is not weak (|r| >= 0.15)"
 
 
+# How outliers are found and treated.
+METHOD, HANDLING = "IQR (1.5x)", "flagged only, never dropped"
+
+# The side tables of the document: rates per label, revenue per month, ids of flagged orders.
+MONTHLY, FLAGGED = "monthly", "outliers.order_ids"
+TABLES = (*(f"returns.by_{d}" for d in DIMENSIONS), MONTHLY, FLAGGED)
+CELLS = (*DIMENSIONS, "city_tier", "month", "is_outlier")
+
+
 class Analysis(NamedTuple):
-    """Clean, enriched and flagged orders, and the fences behind the flags."""
+    """Clean, enriched and flagged orders, their sums per cell of labels, and the fences behind the flags."""
 
     orders: DataFrame
+    cells: DataFrame
     fences: Fences
 
 
@@ -68,57 +74,107 @@ def analyse(
 ) -> Analysis:
     """Clean, join and value the orders once and write the result to the shared folder.
 
-    Everything below reads that copy, each part only the columns it needs.
+    Everything below reads that copy, each part only the columns it needs. Copies may differ
+    in all but ``key``; what they are worth is summed before they go, at the price of their
+    product, so the product has to be in the key.
     """
-    unique = keep_first(typed_orders(raw_orders), key, count_as="n_copies")
+    if "product_id" not in key:
+        raise ValueError("the key of copies must hold product_id, which sets their price")
+    typed = typed_orders(raw_orders)
+    unique = keep_first(typed, key, count_as="n_copies", sums={"net_of_all": net_units(typed)})
     enriched = enrich_orders(unique, products, customers, hot_products, hot_customers)
+    enriched = enriched.withColumn("copies_value", priced(F.col("net_of_all") - net_units(enriched), F.col("price")))
     stored = stage(enriched.select(*KEPT_COLUMNS), "enriched-orders")
     known = quantiles_of(stored, {"quantity": [0.25, 0.75], "rating": [0.5]})
     fences = fences_of(*known["quantity"])
-    return Analysis(flag_outliers(fill_missing(stored, median=known["rating"][0]), "quantity", fences), fences)
+    orders = flag_outliers(fill_missing(stored, median=known["rating"][0]), "quantity", fences)
+    return Analysis(orders, stage(fold_cells(orders), "cells"), fences)
 
 
-def findings_document(
-    analysis: Analysis,
-    source_files: Sequence[str] = (),
-    tiers: Sequence[float] = (1200, 2500),
-    inline_ids: int = 1000,
-    inline_labels: int = 10_000,
-) -> DataFrame:
-    """All findings as one nested row.
-
-    The ids of flagged orders are listed in the document while they are at most
-    ``inline_ids``; beyond that the list is NULL and ``outlier_rows`` holds them all. In the
-    same way the map of a dimension with more than ``inline_labels`` labels is NULL, and
-    ``rates_by_columns`` holds the whole table.
-    """
-    orders = analysis.orders
-    monthly = trend(orders)
-    rates = rates_by_columns(rate_cells(orders, DIMENSIONS), DIMENSIONS)
-    matrix = correlation_matrix(orders, ("quantity", "discount_pct", "rating", "returned"))
-    with_returned = matrix.filter((F.col("var_y") == "returned") & (F.col("var_x") != "returned"))
-    tier = spend_tier(F.col("amount"), tiers)
-    totals = orders.agg(
+def fold_cells(orders: DataFrame) -> DataFrame:
+    """Sums per combination of labels, tier, month and flag: what most figures are made of."""
+    return orders.groupBy(*CELLS).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("n_copies").alias("n_raw"),
         F.sum(F.col("returned").cast("long")).alias("n_returned"),
-        F.coalesce(F.sum("order_value"), F.lit(0)).alias("amount"),
-        F.coalesce(F.sum(copies_value()), F.lit(0)).alias("surplus"),
+        F.sum("order_value").alias("amount"),
+        F.sum("copies_value").alias("surplus"),
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
-        F.count_if("is_outlier").alias("flagged"),
     )
-    by_month = monthly.agg(
-        _map(F.col("month"), F.col("revenue_without_outliers"), "kept"),
+
+
+def monthly_of(cells: DataFrame) -> DataFrame:
+    """Revenue per month with and without the flagged rows; NULL where all rows are flagged."""
+    return cells.groupBy("month").agg(
+        money(F.sum("amount")).alias("revenue_all_orders"),
+        money(F.sum(F.when(~F.col("is_outlier"), F.col("amount")))).alias("revenue_without_outliers"),
+    )
+
+
+def findings_tables(analysis: Analysis) -> DataFrame:
+    """The side tables of the document as rows ``(section, label, metric, value)``, whatever their size.
+
+    Flagged orders are rows without metric and value.
+    """
+    rates = rates_by_columns(analysis.cells, DIMENSIONS).filter(F.col("dimension") != "all")
+    cell = lambda metric: F.struct(F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
+    rates = unpack(
+        rates.withColumn("section", F.concat(F.lit("returns.by_"), "dimension")),
+        F.array(cell("orders"), cell("return_rate_pct")),
+        "section",
+        "label",
+    )
+    none = F.lit(None)
+    months = monthly_of(analysis.cells).filter("month IS NOT NULL AND revenue_without_outliers IS NOT NULL")
+    months = months.select(
+        F.lit(MONTHLY).alias("section"),
+        F.col("month").alias("label"),
+        none.cast("string").alias("metric"),
+        F.col("revenue_without_outliers").alias("value"),
+    )
+    flagged = analysis.orders.filter("is_outlier").select(
+        F.lit(FLAGGED).alias("section"),
+        F.col("order_id").cast("string").alias("label"),
+        none.cast("string").alias("metric"),
+        none.cast("double").alias("value"),
+    )
+    return rates.unionByName(months).unionByName(flagged)
+
+
+def figures(analysis: Analysis, document: DataFrame) -> DataFrame:
+    """All numbers of the document and of its side tables, as ``(path, value)``."""
+    rows = findings_tables(analysis).filter(F.col("value").isNotNull())
+    return numeric_leaves(document).unionByName(rows.select(F.concat_ws(".", "section", "label", "metric").alias("path"), "value"))
+
+
+def findings_document(
+    analysis: Analysis, source_files: Sequence[str] = (), tiers: Sequence[float] = (1200, 2500)
+) -> DataFrame:
+    """The findings as one nested row of fixed fields; ``tables`` names what ``findings_tables`` holds."""
+    orders, cells = analysis.orders, analysis.cells
+    matrix = correlation_matrix(orders, ("quantity", "discount_pct", "rating", "returned"))
+    with_returned = matrix.filter((F.col("var_y") == "returned") & (F.col("var_x") != "returned"))
+    tier = spend_tier(F.col("amount"), tiers)
+    totals = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.sum("n_raw").alias("n_raw"),
+        F.sum("n_returned").alias("n_returned"),
+        F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"),
+        F.coalesce(F.sum("surplus"), F.lit(0)).alias("surplus"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.coalesce(F.sum(F.when(F.col("is_outlier"), F.col("n"))), F.lit(0)).alias("flagged"),
+    )
+    by_month = monthly_of(cells).agg(
         best_period("revenue_all_orders").alias("peak_all"),
         best_period("revenue_without_outliers").alias("peak_kept"),
     )
     # One-row parts, each evaluated once and read by several fields below.
     parts = totals.withColumns(
         {
-            "rates": _row(_rate_maps(rates, inline_labels)),
-            "worst": _row(worst_valued_product(orders)),
-            "risk": _row(rank_risk(rate_cells(orders, ["payment_method", "city_tier"])).limit(1)),
+            "products": _row(_products(orders)),
+            "risk": _row(rank_risk(cells).limit(1)),
             "months": _row(by_month),
             "r": _row(
                 with_returned.agg(
@@ -134,8 +190,6 @@ def findings_document(
                     F.count(F.lit(1)).alias("all"), *[F.count_if(tier == t).alias(t) for t in SPEND_TIERS]
                 )
             ),
-            "n_products": orders.select("product_id").distinct().agg(F.count("product_id")).scalar(),
-            "order_ids": _outlier_ids(orders, inline_ids),
         }
     )
     n = F.col("n")
@@ -147,7 +201,7 @@ def findings_document(
             n.alias("clean_orders"),
             (F.col("n_raw") - n).alias("duplicates_removed"),
             F.col("people.all").alias("customers"),
-            F.col("n_products").alias("products"),
+            F.col("products.n").alias("products"),
             F.struct(_iso("first").alias("from"), _iso("last").alias("to")).alias("period"),
         ).alias("data"),
         F.struct(
@@ -159,22 +213,20 @@ def findings_document(
         F.struct(
             rate_pct(F.col("n_returned"), n).alias("overall_rate_pct"),
             F.col("n_returned").alias("returned_orders"),
-            *[F.col(f"rates.{d}").alias(f"by_{d}") for d in DIMENSIONS],
             F.struct(
-                F.col("worst.product_id").cast("string").alias("product_id"),
-                F.col("worst.product_name").alias("product_name"),
-                F.col("worst.revenue_lost").alias("revenue_lost_inr"),
+                F.col("products.worst.product_id").cast("string").alias("product_id"),
+                F.col("products.worst.product_name").alias("product_name"),
+                F.col("products.worst.revenue_lost").alias("revenue_lost_inr"),
             ).alias("worst_product_by_revenue_lost"),
         ).alias("returns"),
         F.col("risk").alias("highest_risk_segment"),
         F.struct(
-            F.lit("IQR (1.5x)").alias("method"),
+            F.lit(METHOD).alias("method"),
             F.lit(fences.q1).cast("double").alias("q1"),
             F.lit(fences.q3).cast("double").alias("q3"),
             F.lit(fences.upper).cast("double").alias("upper_fence"),
             F.col("flagged").alias("flagged_rows"),
-            "order_ids",
-            F.lit("flagged only, never dropped").alias("handling"),
+            F.lit(HANDLING).alias("handling"),
             F.col("months.peak_all").alias("peak_month_all_orders"),
             F.col("months.peak_kept").alias("peak_month_without_outliers"),
         ).alias("outliers"),
@@ -184,27 +236,22 @@ def findings_document(
             F.col("r.quantity").alias("quantity_vs_returned"),
             F.when(F.col("r.strongest") < 0.15, WEAK_NOTE).otherwise(NOTABLE_NOTE).alias("note"),
         ).alias("correlations"),
-        F.col("months.kept").alias("monthly"),
         F.struct(
             *[F.col("people")[t].alias(f"{t.split()[0].lower()}_value_customers") for t in SPEND_TIERS]
         ).alias("segment_summary"),
+        F.array(*[F.lit(t) for t in TABLES]).alias("tables"),
     )
     return document.select(*[F.col(f.name).cast(f.dataType) for f in FINDINGS.fields])
 
 
-def _rate_maps(rates: DataFrame, inline_labels: int) -> DataFrame:
-    """One map per dimension; dimensions with too many labels are left out beforehand."""
-    short = rates.groupBy("dimension").count().filter(F.col("count") <= inline_labels).select("dimension")
-    cell = F.struct("orders", "return_rate_pct")
-    here = {d: F.col("dimension") == d for d in DIMENSIONS}
-    return (
-        rates.join(short, "dimension", "left_semi")
-        .agg(
-            *[_map(F.when(here[d], F.col("label")), cell, d) for d in DIMENSIONS],
-            *[F.count_if(here[d]).alias(f"n_{d}") for d in DIMENSIONS],
-        )
-        .select(*[F.when(F.col(f"n_{d}") > 0, F.col(d)).alias(d) for d in DIMENSIONS])
+def _products(orders: DataFrame) -> DataFrame:
+    """How many products were ordered, and the one whose returned orders were worth the most."""
+    per_product = orders.groupBy("product_id", "product_name").agg(
+        money(F.sum(F.when(F.col("returned") == 1, F.col("order_value")))).alias("lost")
     )
+    known = F.col("lost").isNotNull() & F.col("product_name").isNotNull()
+    worst = F.min(F.when(known, F.struct((-F.col("lost")).alias("order"), "product_id", "product_name", F.col("lost").alias("revenue_lost"))))
+    return per_product.agg(F.count("product_id").alias("n"), worst.alias("worst"))
 
 
 def _row(df: DataFrame) -> Column:
@@ -212,22 +259,5 @@ def _row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
-def _map(key: Column, value: Column, name: str) -> Column:
-    """Rows with a key as one map, sorted by key; used for label domains only."""
-    entries = F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("key"), value.alias("value"))))
-    return F.map_from_entries(F.array_sort(entries)).alias(name)
-
-
 def _iso(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd")
-
-
-def _outlier_ids(orders: DataFrame, inline_ids: int) -> Column:
-    """All flagged ids in order, or NULL if there are more than ``inline_ids``."""
-    ids = orders.filter("is_outlier").select(F.col("order_id").cast("string").alias("order_id"))
-    some = F.array_sort(F.collect_list("order_id"))
-    return (
-        ids.limit(inline_ids + 1)
-        .agg(F.when(F.count(F.lit(1)) <= inline_ids, some).alias("ids"))
-        .scalar()
-    )

@@ -107,7 +107,7 @@ flagged as (select events.*, (value < lo or value > hi) as is_outlier from event
 """
 
 TREND = FENCES + """, trend as (
-  select strftime(ts, '%Y-%m-%d') as month,
+  select strftime(ts, '%Y-%m') as month,
          cast(sum(cast(value as decimal(18,2))) as double) as revenue_all_orders,
          cast(sum(case when not is_outlier then cast(value as decimal(18,2)) end) as double)
            as revenue_without_outliers,
@@ -268,6 +268,57 @@ leaves as ("""
 )
 
 
+def _text(path: str, value: str, tail: str = "") -> str:
+    return f"select '{path}' as path, cast({value} as varchar) as text, cast(null as double) as value {tail}"
+
+
+_LOST = (
+    "from (select product_id, product_name, round(sum(order_value), 2) as v from f where returned = 1"
+    " group by 1, 2 order by v desc, product_id limit 1)"
+)
+_MONTH = "from (select month, round(sum(order_value), 2) as v from f {} group by month order by v desc, month limit 1)"
+_TABLES = ("returns.by_payment_method", "returns.by_category", "returns.by_city", "returns.by_acquisition_source", "monthly", "outliers.order_ids")
+DOCUMENT = METRICS + " union all ".join(
+    [
+        "select path, cast(null as varchar) as text, value from leaves"
+        " where path not like 'returns.by\\_%' escape '\\' and path not like 'monthly.%'",
+        *[_text(f"data.source_files.{k}", f"'{t}'") for k, t in enumerate(("lineitem", "orders", "part", "customer"))],
+        _text("data.period.from", "strftime(min(order_date), '%Y-%m-%d')", "from f"),
+        _text("data.period.to", "strftime(max(order_date), '%Y-%m-%d')", "from f"),
+        _text("returns.worst_product_by_revenue_lost.product_id", "product_id", _LOST),
+        _text("returns.worst_product_by_revenue_lost.product_name", "product_name", _LOST),
+        _text("highest_risk_segment.payment_method", "payment_method", "from worst"),
+        _text("outliers.method", "'IQR (1.5x)'"),
+        _text("outliers.handling", "'flagged only, never dropped'"),
+        _text("outliers.peak_month_all_orders.month", "month", _MONTH.format("")),
+        _text("outliers.peak_month_without_outliers.month", "month", _MONTH.format("where not is_outlier")),
+        _text(
+            "correlations.note",
+            "case when greatest(abs(corr(discount_pct, returned)), abs(corr(rating, returned)), abs(corr(quantity, returned))) < 0.1495"
+            " then 'all correlations are weak (|r| < 0.15) - no single numeric variable explains returns'"
+            " else 'at least one correlation is not weak (|r| >= 0.15)' end",
+            "from f",
+        ),
+        *[_text(f"tables.{k}", f"'{t}'") for k, t in enumerate(_TABLES)],
+    ]
+)
+
+
+def _side_table(column: str) -> str:
+    head = f"select 'returns.by_{column}' as section, {column} as label"
+    tail = f"from f where {column} is not null group by {column}"
+    return f"{head}, 'orders' as metric, cast(count(*) as double) as value {tail} union all {head}, 'return_rate_pct', {RATE} {tail}"
+
+
+SIDE_TABLES = CLEAN + " union all ".join(
+    [
+        *[_side_table(c) for c in ("payment_method", "category", "city", "acquisition_source")],
+        f"select 'monthly', month, null, {REVENUE} from f where not is_outlier group by month",
+        "select 'outliers.order_ids', order_id, null, null from f where is_outlier",
+    ]
+)
+
+
 def _figures(subject: str, name: str) -> str:
     """CTE ``name`` with the brief figures per value of the expression ``subject``."""
     base = f"(select f.*, {subject} as subject from f)"
@@ -379,6 +430,15 @@ own_checked as (
 )
 
 
+KEYED = f"with {LINES}, keyed as " + """(select order_id, product_id, quantity, discount_pct, concat_ws('; ',
+        case when discount_pct is null then 'discount_pct not null' end,
+        case when order_id > min(order_id) over (partition by order_key) then 'order_key repeated' end,
+        case when not exists (select 1 from part where p_size > 5 and p_partkey = product_id)
+             then 'product_id unknown' end,
+        case when not exists (select 1 from orders where o_orderstatus <> 'F' and o_orderkey = order_key)
+             then 'order_key unknown' end) as reasons from lines)
+"""
+
 ORACLE: dict[str, str] = {
     "report1_headline": FACT
     + f"""select {ORDERS} as total_orders, cast(count(distinct customer_id) as bigint) as customers,
@@ -487,10 +547,10 @@ ORACLE: dict[str, str] = {
        order by return_rate desc, orders desc, customer_id limit 5""",
     "risk_segment": FACT + RISK + " where payment_method = '1-URGENT' group by 1, 2",
     "risk_ranking": FACT + RISK + " group by 1, 2",
-    "rating_contrast": f"with {LINES} "
+    "rating_contrast": f"with {LINES}, filled as (select returned, coalesce(rating, (select median(rating) from lines)) as rating from lines) "
     + f"""select case when rating <= 2 then 'rating 1-2' else 'rating 4-5' end as band, {ORDERS} as orders,
        round(cast(100 as double) * sum(returned) / count(*), 1) as return_rate_pct
-       from lines where rating <= 2 or rating >= 4 group by 1""",
+       from filled where rating <= 2 or rating >= 4 group by 1""",
     "rate_by_all_dims": FACT
     + f""", wide as (select fact.*, city, acquisition_source from fact left join customers using (customer_id)),
     cells as (select payment_method, category, city, acquisition_source, {ORDERS} as orders,
@@ -579,6 +639,13 @@ ORACLE: dict[str, str] = {
         case when not exists (select 1 from part where p_size > 5 and p_partkey = product_id)
              then 'product_id unknown' end) as reasons from lines)
     select * from checked where reasons <> ''""",
+    "dq_accepted": KEYED + "select order_id, product_id, quantity, discount_pct from keyed where reasons = ''",
+    "dq_rejected_keys": KEYED + "select order_id, reasons from keyed where reasons <> ''",
+    "csv_roundtrip": f"with {LINES} "
+    + """select order_id, 'C' || order_key as customer_id, 'P' || product_id as product_id, '2026-01-31' as day,
+       case when order_key % 50 <> 7 then quantity end as quantity, discount_pct, rating, returned,
+       concat_ws('; ', case when order_key % 50 = 7 then 'unreadable cell' end,
+                 case when discount_pct is null then 'discount_pct not null' end) as reasons from lines""",
     "ingest_roundtrip": f"with {HEADERS} select order_key, customer_id, order_date, payment_method,"
     " strftime(order_date, '%Y-%m') as order_month from headers",
     "chart_rate_by_payment": FACT
@@ -586,7 +653,16 @@ ORACLE: dict[str, str] = {
     select payment_method, return_rate_pct, (select {RATE} from fact) as overall_rate_pct,
       return_rate_pct = (select max(return_rate_pct) from rates) as is_highest from rates""",
     "chart_monthly_revenue": FACT + f"select month, {REVENUE} as revenue from fact group by 1",
+    "findings_document": DOCUMENT,
+    "findings_tables": SIDE_TABLES,
     "findings_metrics": METRICS + "select * from leaves",
+    "findings_roundtrip": DOCUMENT,
+    "reconcile_short_key": CLEAN.replace("partition by " + COPY_KEY, "partition by customer_id, product_id, order_date").replace(
+        "order by order_id, rating", "order by order_id, quantity, discount_pct nulls first, payment_method, rating"
+    )
+    + f"""select cast((select count(*) from raw) as bigint) as raw_orders, {ORDERS} as clean_orders,
+       (select {REVENUE} from (select {VALUE} as order_value from raw left join products using (product_id))) as raw_total_inr,
+       {REVENUE} as clean_total_inr from f""",
     "narrative_render": CLEAN + f", {BRIEFS} select text_id, text from briefs",
     "fact_check_headline": FACT_CHECK + "select text_id, label, ok from checked",
     "fact_check_score": FACT_CHECK
@@ -602,6 +678,10 @@ ORACLE: dict[str, str] = {
     "brief_scores": CHECKED_BRIEFS
     + f"""select text_id, cast(count(*) filter (where ok) as bigint) as matched, {ORDERS} as total
        from own_checked group by 1""",
+    "brief_store": CHECKED_BRIEFS
+    + f"""select text_id, any_value(text) as text, 'template' as generated_by,
+       cast(count(*) filter (where ok) as bigint) as matched, {ORDERS} as total
+       from own_checked join briefs using (text_id) group by 1""",
     "text_word_count": "select doc_id, cast(len(list_filter(string_split_regex(text, "
     f"'{SPACES}+'), lambda w: w <> '')) as bigint) as words from documents",
 }

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.functions.leaves import numeric_leaves
+from orderlens.functions.leaves import leaves
 from orderlens.functions.money import money
 from orderlens.functions.text import word_count
 from orderlens.operators import cleaning, correlation, enrich, factcheck, outliers, quality, rates, segments
 from orderlens.plans import briefs, charts, findings, reports
-from orderlens.session import new_path
+from orderlens.session import new_path, staged_generation
 from orderlens.sources import benchmark_tables as bench
-from orderlens.sources.tables import read_table, write_table
+from orderlens.schemas import ORDERS
+from orderlens.sources.tables import read_csv, read_findings, read_table, write_briefs, write_findings, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -255,19 +256,19 @@ def iqr_outliers(spark, folder):
     return outliers.outlier_rows(bench.table(spark, folder, "events"), "value").select("event_id", "user_id", "value")
 
 
-def _daily_trend(spark, folder):
+def _event_trend(spark, folder):
     flagged = outliers.flag_outliers(_event_values(spark, folder), "value")
-    return rates.trend(flagged, "amount", F.date_format("order_date", "yyyy-MM-dd"))
+    return rates.trend(flagged, "amount")
 
 
 @query
 def monthly_trend_clean(spark, folder):
-    return _daily_trend(spark, folder)
+    return _event_trend(spark, folder)
 
 
 @query
 def peak_month(spark, folder):
-    return rates.peaks(_daily_trend(spark, folder))
+    return rates.peaks(_event_trend(spark, folder))
 
 
 # Customers
@@ -311,12 +312,14 @@ def risk_ranking(spark, folder):
 
 @query
 def rating_contrast(spark, folder):
-    return rates.rating_contrast(_lines(spark, folder))
+    return rates.rating_contrast(cleaning.fill_median(_lines(spark, folder), "rating"))
 
 
 @query
 def rate_by_all_dims(spark, folder):
-    return rates.rates_by_dimension(_labelled(spark, folder), _products(spark, folder), _customers(spark, folder))
+    return rates.rates_by_dimension(
+        _labelled(spark, folder), _products(spark, folder), _customers(spark, folder), _lines(spark, folder)
+    )
 
 
 @query
@@ -436,6 +439,45 @@ def dq_quarantine(spark, folder):
     )
 
 
+def _keyed(spark, folder):
+    """Lines routed by a primary key (the order: only its first line may stay) and two foreign keys."""
+    large = bench.table(spark, folder, "part").filter("p_size > 5")
+    open_orders = bench.table(spark, folder, "orders").filter("o_orderstatus <> 'F'")
+    references = [
+        ("product_id", large, "p_partkey", _hot_products(spark, folder)),
+        ("order_key", open_orders, "o_orderkey", bench.hot(spark, folder, "lineitem", "l_orderkey")),
+    ]
+    return quality.route(_lines(spark, folder), quality.not_null(["discount_pct"]), references, ("order_key", "order_id"))
+
+
+@query
+def dq_accepted(spark, folder):
+    return quality.accepted(_keyed(spark, folder)).select("order_id", "product_id", "quantity", "discount_pct")
+
+
+@query
+def dq_rejected_keys(spark, folder):
+    return quality.rejected(_keyed(spark, folder)).select("order_id", F.concat_ws("; ", "reject_reasons").alias("reasons"))
+
+
+@query
+def csv_roundtrip(spark, folder):
+    """Order rows through a CSV file without header, with blanks and cells that are no numbers."""
+    lines = _lines(spark, folder)
+    quantity = F.when(F.col("order_key") % 50 == 7, "many").otherwise(F.col("quantity").cast("string"))
+    rows = lines.select(
+        "order_id", F.concat(F.lit("C"), "order_key"), F.concat(F.lit("P"), "product_id"), F.lit("2026-01-31"),
+        quantity, "discount_pct", F.lit("Card"), "rating", "returned",
+    )
+    path = new_path(spark, "csv")
+    rows.toDF(*ORDERS.names).write.csv(path)
+    routed = quality.route(read_csv(spark, path, ORDERS), [quality.readable(), *quality.not_null(["discount_pct"])])
+    return routed.select(
+        "order_id", "customer_id", "product_id", F.date_format("order_date", "yyyy-MM-dd").alias("day"), "quantity",
+        "discount_pct", "rating", "returned", F.concat_ws("; ", "reject_reasons").alias("reasons"),
+    )
+
+
 @query
 def ingest_roundtrip(spark, folder):
     headers = bench.order_headers(spark, folder)
@@ -473,31 +515,44 @@ HEADLINE_PATHS = {
 }
 
 
+_ANALYSES: dict[tuple, findings.Analysis] = {}
+
+
 def _analysis(spark, folder):
-    return findings.analyse(
-        bench.retail_raw(spark, folder),
-        _products(spark, folder),
-        _customers(spark, folder),
-        hot_products=_hot_products(spark, folder),
-        hot_customers=_hot_customers(spark, folder),
-    )
+    """The analysis of a folder, staged once and shared by the queries until the staged tables go."""
+    wanted = (spark.sparkContext.applicationId, folder, staged_generation())
+    if wanted not in _ANALYSES:
+        _ANALYSES.clear()
+        _ANALYSES[wanted] = findings.analyse(
+            bench.retail_raw(spark, folder),
+            _products(spark, folder),
+            _customers(spark, folder),
+            hot_products=_hot_products(spark, folder),
+            hot_customers=_hot_customers(spark, folder),
+        )
+    return _ANALYSES[wanted]
 
 
 def _document(analysis):
     return findings.findings_document(analysis, ["lineitem", "orders", "part", "customer"], BENCHMARK_TIERS)
 
 
+def _figures(analysis):
+    return findings.figures(analysis, _document(analysis))
+
+
 def _headline(figures):
     label = F.element_at(F.create_map(*[F.lit(x) for pair in HEADLINE_PATHS.items() for x in pair]), F.col("path"))
     return figures.filter(F.col("path").isin(*HEADLINE_PATHS)).select(label.alias("label"), "value")
 
 
 def _city_figures(analysis):
-    return briefs.brief_figures(analysis.orders, "city")
+    return briefs.brief_figures(analysis.cells, analysis.orders, "city")
 
 
 def _company_figures(analysis):
-    return briefs.brief_figures(analysis.orders.withColumn("company", F.lit("The company")), "company")
+    named = [df.withColumn("company", F.lit("The company")) for df in (analysis.cells, analysis.orders)]
+    return briefs.brief_figures(*named, "company")
 
 
 def _texts(spark, folder, analysis):
@@ -508,13 +563,33 @@ def _texts(spark, folder, analysis):
 
 @query
 def findings_document(spark, folder):
-    document = _document(_analysis(spark, folder))
-    return document.select(F.to_json(F.struct(*document.columns)).alias("document"))
+    return leaves(_document(_analysis(spark, folder)))
+
+
+@query
+def findings_tables(spark, folder):
+    return findings.findings_tables(_analysis(spark, folder))
 
 
 @query
 def findings_metrics(spark, folder):
-    return numeric_leaves(_document(_analysis(spark, folder)))
+    return _figures(_analysis(spark, folder))
+
+
+@query
+def findings_roundtrip(spark, folder):
+    path = new_path(spark, "findings")
+    write_findings(_document(_analysis(spark, folder)), path)
+    return leaves(read_findings(spark, path))
+
+
+@query
+def reconcile_short_key(spark, folder):
+    """Raw against clean revenue where copies agree in customer, product and day only."""
+    key = ("customer_id", "product_id", "order_date")
+    analysis = findings.analyse(bench.retail_raw(spark, folder), _products(spark, folder), _customers(spark, folder), key,
+                                _hot_products(spark, folder), _hot_customers(spark, folder))
+    return findings.findings_document(analysis).select("data.raw_orders", "data.clean_orders", "revenue.raw_total_inr", "revenue.clean_total_inr")
 
 
 @query
@@ -525,21 +600,21 @@ def narrative_render(spark, folder):
 @query
 def fact_check_headline(spark, folder):
     analysis = _analysis(spark, folder)
-    figures = numeric_leaves(_document(analysis))
+    figures = _figures(analysis)
     return factcheck.headline_check(_texts(spark, folder, analysis), _headline(figures))
 
 
 @query
 def fact_check_score(spark, folder):
     analysis = _analysis(spark, folder)
-    figures = numeric_leaves(_document(analysis))
+    figures = _figures(analysis)
     return factcheck.headline_score(_texts(spark, folder, analysis), _headline(figures))
 
 
 @query
 def fact_check_unsupported(spark, folder):
     analysis = _analysis(spark, folder)
-    figures = numeric_leaves(_document(analysis))
+    figures = _figures(analysis)
     return factcheck.unsupported_numbers(_texts(spark, folder, analysis), figures)
 
 
@@ -561,6 +636,18 @@ def brief_scores(spark, folder):
     return factcheck.own_figures_score(_checked_briefs(spark, folder))
 
 
+@query
+def brief_store(spark, folder):
+    """Briefs stored with their scores and how they were made, and read back."""
+    figures = _city_figures(_analysis(spark, folder))
+    texts = briefs.render_briefs(figures, "city")
+    scores = factcheck.own_figures_score(factcheck.own_figures_check(texts, briefs.stated_figures(figures, "city")))
+    path = new_path(spark, "briefs")
+    write_briefs(texts, scores, path)
+    stored = read_table(spark, path)
+    return stored.filter("generated_at IS NOT NULL").select("text_id", "text", "generated_by", "matched", "total")
+
+
 @query
 def text_word_count(spark, folder):
     return bench.table(spark, folder, "documents").select("doc_id", word_count(F.col("text")).alias("words"))

@@ -8,7 +8,6 @@ from pyspark.sql.types import (
     DoubleType,
     IntegerType,
     LongType,
-    MapType,
     StringType,
     StructField,
     StructType,
@@ -69,7 +68,7 @@ RANGES = {
 }
 FOREIGN_KEYS = {"orders": {"customer_id": "customers", "product_id": "products"}}
 
-_RATE = _struct(("orders", LongType()), ("return_rate_pct", DoubleType()))
+# Names of the fields of the findings document.
 _PEAK = _struct(("month", StringType()), ("revenue_inr", DoubleType()))
 FINDINGS = _struct(
     (
@@ -98,10 +97,6 @@ FINDINGS = _struct(
         _struct(
             ("overall_rate_pct", DoubleType()),
             ("returned_orders", LongType()),
-            ("by_payment_method", MapType(StringType(), _RATE)),
-            ("by_category", MapType(StringType(), _RATE)),
-            ("by_city", MapType(StringType(), _RATE)),
-            ("by_acquisition_source", MapType(StringType(), _RATE)),
             (
                 "worst_product_by_revenue_lost",
                 _struct(
@@ -129,7 +124,6 @@ FINDINGS = _struct(
             ("q3", DoubleType()),
             ("upper_fence", DoubleType()),
             ("flagged_rows", LongType()),
-            ("order_ids", ArrayType(StringType())),
             ("handling", StringType()),
             ("peak_month_all_orders", _PEAK),
             ("peak_month_without_outliers", _PEAK),
@@ -144,7 +138,6 @@ FINDINGS = _struct(
             ("note", StringType()),
         ),
     ),
-    ("monthly", MapType(StringType(), DoubleType())),
     (
         "segment_summary",
         _struct(
@@ -153,4 +146,5 @@ FINDINGS = _struct(
             ("high_value_customers", LongType()),
         ),
     ),
+    ("tables", ArrayType(StringType())),
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -29,12 +30,13 @@ def build_session(app: str = "orderlens", cores: int | str = "*", shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a session in one local process, as in tests, may lack that setting and gets a folder
+    of its own; with executors on other machines a machine-local folder would be wrong.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     return _local_dir()
 
@@ -66,8 +68,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_GENERATION = [0]
+
+
+def staged_generation() -> int:
+    """Grows when staged tables are dropped: whatever reads older ones is void."""
+    return _GENERATION[0]
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this process has staged, once no result needs it any more."""
+    _GENERATION[0] += 1
     while _STAGED:
         path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

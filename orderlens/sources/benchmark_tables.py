@@ -44,6 +44,11 @@ def hot(spark: SparkSession, folder: str, name: str, column: str) -> HotKeys:
     return _HOT[wanted]
 
 
+def forget_hot_keys() -> None:
+    """Look hot keys up anew from now on."""
+    _HOT.clear()
+
+
 def hot_customers(spark: SparkSession, folder: str) -> HotKeys:
     """Customers with many orders, and the customers of orders with many lines."""
     many_orders = hot(spark, folder, "orders", "o_custkey")
@@ -53,7 +58,9 @@ def hot_customers(spark: SparkSession, folder: str) -> HotKeys:
     owners = table(spark, folder, "orders").filter(F.col("o_orderkey").isin(*many_lines.values))
     keys = {row["o_custkey"] for row in owners.select("o_custkey").distinct().collect()}
     values = tuple(sorted({*many_orders.values, *keys} - {None}))
-    return HotKeys(values, max(many_orders.top_share, many_lines.top_share), many_orders.nulls)
+    known = dict(zip(many_orders.values, many_orders.shares, strict=True))
+    most = max(many_lines.shares)
+    return HotKeys(values, tuple(max(known.get(v, 0.0), most if v in keys else 0.0) for v in values), many_orders.null_share)
 
 
 def messy_priority(key, label):

@@ -38,15 +38,21 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, as_text: bool =
 
 
 def read_retail_csv(spark: SparkSession, folder: str, raw_orders_as_text: bool = False) -> Retail:
-    return Retail(
-        _plain(read_csv(spark, f"{folder}/orders.csv", schemas.ORDERS, raw_orders_as_text)),
-        _plain(read_csv(spark, f"{folder}/products.csv", schemas.PRODUCTS)),
-        _plain(read_csv(spark, f"{folder}/customers.csv", schemas.CUSTOMERS)),
-    )
+    """The three tables; a cell that does not fit its type is an error.
+
+    ``read_csv`` and ``quality.readable`` route such lines to the rejects instead.
+    """
 
+    def strict(name: str, schema: StructType, as_text: bool = False) -> DataFrame:
+        if as_text:
+            return read_csv(spark, f"{folder}/{name}.csv", schema, True)
+        return spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(f"{folder}/{name}.csv")
 
-def _plain(df: DataFrame) -> DataFrame:
-    return df.drop("_corrupt")
+    return Retail(
+        strict("orders", schemas.ORDERS, raw_orders_as_text),
+        strict("products", schemas.PRODUCTS),
+        strict("customers", schemas.CUSTOMERS),
+    )
 
 
 def write_table(
@@ -68,11 +74,6 @@ def write_routed(routed: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """Store a table bucketed and sorted by a join key, so later joins on it do not shuffle."""
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-
-
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)

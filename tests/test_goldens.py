@@ -10,7 +10,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.functions.leaves import numeric_leaves
 from orderlens.operators import factcheck, quality
 from orderlens.operators.cleaning import clean_orders, clean_orders_fill_first, removed_copies, typed_orders
 from orderlens.plans import briefs, findings, reports
@@ -184,19 +183,20 @@ def test_cleaning(tables):
 
 def test_findings(analysis):
     document = findings.findings_document(analysis)
-    found = {r["path"]: r["value"] for r in numeric_leaves(document).collect()}
+    found = {r["path"]: r["value"] for r in findings.figures(analysis, document).collect()}
     assert {k: found[k] for k in FINDINGS} == FINDINGS
     out = json.loads(document.toJSON().first())["outliers"]
-    assert out["order_ids"] == ["O0011", "O0098"]
+    flagged = findings.findings_tables(analysis).filter(f"section = '{findings.FLAGGED}'")
+    assert sorted(r["label"] for r in flagged.collect()) == ["O0011", "O0098"]
     assert out["peak_month_all_orders"]["month"] == "2026-01"
     assert out["peak_month_without_outliers"]["month"] == "2026-03"
 
 
 def test_brief_is_supported(analysis):
     document = findings.findings_document(analysis)
-    figures = briefs.brief_figures(analysis.orders.withColumn("company", F.lit("The company")), "company")
+    figures = briefs.brief_figures(*(df.withColumn("company", F.lit("The company")) for df in (analysis.cells, analysis.orders)), "company")
     text = briefs.render_briefs(figures, "company")
     headline = briefs.stated_figures(figures, "company").select("label", "value")
     score = factcheck.headline_score(text, headline).first()
     assert (score["matched"], score["total"]) == (7, 7)
-    assert factcheck.unsupported_numbers(text, numeric_leaves(document)).count() == 0
+    assert factcheck.unsupported_numbers(text, findings.figures(analysis, document)).count() == 0

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens.operators import outliers, quantiles
 
@@ -15,9 +16,7 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("small_domain", [0, 10_000])
-def test_equals_numpy(spark, monkeypatch, name, small_domain):
-    monkeypatch.setattr(quantiles, "SMALL_DOMAIN", small_domain)
+def test_equals_numpy(spark, monkeypatch, name):
     monkeypatch.setattr(quantiles, "CELLS", 64)
     values = CASES[name]
     rows = [(float(v),) for v in values] + [(None,), (float("nan"),)]
@@ -27,6 +26,23 @@ def test_equals_numpy(spark, monkeypatch, name, small_domain):
     assert found == pytest.approx(list(np.quantile(values, wanted)), rel=1e-12)
 
 
+HARD = {
+    "infinities": [float("inf")] * 30 + [float("-inf")] * 5 + [i / 7 for i in range(65)],
+    "whole range": [s * 1.7e308 * k / 40 for k in range(41) for s in (-1, 1)],
+    "tiny": [5e-324 * k for k in range(40)],
+    "one third": [2.5] * 40 + [0.1 * k for k in range(77)],
+    "many": [((k * 7919) % 12007) / 3 for k in range(12007)],
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_equals_the_built_in_percentile(spark, name):
+    df = spark.createDataFrame([(v,) for v in HARD[name]], "v double")
+    wanted = [0.0, 0.05, 0.25, 0.5, 0.7, 0.75, 0.99, 1.0]
+    exact = df.agg(F.percentile("v", wanted)).first()[0]
+    assert repr(quantiles.exact_quantiles(df, "v", wanted)) == repr(list(exact))
+
+
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert quantiles.exact_quantiles(df, "v", [0.5]) == [None]

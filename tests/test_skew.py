@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from orderlens.operators.skew import NO_HOT_KEYS, hot_keys, spread_join
+from orderlens.operators.skew import NO_HOT_KEYS, hot_keys, salt_count, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -24,10 +24,21 @@ def rows(df):
 
 def test_hot_keys_finds_the_heavy_key_and_nulls(fact):
     assert hot_keys(fact, "k") == NO_HOT_KEYS
-    hot = hot_keys(fact, "k", min_rows=0)
+    hot = hot_keys(fact, "k", share=0.005, min_rows=0)
     assert hot.values == (5,)
-    assert hot.nulls
-    assert 0.25 < hot.top_share < 0.34
+    assert hot.null_share > 0.1 and 0.25 < hot.shares[0] < 0.34
+
+
+def test_a_small_share_is_hot_for_many_partitions(spark):
+    df = spark.range(20_000).selectExpr("if(id % 500 = 0, 7, id + 100) as k", "id as payload")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        hot = hot_keys(df, "k", min_rows=0)
+        assert hot.values == (7,) and hot.shares == (0.002,)
+        spread = spread_join(df, spark.createDataFrame([(7, "x")], "k long, label string"), "k", "left", hot)
+        assert spread.count() == 20_000 and salt_count(df, hot.shares[0]) == 4 and salt_count(df, 0.0001) == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_no_hot_key_leaves_a_plain_join(fact, dim):
