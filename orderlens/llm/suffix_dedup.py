@@ -17,8 +17,8 @@ one anchor have to be compared, each by its context, the bytes that windows arou
 4. Each document gets its intervals and gives up the bytes under them.
 
 Defined cases: a null text is empty; texts shorter than a window keep all their bytes; a null
-id counts as smaller than all others; documents of one id are ordered by a hash of their text,
-and rows with equal id and text are one document, with equal results; an empty table gives no
+id counts as smaller than all others; documents of one id are told apart and ordered by a 64-bit
+hash of their text, the mark ``m`` that goes with the id ``d`` through all steps, and rows with equal id and text are one document, with equal results; an empty table gives no
 rows. A text is cut into overlapping pieces for hashing, so memory for scratch arrays is bounded.
 """
 
@@ -50,8 +50,6 @@ INSIDE, SYMBOLS = (WINDOW - SYMBOL + 1) // SYMBOL, CONTEXT // SYMBOL
 MANY = 512
 PIECE = 1 << 18
 NO_ID = -(2**63)
-#: ``at`` is a start in the lower bits and a hash of the text above them.
-START_BITS = 40
 
 _SEED = seeds(CONTEXT // 8 + 4, 61)
 _LEAD = np.array([(0xFFFFFFFFFFFFFFFF << 8 * k) & 0xFFFFFFFFFFFFFFFF for k in range(9)], np.uint64)
@@ -116,37 +114,31 @@ def context_hashes(data: np.ndarray, at: np.ndarray, before: np.ndarray, after:
     return mix(total)
 
 
-def text_marks(texts: pa.Array) -> np.ndarray:
-    """The upper bits of ``at``: a hash of each text, so documents of one id are told apart."""
-    data, offsets = joined(texts)
-    raw = memoryview(data)
-    marks = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=2).digest(), "little") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return np.array(marks, np.int64) << START_BITS
-
-
-def folded(h: np.ndarray, c: np.ndarray, d: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Rows (h, c, d, at, kind) with repeats of equal (h, c) marked as copies and dealt out by place."""
-    order = np.lexsort((at, d, c, h))
-    h, c, d, at = h[order], c[order], d[order], at[order]
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] != at[:-1]))
+def folded(h: np.ndarray, c: np.ndarray, d: np.ndarray, m: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Rows (h, c, d, m, at, kind) with repeats of equal (h, c) marked as copies and dealt out by place."""
+    order = np.lexsort((at, m, d, c, h))
+    h, c, d, m, at = h[order], c[order], d[order], m[order], at[order]
+    equal = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
     # equal places after an equal place are the same one (rows repeated, pieces overlapping)
     same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1]) & (at[1:] == at[:-1])
+    same[1:] = equal & (d[1:] == d[:-1]) & (m[1:] == m[:-1]) & (at[1:] == at[:-1])
+    again = np.zeros(len(h), bool)
+    again[1:] = equal & ~same[1:]
     kept = ~same
-    h, c, d, at, again = h[kept], c[kept], d[kept], at[kept], again[kept]
-    h = np.where(again, mix(d.view(np.uint64) * np.uint64(3) + at.view(np.uint64)), h)
-    return [h.view(np.int64), c.view(np.int64), d, at, np.where(again, COPY, FIRST).astype(np.int32)]
+    h, c, d, m, at, again = h[kept], c[kept], d[kept], m[kept], at[kept], again[kept]
+    h = np.where(again, mix(d.view(np.uint64) * np.uint64(3) + m.view(np.uint64) * np.uint64(5) + at.view(np.uint64)), h)
+    return [h.view(np.int64), c.view(np.int64), d, m, at, np.where(again, COPY, FIRST).astype(np.int32)]
 
 
-PLACES = "h long, c long, d long, at long, kind int"
+PLACES = "h long, c long, d long, m long, at long, kind int"
+PLACE_NAMES = ["h", "c", "d", "m", "at", "kind"]
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             data, offsets = joined(batch.column("text"))
-            ids, marks = batch.column("d").to_numpy(), text_marks(batch.column("text"))
+            ids, marks = batch.column("d").to_numpy(), batch.column("m").to_numpy()
             found: list[list[np.ndarray]] = []
             first = 0
             # runs of texts of about a piece, or overlapping pieces of one long text
@@ -163,56 +155,57 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     after = np.minimum(offsets[doc + 1] - at, AFTER)
                     lo, hi = max(a - BEFORE, 0), min(b + AFTER, len(data))
                     c = context_hashes(data[lo:hi], at - lo, before, after)
-                    found.append([h, c, ids[doc], (at - offsets[doc]) + marks[doc]])
+                    found.append([h, c, ids[doc], marks[doc], at - offsets[doc]])
                 first = last
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in folded(*(np.concatenate(x) for x in zip(*found, strict=True)))], ["h", "c", "d", "at", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in folded(*(np.concatenate(x) for x in zip(*found, strict=True)))], PLACE_NAMES)
 
 
 def after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, c, d, at): copies as they are, later ones of equal (h, c) as copies,
+    """Rows sorted by (h, c, d, m, at): copies as they are, later ones of equal (h, c) as copies,
     first ones of an ``h`` with several ``c`` as FIRST or, of more than ``MANY``, FIRST_OF_MANY.
 
     Streams: what is held back is at most ``MANY`` rows of one ``h``.
     """
-    names = ["h", "c", "d", "at", "kind"]
+    names = PLACE_NAMES
     last_h = last_c = last_place = None
     held: list[np.ndarray] = []
     many = False
 
     def flush(rows: list[np.ndarray]) -> np.ndarray:
-        out = np.concatenate(rows, 1) if rows else np.zeros((5, 0), np.int64)
+        out = np.concatenate(rows, 1) if rows else np.zeros((len(names), 0), np.int64)
         return out if out.shape[1] > 1 else out[:, :0]
 
     for batch in batches:
         if not batch.num_rows:
             continue
+        names = batch.schema.names
         rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names])
-        out = [rows[:, rows[4] == COPY]]
-        rows = rows[:, rows[4] != COPY]
+        out = [rows[:, rows[-1] == COPY]]
+        rows = rows[:, rows[-1] != COPY]
         if rows.shape[1]:
             new_h = np.append(True if last_h is None else rows[0, 0] != last_h, rows[0, 1:] != rows[0, :-1])
             new_c = new_h | np.append(last_c is None or rows[1, 0] != last_c, rows[1, 1:] != rows[1, :-1])
-            place = rows[2:4]
+            place = rows[2:-1]
             moved = np.append(last_place is None or bool((place[:, 0] != last_place).any()), (place[:, 1:] != place[:, :-1]).any(0))
             last_h, last_c, last_place = rows[0, -1], rows[1, -1], place[:, -1].copy()
             copies = rows[:, ~new_c & moved].copy()
-            copies[4] = COPY
+            copies[-1] = COPY
             out.append(copies)
             rows, new_h = rows[:, new_c].copy(), new_h[new_c]
-            rows[4] = FIRST
+            rows[-1] = FIRST
             cut = np.flatnonzero(new_h)
             ends = np.append(cut[1:], rows.shape[1]) if len(cut) else np.zeros(0, np.int64)
             head = rows[:, : cut[0]] if len(cut) else rows  # goes on with the h held back
             if head.shape[1]:
                 if many:
-                    head[4] = FIRST_OF_MANY
+                    head[-1] = FIRST_OF_MANY
                     out.append(head)
                 else:
                     held.append(head.copy())
                     if sum(x.shape[1] for x in held) > MANY:
                         many, start = True, np.concatenate(held, 1)
-                        start[4] = FIRST_OF_MANY
+                        start[-1] = FIRST_OF_MANY
                         out.append(start)
                         held = []
             if len(cut):
@@ -221,39 +214,36 @@ def after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 length = ends - cut
                 inner = rows[:, cut[0] : cut[-1]]
                 size = np.repeat(length[:-1], length[:-1])
-                inner[4] = np.where(size > MANY, FIRST_OF_MANY, FIRST)
+                inner[-1] = np.where(size > MANY, FIRST_OF_MANY, FIRST)
                 out.append(inner[:, size > 1])
                 tail = rows[:, cut[-1] :].copy()
                 many = tail.shape[1] > MANY
                 held = [] if many else [tail]
                 if many:
-                    tail[4] = FIRST_OF_MANY
+                    tail[-1] = FIRST_OF_MANY
                     out.append(tail)
         done = np.concatenate(out, 1)
         if done.shape[1]:
-            yield pa.RecordBatch.from_arrays([*(pa.array(done[k]) for k in range(4)), pa.array(done[4].astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, done[:-1]), pa.array(done[-1].astype(np.int32))], names)
     if not many:
         done = flush(held)
         if done.shape[1]:
-            yield pa.RecordBatch.from_arrays([*(pa.array(done[k]) for k in range(4)), pa.array(done[4].astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, done[:-1]), pa.array(done[-1].astype(np.int32))], names)
 
 
-def starts_of(found: list | None, mark: int) -> np.ndarray:
-    """Columns (start, kind or stop, h) of the places that belong to the text with this mark."""
-    rows = np.array([(x["at"], x["kind"], x["h"]) for x in found or []], np.int64).reshape(-1, 3)
-    rows = rows[(rows[:, 0] >> START_BITS << START_BITS) == mark]
-    rows[:, 0] &= (1 << START_BITS) - 1
-    return rows
+def starts_of(found: list | None) -> np.ndarray:
+    """Columns (start, kind or stop, h) of a text's places."""
+    return np.array([(x["at"], x["kind"], x["h"]) for x in found or []], np.int64).reshape(-1, 3)
 
 
 def fetch_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text", 2 << 20):
             data, offsets = joined(batch.column("text"))
-            marks, ids = text_marks(batch.column("text")), batch.column("d").to_numpy()
+            ids, marks = batch.column("d").to_numpy(), batch.column("m").to_numpy()
             padded = np.concatenate((np.zeros(BEFORE, np.uint8), data, np.zeros(AFTER, np.uint8)))
             for i, found in enumerate(batch.column("found")):
-                rows = starts_of(found.as_py(), marks[i])
+                rows = starts_of(found.as_py())
                 for low in range(0, len(rows), 4096):
                     start, kind, h = rows[low : low + 4096].T
                     base = offsets[i] + start
@@ -262,21 +252,25 @@ def fetch_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     after = np.minimum(offsets[i + 1] - base, AFTER)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(h), pa.array(np.full(len(h), ids[i])), pa.array(start + marks[i]), pa.array(kind.astype(np.int32)),
+                            pa.array(h), pa.array(np.full(len(h), ids[i])), pa.array(np.full(len(h), marks[i])), pa.array(start), pa.array(kind.astype(np.int32)),
                             pa.array((BEFORE - before).astype(np.int32)), pa.array((BEFORE + after).astype(np.int32)),
                             pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(h), [None, pa.py_buffer(np.ascontiguousarray(text))]).cast(pa.binary()),
                         ],
-                        ["h", "d", "at", "kind", "low", "high", "context"],
+                        ["h", "d", "m", "at", "kind", "low", "high", "context"],
                     )
 
 
-CONTEXTS = "h long, d long, at long, kind int, low int, high int, context binary"
+CONTEXTS = "h long, d long, m long, at long, kind int, low int, high int, context binary"
 
 
-def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(d, at, stop) of the intervals that a block of whole anchor groups covers by earlier windows."""
-    order = np.lexsort([part.column(k).to_numpy() for k in ("at", "d", "h")])
-    d, at, low, high = (part.column(k).to_numpy()[order].astype(np.int64) for k in ("d", "at", "low", "high"))
+def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(d, m, at, stop) of the intervals that a block of whole anchor groups covers by earlier windows."""
+    order = np.lexsort([part.column(k).to_numpy() for k in ("at", "m", "d", "h")])
+    ids, marks, at, low, high = (part.column(k).to_numpy()[order].astype(np.int64) for k in ("d", "m", "at", "low", "high"))
+    # documents by number, in the order of their keys
+    sort = np.lexsort((marks, ids))
+    d = np.empty(len(ids), np.int64)
+    d[sort] = np.cumsum(np.append(False, (ids[sort][1:] != ids[sort][:-1]) | (marks[sort][1:] != marks[sort][:-1])))
     raw, _ = joined(part.column("context"))
     text = raw.reshape(-1, CONTEXT)[order]
     n = len(text)
@@ -307,7 +301,7 @@ def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     good = (start >= low[row]) & (start + WINDOW <= high[row]) & (start <= SPREAD)
     run, row, out, start = run[good], row[good], out[good], start[good]
     if not len(run):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     inner = np.arange(SYMBOL)
     column = np.where(inner[None, :] < out[:, None], start[:, None] + inner, start[:, None] + INSIDE * SYMBOL + inner)
     ends = text[row[:, None], column]
@@ -328,13 +322,12 @@ def compare(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.append(True, (d[row][1:] != d[row][:-1]) | (begin[1:] > begin[:-1] + WINDOW)) if len(row) else np.zeros(0, bool)
     first = np.flatnonzero(edge)
     last = np.append(first[1:], len(row)) - 1
-    return d[row[first]], begin[first], begin[last] + WINDOW if len(row) else begin
+    return ids[row[first]], marks[row[first]], begin[first], begin[last] + WINDOW if len(row) else begin
 
 
 def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in whole_groups(batches, ["h"], rows=2_000, size=4 << 20):
-        d, at, stop = compare(part)
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(at), pa.array(stop)], ["d", "at", "stop"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, compare(part))], ["d", "m", "at", "stop"])
 
 
 def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +338,7 @@ def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         raw, _ = joined(batch.column("context"))
         text = raw.reshape(-1, CONTEXT)
-        d, at, low, high = (batch.column(k).to_numpy().astype(np.int64) for k in ("d", "at", "low", "high"))
+        d, m, at, low, high = (batch.column(k).to_numpy().astype(np.int64) for k in ("d", "m", "at", "low", "high"))
         four = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 4, 1)).view("<u4")[..., 0].astype(np.uint64)
         found = []
         for start in range(SPREAD + 1):
@@ -355,35 +348,38 @@ def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 x = four[good, start + 4 * k]
                 one = (one ^ x) * _SEED[0] + (one >> np.uint64(29))
                 two = (two + x) * _SEED[1] ^ (two >> np.uint64(31))
-            found.append([mix(one), mix(two), d[good], at[good] - BEFORE + start])
-        h, c, d, at, kind = folded(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, d, at, kind)], ["h", "c", "d", "at", "kind"])
+            found.append([mix(one), mix(two), d[good], m[good], at[good] - BEFORE + start])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in folded(*(np.concatenate(x) for x in zip(*found, strict=True)))], PLACE_NAMES)
 
 
 def document_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def text_mark(column: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")).cast("binary"))
+
+
 def repeats(docs: DataFrame, column: str = "text") -> DataFrame:
-    """(d, found) with the places of each document: starts of intervals, and their ends (0: an anchor's context)."""
+    """(d, m, found) with the places of each document: starts of intervals, and their ends (0: an anchor's context)."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(document_key().alias("d"), F.coalesce(F.col(column), F.lit("")).cast("binary").alias("text"))
+    texts = docs.select(document_key().alias("d"), text_mark(column).alias("m"), F.coalesce(F.col(column), F.lit("")).cast("binary").alias("text"))
     rows = in_arrow(texts, find_anchors, PLACES)
-    marked = stage(rows.repartition("h").sortWithinPartitions("h", "c", "d", "at").mapInArrow(after_first, PLACES), "anchors")
-    wanted = marked.where(f"kind <> {COPY}").groupBy("d").agg(F.collect_list(F.struct("at", "kind", "h")).alias("found"))
-    contexts = stage(texts.join(wanted.hint("shuffle_hash"), "d").mapInArrow(fetch_contexts, CONTEXTS), "contexts")
-    few = contexts.where(f"kind = {FIRST}").repartition("h").sortWithinPartitions("h").mapInArrow(compare_blocks, "d long, at long, stop long")
+    marked = stage(rows.repartition("h").sortWithinPartitions("h", "c", "d", "m", "at").mapInArrow(after_first, PLACES), "anchors")
+    wanted = marked.where(f"kind <> {COPY}").groupBy("d", "m").agg(F.collect_list(F.struct("at", "kind", "h")).alias("found"))
+    contexts = stage(texts.join(wanted.hint("shuffle_hash"), ["d", "m"]).mapInArrow(fetch_contexts, CONTEXTS), "contexts")
+    few = contexts.where(f"kind = {FIRST}").repartition("h").sortWithinPartitions("h").mapInArrow(compare_blocks, "d long, m long, at long, stop long")
     windows = contexts.where(f"kind = {FIRST_OF_MANY}").mapInArrow(single_windows, PLACES)
-    windows = windows.repartition("h").sortWithinPartitions("h", "c", "d", "at").mapInArrow(after_first, PLACES).where(f"kind = {COPY}")
-    places = marked.where(f"kind = {COPY}").select("d", "at", F.lit(0).cast("long").alias("stop"))
-    places = places.unionByName(few).unionByName(windows.select("d", "at", (F.col("at") + WINDOW).alias("stop")))
-    return places.groupBy("d").agg(F.collect_list(F.struct("at", F.col("stop").alias("kind"), F.lit(0).cast("long").alias("h"))).alias("found"))
+    windows = windows.repartition("h").sortWithinPartitions("h", "c", "d", "m", "at").mapInArrow(after_first, PLACES).where(f"kind = {COPY}")
+    places = marked.where(f"kind = {COPY}").select("d", "m", "at", F.lit(0).cast("long").alias("stop"))
+    places = places.unionByName(few).unionByName(windows.select("d", "m", "at", (F.col("at") + WINDOW).alias("stop")))
+    return places.groupBy("d", "m").agg(F.collect_list(F.struct("at", F.col("stop").alias("kind"), F.lit(0).cast("long").alias("h"))).alias("found"))
 
 
-def covered(found: list | None, mark: int, size: int) -> np.ndarray:
+def covered(found: list | None, size: int) -> np.ndarray:
     """For each byte of a text whether one of its intervals covers it."""
-    rows = starts_of(found, mark)
-    start, stop = rows[:, 0], np.where(rows[:, 1], rows[:, 1] - mark, 0)
+    rows = starts_of(found)
+    start, stop = rows[:, 0], rows[:, 1]
     anchor = rows[:, 1] == 0
     first = np.where(anchor, np.maximum(start - BEFORE, 0), start)
     stop = np.where(anchor, np.minimum(start + AFTER, size), stop)
@@ -395,7 +391,8 @@ def dedup(docs: DataFrame, keep: list[str], replace: bool, column: str = "text")
     """``keep`` columns of all rows and n_bytes, n_removed, n_spans, kept_sha256; with ``replace``
     instead all columns, the text without its repeats (bytes left of cut characters go too)."""
     found = repeats(docs, column)
-    given = docs.withColumn("_d", document_key()).join(found.select(F.col("d").alias("_d"), F.col("found").alias("_found")).hint("shuffle_hash"), "_d", "left")
+    given = docs.withColumn("_d", document_key()).withColumn("_m", text_mark(column))
+    given = given.join(found.select(F.col("d").alias("_d"), F.col("m").alias("_m"), F.col("found").alias("_found")).hint("shuffle_hash"), ["_d", "_m"], "left")
     given = given.select(*dict.fromkeys([*keep, column]), "_found")
     names = [*keep] if replace else [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     schema = StructType([docs.schema[c] for c in keep])
@@ -408,11 +405,10 @@ def dedup(docs: DataFrame, keep: list[str], replace: bool, column: str = "text")
         for whole in batches:
             for batch in slices(whole, column):
                 data, offsets = joined(batch.column(column))
-                marks = text_marks(batch.column(column))
                 made, texts = [], []
                 for i, places in enumerate(batch.column("_found")):
                     own = data[offsets[i] : offsets[i + 1]]
-                    gone = covered(places.as_py(), marks[i], len(own)) if places.is_valid else np.zeros(len(own), bool)
+                    gone = covered(places.as_py(), len(own)) if places.is_valid else np.zeros(len(own), bool)
                     left = own[~gone].tobytes()
                     spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                     made.append((len(own), int(gone.sum()), spans))

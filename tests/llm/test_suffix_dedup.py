@@ -96,6 +96,20 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_many_texts_of_one_id(spark):
+    draw = random.Random(21)
+    texts = ["".join(draw.choice("abcdefghijklmnop") for _ in range(150)) for _ in range(3000)]
+    pairs = [(t, f"{t}{i:08d}") for i, t in enumerate(texts[:1500])]
+    rows = [(None, t) for t in texts] + [(None, b) for _, b in pairs]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {}
+    for r in suffix_dedup.without_repeats(docs.withColumn("same", docs.text)).collect():
+        left[r.same] = r.text
+    assert len(left) == len(rows) and all(left[t] == t for t in texts[1500:])
+    # of two texts with a common string one keeps it, whichever comes first by its hash
+    assert all((left[a], left[b]) in ((a, b[150:]), ("", b)) for a, b in pairs)
+
+
 def test_long_text_in_pieces():
     import numpy as np
 
