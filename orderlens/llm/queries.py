@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, decontaminate, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
+from orderlens.llm import bpe, decontaminate, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, speculative_bpe, suffix_dedup, token_counts, url_filters
 from orderlens.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
     return maxent_lm.score(table(spark, folder, "documents"))
 
 
+def op11_speculative_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every document by speculate and verify, as digests."""
+    return speculative_bpe.encode_decode(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_license_scan": op2_license_scan,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram_join": op9_ngram_join,
     "op10_maxent_lm": op10_maxent_lm,
+    "op11_speculative_bpe": op11_speculative_bpe,
 }
 
 #: None can be said in SQL: each operator learns, hashes or encodes. tests/llm compares them with brute force.
