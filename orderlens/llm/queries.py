@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, decontaminate, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, speculative_bpe, suffix_dedup, token_counts, url_filters
+from orderlens.llm import bpe, conversation_repair, decontaminate, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, speculative_bpe, suffix_dedup, token_counts, url_filters
 from orderlens.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op11_speculative_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return speculative_bpe.encode_decode(table(spark, folder, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every conversation, damaged by a checksum before."""
+    return conversation_repair.audit(conversation_repair.damage(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_license_scan": op2_license_scan,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_maxent_lm": op10_maxent_lm,
     "op11_speculative_bpe": op11_speculative_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: None can be said in SQL: each operator learns, hashes or encodes. tests/llm compares them with brute force.
