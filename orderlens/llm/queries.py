@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlens.llm import bpe, conversation_repair, decontaminate, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, speculative_bpe, suffix_dedup, token_counts, url_filters
+from orderlens.llm import bpe, conversation_repair, decontaminate, lexical_search, license_scan, maxent_lm, ngram_join, quality_classifier, quality_rules, speculative_bpe, suffix_dedup, token_counts, url_filters
 from orderlens.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op11_speculative_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return speculative_bpe.encode_decode(table(spark, folder, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Faults, cheapest edits and repaired digest of every conversation, damaged by a checksum before."""
     return conversation_repair.audit(conversation_repair.damage(table(spark, folder, "conversations")))
@@ -82,8 +87,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_maxent_lm": op10_maxent_lm,
     "op11_speculative_bpe": op11_speculative_bpe,
+    "op12_lexical_search": op12_lexical_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
-#: None can be said in SQL: each operator learns, hashes or encodes. tests/llm compares them with brute force.
-ORACLE: dict[str, str] = {}
+#: Only ranked search can be said in SQL: the others learn, hash or encode. tests/llm compares them with brute force.
+ORACLE: dict[str, str] = {
+    "op12_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, number, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT doc_id, text, row_number() OVER () AS number FROM documents)
+        ), counted AS (
+            SELECT number, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words GROUP BY number, term
+        ), sizes AS (
+            SELECT number, sum(tf)::BIGINT AS n FROM counted GROUP BY number
+        ), whole AS (
+            SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes
+        ), shares AS (
+            SELECT term, count(*) AS df FROM counted GROUP BY term
+        ), items AS (
+            SELECT DISTINCT item_id, text, unnest(list_distinct(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+            FROM benchmark
+        ), scored AS (
+            SELECT item_id, text, number, any_value(doc_id) AS doc_id,
+                   sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+                       * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+            FROM items JOIN counted USING (term) JOIN shares USING (term) JOIN sizes USING (number) CROSS JOIN whole
+            GROUP BY item_id, text, number
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        QUALIFY rank <= 10
+    """,
+}
