@@ -10,7 +10,8 @@ merges). Words are encoded in three steps, many at a time:
    border comes before the merges that build the tokens at that border. All distinct pairs
    are tested together, following the right edge of the one token and the left edge of the
    other back through their merges.
-3. Only words with a failing pair are merged exactly, with a heap of the possible merges.
+3. Only words with a failing pair are merged exactly: short ones many at a time, one merge of
+   each word in a round, long ones each with a heap of its possible merges.
 
 Words are the matches of the byte-level pattern in the text between special tokens; each
 distinct run of white space and word is handled once, and a bounded memory of the worker
@@ -47,14 +48,18 @@ from orderlens.llm.common import in_arrow, text_or_empty
 from orderlens.llm.textbytes import slices
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct units that a worker remembers, and the longest one worth it.
-REMEMBERED, LONGEST = 300_000, 64
+#: Distinct units after which a worker puts its memory aside (and forgets what it put aside before), and the longest one worth it.
+REMEMBERED, LONGEST = 200_000, 64
+#: Bytes of a word that is merged together with others; a longer one has a heap of its own.
+SHORT = 48
 #: Characters of one piece of a text, and of the pieces whose new units are learnt together.
-PIECE, TOGETHER = 1 << 16, 1 << 20
+PIECE, TOGETHER = 1 << 16, 1 << 18
 #: White space as the pattern's engine reads it: a fixed class of Unicode.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No match holds a white-space character after another one, so these units hold whole matches.
 _UNITS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: A unit of Latin letters with one sign behind them at most: its matches are these two, as is most often so.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
 _CUT = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 _NEVER = np.iinfo(np.int64).max
 
@@ -75,7 +80,9 @@ class SpeculativeBpe:
         self._merges(spec["model"])
         self._tree()
         self.matches = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as unsigned 32-bit integers
+        self.older: dict[str, bytes] = {}
+        self.decimal = [str(i) for i in range(self.size)]
         self.exact = 0  # words that needed exact merging
 
     def _specials(self, added: list[dict]) -> None:
@@ -101,6 +108,7 @@ class SpeculativeBpe:
         made = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
         if len(np.unique(made)) != len(made):
             raise ValueError("a token is made by two merges: not supported")
+        self.made = made
         self.byte_ids = [vocabulary[c] for c in byte_characters()]
         self.rank = np.full(self.size, -1, np.int64)  # -1: a single byte
         self.rank[made] = np.arange(len(made))
@@ -108,6 +116,8 @@ class SpeculativeBpe:
         self.first[made], self.second[made] = self.left, self.right
         order = np.argsort(self.left * self.size + self.right)
         self.pair_keys, self.pair_ranks = (self.left * self.size + self.right)[order], order
+        if (np.maximum(self.rank[self.left], self.rank[self.right]) >= np.arange(len(made))).any():
+            raise ValueError("a merge comes before its parts are made: not supported")
         self.merge = {(a, b): (r, c) for r, (a, b, c) in enumerate(zip(self.left.tolist(), self.right.tolist(), made.tolist(), strict=True))}
         # a token whose own parts would have merged otherwise never comes out of the merges
         sound = self.compatible(self.left, self.right, inner=True)
@@ -208,7 +218,49 @@ class SpeculativeBpe:
                 heapq.heappush(heap, (new[0], h, new[1]))
         return tuple(i for i in ids if i >= 0)
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = _find(self.pair_keys, x * self.size + y)
+        return np.where(at >= 0, self.pair_ranks[at], _NEVER)
+
+    def merged_together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many short words: in each round the merge that is next in each word, wherever it fits."""
+        size = np.array([len(w) for w in words], np.int64)
+        ids = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        word, row = np.repeat(np.arange(len(words)), size), np.arange(len(words))
+        rank = np.full(len(ids), _NEVER)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+        out = [b""] * len(words)
+        while len(ids):
+            begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least = np.minimum.reduceat(rank, begin)
+            length = np.diff(np.append(begin, len(ids)))
+            over = least == _NEVER
+            if over.any():
+                flat = ids.astype("<u4").tobytes()
+                for w, a, n in zip(row[over].tolist(), begin[over].tolist(), length[over].tolist(), strict=True):
+                    out[w] = flat[4 * a : 4 * (a + n)]
+                stay = np.repeat(~over, length)
+                ids, word, rank, row, least, length = ids[stay], word[stay], rank[stay], row[~over], least[~over], length[~over]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, length))
+            # of hits that overlap (equal tokens in a row) every other one, from the left
+            fresh = np.concatenate(([True], np.diff(hit) > 1))
+            at = np.flatnonzero(fresh)
+            hit = hit[(np.arange(len(hit)) - np.repeat(at, np.diff(np.append(at, len(hit))))) % 2 == 0]
+            ids[hit] = self.made[rank[hit]]
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            place = np.cumsum(stay)[hit] - 1
+            ids, word, rank = ids[stay], word[stay], rank[stay]
+            rank[place] = _NEVER
+            again = np.unique(np.concatenate((place, place[place > 0] - 1)))
+            again = again[again + 1 < len(ids)]
+            rank[again] = np.where(word[again] == word[again + 1], self._ranks(ids[again], ids[again + 1]), _NEVER)
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of words (none empty): speculate, verify, and merge exactly where the check fails."""
         if not words:
             return []
@@ -220,18 +272,24 @@ class SpeculativeBpe:
         wrong = border[~self.compatible(keys // self.size, keys % self.size)[back]]
         failing = np.zeros(len(words), bool)
         failing[np.searchsorted(at, wrong, "right") - 1] = True
-        flat, cut = ids.tolist(), at.tolist()
-        out = [tuple(flat[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-        for w in np.flatnonzero(failing).tolist():
-            out[w] = self.merged(words[w])
-        self.exact += int(failing.sum())
+        flat, cut = ids.astype("<u4").tobytes(), (4 * at).tolist()
+        out = [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        fails = np.flatnonzero(failing).tolist()
+        short = [w for w in fails if len(words[w]) <= SHORT]
+        for w, found in zip(short, self.merged_together([words[w] for w in short]), strict=True):
+            out[w] = found
+        for w in fails:
+            if len(words[w]) > SHORT:
+                out[w] = np.array(self.merged(words[w]), "<u4").tobytes()
+        self.exact += len(fails)
         return out
 
-    def _learn(self, units: set[str]) -> dict[str, tuple[int, ...]]:
-        split = {u: self.matches(u) for u in units}
-        words = list({m for found in split.values() for m in found})
+    def _learn(self, units: Iterable[str]) -> dict[str, bytes]:
+        split = {u: (m[1], m[2]) if (m := _PLAIN.fullmatch(u)) else self.matches(u) for u in units}
+        words = list(set(chain.from_iterable(split.values())) - {""})
         ids = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
-        return {u: tuple(chain.from_iterable(map(ids.__getitem__, found))) for u, found in split.items()}
+        ids[""] = b""
+        return {u: b"".join(map(ids.__getitem__, found)) for u, found in split.items()}
 
     def _pieces(self, text: str) -> Iterator[str | int]:
         """The text in pieces that can be encoded apart; special tokens as their ids."""
@@ -263,20 +321,17 @@ class SpeculativeBpe:
 
     def _encode(self, pieces: list[tuple[int, str | int]]) -> Iterator[tuple[int, list[int]]]:
         units = [_UNITS.findall(p) if isinstance(p, str) else [] for _, p in pieces]
-        known = self.known
-        new = {u for found in units for u in found if u not in known}
-        if new:
-            learnt = self._learn(new)
-            if len(known) + len(learnt) > REMEMBERED:
-                learnt |= {u: known[u] for found in units for u in found if u in known}
-                known.clear()
-            known |= {u: x for u, x in learnt.items() if len(u) <= LONGEST}
-            if len(known) > REMEMBERED:  # one round alone holds more: forget it after use
-                known, self.known = dict(known), {}
-            if any(len(u) > LONGEST for u in new):
-                known = known | learnt
+        known, older = self.known, self.older
+        fresh = set(chain.from_iterable(units)).difference(known)
+        known |= {u: older[u] for u in fresh if u in older}
+        learnt = self._learn(fresh.difference(older))
+        known |= {u: x for u, x in learnt.items() if len(u) <= LONGEST}
+        long = {u: x for u, x in learnt.items() if len(u) > LONGEST}
+        find = known.__getitem__ if not long else (known | long).__getitem__
         for (number, piece), found in zip(pieces, units, strict=True):
-            yield number, list(chain.from_iterable(map(known.__getitem__, found))) if isinstance(piece, str) else [piece]
+            yield number, np.frombuffer(b"".join(map(find, found)), "<u4").tolist() if isinstance(piece, str) else [piece]
+        if len(known) > REMEMBERED:  # what isn't met again before the next time is forgotten then
+            self.known, self.older = {}, known
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
@@ -302,13 +357,13 @@ class _Digests:
     """Number of ids, SHA-256 of their decimals and of the decoded text, piece by piece."""
 
     def __init__(self, bpe: SpeculativeBpe):
-        self.table, self.n = bpe.table, 0
+        self.table, self.decimal, self.n = bpe.table, bpe.decimal, 0
         self.ids, self.text = hashlib.sha256(), hashlib.sha256()
         self.reader = codecs.getincrementaldecoder("utf-8")("replace")
 
     def add(self, ids: list[int]) -> None:
         if ids:
-            self.ids.update(("," * bool(self.n) + ",".join(map(str, ids))).encode())
+            self.ids.update(("," * bool(self.n) + ",".join(map(self.decimal.__getitem__, ids))).encode())
             self.n += len(ids)
             self.text.update(self.reader.decode(b"".join(map(self.table.__getitem__, ids))).encode())
 
