@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.labels import month_label
@@ -11,15 +11,18 @@ from orderlens.operators.skew import HotKeys, fold, spread_join
 
 
 def one_row_per_key(dimension: DataFrame, key: str) -> DataFrame:
-    """``dimension`` itself, once a grouped count has shown that no key repeats.
+    """``dimension`` without NULL keys, which join to nothing; reading a key that repeats raises an error.
 
-    A repeated key would multiply orders and money in every join to it. NULL keys join to
-    nothing and don't count.
+    A repeated key would multiply orders and money in every join to it. The check is part of
+    the plan: rows are numbered per key behind the exchange and the sort that a join on the key
+    asks for, and the second row of a key raises. Nothing runs while a plan is built, and no
+    group is gathered.
     """
-    repeated = dimension.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").count()
-    if repeated:
-        raise ValueError(f"{repeated} values of {key} occur more than once in a dimension")
-    return dimension
+    number = "_row_of_key"
+    numbered = dimension.where(F.col(key).isNotNull()).withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    message = F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(" occurs more than once in a dimension"))
+    unique = F.when(F.col(number) > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return numbered.where(unique).drop(number)
 
 
 def order_value(

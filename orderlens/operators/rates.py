@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.labels import month_label
 from orderlens.functions.money import money, rate_pct
 from orderlens.functions.rows import unpack
-from orderlens.operators.enrich import fold_by_product, price_fold
+from orderlens.operators.enrich import fold_by_product, one_row_per_key, price_fold
 from orderlens.operators.skew import fold
 
 
@@ -61,12 +61,12 @@ def rates_by_dimension(
     fewer columns: the product side needs product and return only.
     """
     per_customer = rate_cells(orders, ["customer_id", "payment_method"])
-    attributes = customers.select("customer_id", "city", "acquisition_source")
+    attributes = one_row_per_key(customers.select("customer_id", "city", "acquisition_source"), "customer_id")
     dims = ["payment_method", "city", "acquisition_source"]
     cells = fold(
         per_customer.join(attributes, "customer_id", "left"), dims, n=F.col("n"), n_returned=F.col("n_returned")
     )
-    per_product = rate_cells(orders if lines is None else lines, ["product_id"]).join(products.select("product_id", "category"), "product_id")
+    per_product = rate_cells(orders if lines is None else lines, ["product_id"]).join(one_row_per_key(products.select("product_id", "category"), "product_id"), "product_id")
     by_category = rates_by_columns(
         fold(per_product, ["category"], n=F.col("n"), n_returned=F.col("n_returned")), ["category"]
     )
@@ -77,7 +77,7 @@ def risk_segments(orders: DataFrame, customers: DataFrame, payment_method: str |
     """Orders and return rate per payment method and city tier, worst first."""
     rows = orders if payment_method is None else orders.filter(F.col("payment_method") == payment_method)
     per_customer = rate_cells(rows, ["customer_id", "payment_method"])
-    return rank_risk(per_customer.join(customers.select("customer_id", "city_tier"), "customer_id", "left"))
+    return rank_risk(per_customer.join(one_row_per_key(customers.select("customer_id", "city_tier"), "customer_id"), "customer_id", "left"))
 
 
 def rank_risk(cells: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.labels import spend_tier
 from orderlens.functions.money import money, rate_pct
+from orderlens.operators.enrich import one_row_per_key
 
 
 def customer_rollup(valued: DataFrame) -> DataFrame:
@@ -30,10 +31,11 @@ def customer_segments(
     valued: DataFrame, customers: DataFrame, edges: Sequence[float] = (1200, 2500)
 ) -> DataFrame:
     """The rollup with its spend tier and the attributes of the customer."""
+    attributes = one_row_per_key(customers.select("customer_id", "city", "city_tier", "acquisition_source"), "customer_id")
     return (
         customer_rollup(valued)
         .withColumn("segment", spend_tier(F.col("amount"), edges))
-        .join(customers.select("customer_id", "city", "city_tier", "acquisition_source"), "customer_id", "left")
+        .join(attributes, "customer_id", "left")
         .withColumn("spend", money(F.col("amount")))
     )
 
@@ -69,7 +71,7 @@ def repeat_returners(rollup: DataFrame, customers: DataFrame, min_orders: int =
         .limit(top)
     )
     return (
-        best.join(customers.select("customer_id", "city"), "customer_id", "left")
+        best.join(one_row_per_key(customers.select("customer_id", "city"), "customer_id"), "customer_id", "left")
         .select("customer_id", "orders", "returns", "return_rate", money(F.col("amount")).alias("spend"), "city")
         .orderBy(F.desc("return_rate"), F.desc("orders"), "customer_id")
     )

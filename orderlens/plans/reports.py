@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.labels import discount_bucket, month_label, upper_trim
 from orderlens.functions.money import mean_money, money, rate_pct
-from orderlens.operators.enrich import fold_by_customer, fold_by_product, order_value, price_fold
+from orderlens.operators.enrich import fold_by_customer, fold_by_product, one_row_per_key, order_value, price_fold
 from orderlens.operators.skew import HotKeys, fold
 
 
@@ -83,7 +83,7 @@ def top_returning_customers(
         orders, ["customer_id"], total_orders=F.lit(1).cast("long"), returned_orders=F.col("returned").cast("long")
     ).filter(F.col("total_orders") >= min_orders)
     return (
-        per_customer.join(customers, "customer_id")
+        per_customer.join(one_row_per_key(customers, "customer_id"), "customer_id")
         .select(
             "customer_id",
             "name",
@@ -103,7 +103,7 @@ def _by_customer_attribute(
 ) -> DataFrame:
     """Customer totals joined to the customers; each group counts its rows as customers."""
     totals = fold_by_customer(order_value(orders, products, hot))
-    return totals.join(customers.select("customer_id", attribute), "customer_id").groupBy(attribute)
+    return totals.join(one_row_per_key(customers.select("customer_id", attribute), "customer_id"), "customer_id").groupBy(attribute)
 
 
 def city_performance(
