@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.coerce import to_number
 from orderlens.functions.labels import clean_label
 from orderlens.functions.money import money
+from orderlens.operators.copies import BITS, by_repeats, row_identity
 from orderlens.operators.quantiles import exact_quantiles
 from orderlens.schemas import DEDUP_KEY
 from orderlens.session import stage
@@ -36,13 +37,40 @@ def keep_first(
     order_by: str = "order_id",
     count_as: str | None = None,
     sums: Mapping[str, Column] | None = None,
+    bits: int = BITS,
 ) -> DataFrame:
     """One row per key, the one with the smallest ``order_by``; NULLs in the key are equal.
 
-    The smallest row per key is an aggregate, so copies collapse before the shuffle and a
-    key with very many copies costs one row per task. Rows that agree in key and
-    ``order_by`` are told apart by their other columns. ``count_as`` adds the number of
-    rows each kept row stands for, ``sums`` sums over those rows.
+    Rows that are alone with their key pass as they are. Of the others only the columns of the
+    key, ``order_by`` and a hash of the row are aggregated; the whole rows meet the chosen
+    hashes in a hash join, behind which equal rows are folded. Rows that agree in key and ``order_by`` are told
+    apart by the hash. ``count_as`` adds the number of rows each kept row stands for, ``sums``
+    sums over those rows. ``df`` is read three times: where it is costly, ``fold_first`` reads
+    it once.
+    """
+    alone, several = by_repeats(df, key, bits)
+    extra = {count_as: F.lit(1).cast("long")} if count_as else {}
+    extra |= dict(sums or {})
+    totals = [F.sum(expr).alias(name) for name, expr in extra.items()]
+    hashes = dict(zip(("_t", "_u"), row_identity(df.columns), strict=True))
+    chosen = several.withColumns(hashes).groupBy(*key).agg(F.min(F.struct(order_by, *hashes)).alias("_first"), *totals)
+    chosen = chosen.select("_first._t", "_first._u", *extra).hint("shuffle_hash")
+    first = several.withColumns(hashes).join(chosen, ["_t", "_u"]).select(*df.columns, *extra).distinct()
+    single = alone.withColumns({name: expr.cast(first.schema[name].dataType) for name, expr in extra.items()})
+    return single.unionByName(first)
+
+
+def fold_first(
+    df: DataFrame,
+    key: Sequence[str] = DEDUP_KEY,
+    order_by: str = "order_id",
+    count_as: str | None = None,
+    sums: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """``keep_first`` in one pass over ``df``: whole rows are aggregated, which Spark sorts.
+
+    Copies collapse before the shuffle, so a key with very many copies costs one row per task.
+    Rows that agree in key and ``order_by`` are told apart by their other columns.
     """
     rest = [c for c in df.columns if c not in key and c != order_by]
     counts = [F.count(F.lit(1)).alias(count_as)] if count_as else []
@@ -52,13 +80,15 @@ def keep_first(
     return first.select(*key, "_first.*", *extra).select(*df.columns, *extra)
 
 
-def removed_copies(df: DataFrame, key: Sequence[str] = DEDUP_KEY, order_by: str = "order_id") -> DataFrame:
+def removed_copies(df: DataFrame, key: Sequence[str] = DEDUP_KEY, order_by: str = "order_id", bits: int = BITS) -> DataFrame:
     """The rows ``keep_first`` leaves out, for an ``order_by`` that is unique.
 
-    The join runs on ``order_by``, one row per value, not on the key of the copies.
+    Rows that are alone with their key are never removed and take no part. The join runs on
+    ``order_by``, one row per value, not on the key of the copies.
     """
-    kept = df.groupBy(*key).agg(F.min(order_by).alias(order_by)).select(order_by)
-    return df.join(kept, order_by, "left_anti")
+    _, several = by_repeats(df, key, bits)
+    kept = several.groupBy(*key).agg(F.min(order_by).alias(order_by)).select(order_by)
+    return several.join(kept.hint("shuffle_hash"), order_by, "left_anti")
 
 
 def count_copies(df: DataFrame, key: Sequence[str] = DEDUP_KEY) -> DataFrame:

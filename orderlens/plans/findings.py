@@ -12,7 +12,7 @@ from orderlens.functions.labels import SPEND_TIERS, spend_tier
 from orderlens.functions.leaves import numeric_leaves
 from orderlens.functions.money import mean_money, money, net_units, priced, rate_pct
 from orderlens.functions.rows import unpack
-from orderlens.operators.cleaning import fill_missing, keep_first, typed_orders
+from orderlens.operators.cleaning import fill_missing, fold_first, typed_orders
 from orderlens.operators.correlation import correlation_matrix
 from orderlens.operators.enrich import enrich_orders
 from orderlens.operators.outliers import Fences, fences_of, flag_outliers
@@ -81,7 +81,7 @@ def analyse(
     if "product_id" not in key:
         raise ValueError("the key of copies must hold product_id, which sets their price")
     typed = typed_orders(raw_orders)
-    unique = keep_first(typed, key, count_as="n_copies", sums={"net_of_all": net_units(typed)})
+    unique = fold_first(typed, key, count_as="n_copies", sums={"net_of_all": net_units(typed)})
     enriched = enrich_orders(unique, products, customers, hot_products, hot_customers)
     enriched = enriched.withColumn("copies_value", priced(F.col("net_of_all") - net_units(enriched), F.col("price")))
     stored = stage(enriched.select(*KEPT_COLUMNS), "enriched-orders")
