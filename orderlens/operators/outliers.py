@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.quantiles import exact_quantiles
+from orderlens.operators.quantiles import exact_quantiles, grouped_quantiles
 
 
 class Fences(NamedTuple):
@@ -61,3 +63,26 @@ def iqr_summary(df: DataFrame, column: str, fences: Fences | None = None) -> Dat
         "n_values",
         "flagged_rows",
     )
+
+
+def group_fences(df: DataFrame, keys: Sequence[str], column: str, factor: float = 1.5) -> DataFrame:
+    """Quartiles and fences of each group, from exact quantiles of all groups at once."""
+    found = grouped_quantiles(df, keys, column, [0.25, 0.75])
+    q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
+    return found.select(
+        *keys,
+        "n_values",
+        q1.alias("q1"),
+        q3.alias("q3"),
+        (q1 - factor * (q3 - q1)).alias("lower_fence"),
+        (q3 + factor * (q3 - q1)).alias("upper_fence"),
+    )
+
+
+def flag_by_group(df: DataFrame, keys: Sequence[str], column: str, fences: DataFrame | None = None) -> DataFrame:
+    """Every row, flagged if it lies outside the fences of its own group; NULL keys are a group."""
+    known = (fences or group_fences(df, keys, column)).select(*[F.col(k).alias(f"_{k}") for k in keys], "lower_fence", "upper_fence")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    value = F.col(column).cast("double")
+    flag = F.coalesce((value < F.col("lower_fence")) | (value > F.col("upper_fence")), F.lit(False))
+    return df.join(known, same, "left").select(*df.columns, flag.alias("is_outlier"))

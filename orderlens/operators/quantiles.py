@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.session import stage
+
 CELLS = 4096
 SKETCH_ACCURACY = 10_000
 #: Cells beside the CELLS inside a bracket: below it, minus infinity, infinity, above it.
@@ -125,3 +128,86 @@ def _narrow(values: DataFrame, brackets: dict[int, tuple[float, float]]) -> dict
         for row in rows
         if row["span"] == spans.index(span) and row["upto"] - row["n"] <= rank < row["upto"]
     }
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact quantiles of each group: ``keys``, ``n_values`` and the array ``quantiles``.
+
+    Same results as ``exact_quantiles`` for each group, for any number of groups: the brackets are
+    rows (group, rank, low, high), and one pass narrows those of all groups. A pass joins the
+    values of the open groups to their brackets (a few rows for each group, broadcast where Spark
+    finds them small) and shuffles counters of cells; a group of any size leaves at most
+    CELLS + 4 of them for each bracket. Groups without values have NULL quantiles; NULL keys
+    are a group.
+    """
+    group = [f"_g{i}" for i in range(len(keys))]
+    values = df.select(
+        *[F.col(k).alias(g) for k, g in zip(keys, group, strict=True)],
+        F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")).alias("v"),
+    )
+    slack = 2 / SKETCH_ACCURACY
+    edges = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
+    seen = values.groupBy(*group).agg(F.count("v").alias("n"), F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edges"))
+    seen = stage(seen, "group-sizes")
+    wanted = []
+    for i, p in enumerate(probabilities):
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        for rank in (F.floor(at), F.ceil(at)):
+            wanted.append(F.struct(rank.cast("long").alias("rank"), F.col("edges")[2 * i].alias("low"), F.col("edges")[2 * i + 1].alias("high")))
+    brackets = seen.where("n > 0").select(*group, F.explode(F.array(*wanted)).alias("b")).select(*group, "b.*")
+    # a rank asked for twice, by two probabilities, needs only one bracket
+    brackets = brackets.groupBy(*group, "rank").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = []
+    brackets = stage(brackets, "brackets")
+    while True:
+        brackets = stage(_narrow_groups(values, brackets, group), "brackets")
+        found.append(brackets.where("low = high"))
+        brackets = brackets.where("low < high")
+        if brackets.isEmpty():
+            break
+    ranks = reduce(DataFrame.unionByName, found).groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at"))
+    joined = seen.join(_renamed(ranks, group), _same(group), "left")
+    results = []
+    for p in probabilities:
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        a, b = F.try_element_at("at", low.cast("long")), F.try_element_at("at", high.cast("long"))
+        results.append(F.when(a == b, a).otherwise((high - at) * a + (at - low) * b))
+    return joined.select(
+        *[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col("n").alias("n_values"), F.array(*results).alias("quantiles")
+    )
+
+
+def _narrow_groups(values: DataFrame, brackets: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One histogram pass for all groups: each bracket becomes the ends of the cell that holds its rank."""
+    spans = _renamed(brackets.select(*group, "low", "high").distinct(), group)
+    met = values.where("v IS NOT NULL").join(spans, _same(group)).select(*group, "low", "high", "v")
+    first = F.greatest("low", F.lit(-sys.float_info.max))
+    last = F.least("high", F.lit(sys.float_info.max))
+    v = F.col("v")
+    wide = last / 2 - first / 2 >= sys.float_info.max / 2  # the whole difference would overflow
+    inside = F.when(first >= last, 0).when(wide, (v / 2 - first / 2) / (last / 2 - first / 2) * CELLS).otherwise((v - first) / (last - first) * CELLS)
+    cell = (
+        F.when(v < F.col("low"), BELOW)
+        .when(v == -math.inf, LOWEST)
+        .when(v > F.col("high"), ABOVE)
+        .when(v == math.inf, HIGHEST)
+        .otherwise(F.least(F.floor(inside), F.lit(CELLS - 1)))
+    )
+    histogram = met.groupBy(*group, "low", "high", cell.cast("int").alias("cell")).agg(
+        F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
+    )
+    upto = F.sum("n").over(Window.partitionBy(*group, "low", "high").orderBy("cell"))
+    ranked = histogram.withColumn("upto", upto)
+    ranked = _renamed(ranked, [*group, "low", "high"]).withColumnRenamed("n", "here")
+    hit = _same([*group, "low", "high"]) & (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("here") <= F.col("rank"))
+    return brackets.join(ranked, hit).select(*group, "rank", F.col("least").alias("low"), F.col("most").alias("high"))
+
+
+def _renamed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"_of{c}" for c in columns})
+
+
+def _same(columns: Sequence[str]) -> Column:
+    """Equality of these columns with those of a ``_renamed`` frame; NULLs are equal."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in columns])

@@ -499,6 +499,17 @@ ORACLE: dict[str, str] = {
       union all select 'payment_method spellings', null, count(distinct payment_method) from numbers
       union all select 'payment_method spelling', payment_method, count(*) from numbers group by 2)
     select metric, item, cast(value as bigint) as value from facts""",
+    "iqr_bounds_by_type": """select event_type, count(value) as n_values, round(quantile_cont(value, 0.25), 6) as q1,
+      round(quantile_cont(value, 0.75), 6) as q3,
+      round(quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 6) as lower_fence,
+      round(quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 6) as upper_fence
+      from events group by event_type""",
+    "iqr_flag_by_type": """with f as (select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
+      from events group by event_type)
+      select event_id, e.event_type, value from events e join f on e.event_type is not distinct from f.event_type
+      where value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)""",
+    "median_per_user": """select user_id, count(value) as n_values, round(quantile_cont(value, 0.5), 6) as median_value
+      from events group by user_id""",
     "dedup_keep_first": EVENT_ROWS + _first("rows_", "customer_id, product_id, order_date"),
     "dedup_removed_rows": EVENT_ROWS + _first("rows_", "customer_id, product_id, order_date", "> 1"),
     "fill_missing": EVENTS + "select order_id, coalesce(discount_pct, 0) as discount_pct, rating from numbers",

@@ -11,6 +11,7 @@ from orderlens.functions.leaves import leaves
 from orderlens.functions.money import money
 from orderlens.functions.text import word_count
 from orderlens.operators import cleaning, correlation, enrich, factcheck, outliers, quality, rates, segments
+from orderlens.operators.quantiles import grouped_quantiles
 from orderlens.plans import briefs, charts, findings, reports
 from orderlens.session import new_path, staged_generation
 from orderlens.sources import benchmark_tables as bench
@@ -256,6 +257,28 @@ def iqr_outliers(spark, folder):
     return outliers.outlier_rows(bench.table(spark, folder, "events"), "value").select("event_id", "user_id", "value")
 
 
+@query
+def iqr_bounds_by_type(spark, folder):
+    """Quartiles and fences of the values of each event type."""
+    fences = outliers.group_fences(bench.table(spark, folder, "events"), ["event_type"], "value")
+    digits = [F.round(c, 6).alias(c) for c in ("q1", "q3", "lower_fence", "upper_fence")]
+    return fences.select("event_type", "n_values", *digits)
+
+
+@query
+def iqr_flag_by_type(spark, folder):
+    """Events outside the fences of their own type."""
+    events = bench.table(spark, folder, "events")
+    return outliers.flag_by_group(events, ["event_type"], "value").where("is_outlier").select("event_id", "event_type", "value")
+
+
+@query
+def median_per_user(spark, folder):
+    """The exact median of each user's values: many groups, each with a few rows."""
+    found = grouped_quantiles(bench.table(spark, folder, "events"), ["user_id"], "value", [0.5])
+    return found.select("user_id", "n_values", F.round(F.col("quantiles")[0], 6).alias("median_value"))
+
+
 def _event_trend(spark, folder):
     flagged = outliers.flag_outliers(_event_values(spark, folder), "value")
     return rates.trend(flagged, "amount")

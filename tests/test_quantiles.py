@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +63,41 @@ def test_outliers_are_flagged_and_kept(spark):
     assert flagged.count() == 9
     assert [r["v"] for r in flagged.filter("is_outlier").collect()] == [25]
     assert [r["v"] for r in outliers.outlier_rows(df, "v").collect()] == [25]
+
+
+def python_quantile(values, p):
+    values = sorted(values)
+    at = p * (len(values) - 1)
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+
+def test_quantiles_of_groups(spark):
+    pick = random.Random(7)
+    rows = [("hot", pick.gauss(0, 1e6)) for _ in range(40_000)] + [("same", 5.5)] * 3000
+    rows += [(f"g{i % 300}", pick.choice([float(i % 11), -1e308, 1e308, 2.5])) for i in range(3000)]
+    rows += [(None, float(i)) for i in range(50)] + [("empty", None), ("empty", math.nan), ("one", 7.0), ("one", None)]
+    rows += [("ends", math.inf), ("ends", -math.inf), ("ends", 1.0), ("ends", math.inf), ("ends", 0.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    wanted = [0.0, 0.25, 0.5, 0.9, 1.0]
+    groups = {}
+    for k, x in rows:
+        groups.setdefault(k, [])
+        if x is not None and not math.isnan(x):
+            groups[k].append(x)
+    got = {r["k"]: (r["n_values"], r["quantiles"]) for r in quantiles.grouped_quantiles(df, ["k"], "x", wanted).collect()}
+    assert got == {k: (len(v), [python_quantile(v, p) if v else None for p in wanted]) for k, v in groups.items()}
+
+
+def test_group_passes_do_not_grow_with_groups(spark):
+    df = spark.range(5000).selectExpr("id % 1000 AS a", "id % 3 AS b", "cast(id * id % 1009 AS double) AS x")
+    small = quantiles.grouped_quantiles(df, ["b"], "x", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    large = quantiles.grouped_quantiles(df, ["a"], "x", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert abs(len(small.splitlines()) - len(large.splitlines())) < 20
+    assert quantiles.grouped_quantiles(df.limit(0), ["a", "b"], "x", [0.5]).count() == 0
+
+
+def test_flags_of_groups(spark):
+    rows = [("a", float(i)) for i in range(100)] + [("a", 1000.0), ("b", 1000.0), ("b", 1001.0), (None, 1.0), (None, None)]
+    flagged = outliers.flag_by_group(spark.createDataFrame(rows, "k string, x double"), ["k"], "x")
+    assert flagged.count() == len(rows) and [tuple(r) for r in flagged.where("is_outlier").collect()] == [("a", 1000.0, True)]
