@@ -13,7 +13,7 @@ from orderlens.functions.leaves import numeric_leaves
 from orderlens.functions.money import mean_money, money, net_units, priced, rate_pct
 from orderlens.functions.rows import unpack
 from orderlens.operators.cleaning import fill_missing, fold_first, typed_orders
-from orderlens.operators.correlation import correlation_matrix
+from orderlens.operators.correlation import merged_r, moments
 from orderlens.operators.enrich import enrich_orders
 from orderlens.operators.outliers import Fences, fences_of, flag_outliers
 from orderlens.operators.quantiles import quantiles_of
@@ -54,6 +54,9 @@ METHOD, HANDLING = "IQR (1.5x)", "flagged only, never dropped"
 MONTHLY, FLAGGED = "monthly", "outliers.order_ids"
 TABLES = (*(f"returns.by_{d}" for d in DIMENSIONS), MONTHLY, FLAGGED)
 CELLS = (*DIMENSIONS, "city_tier", "month", "is_outlier")
+# The columns whose correlation with the last one is reported.
+MEASURED = ("quantity", "discount_pct", "rating", "returned")
+WITH_RETURNED = tuple((i, 3) for i in range(3))
 
 
 class Analysis(NamedTuple):
@@ -101,6 +104,7 @@ def fold_cells(orders: DataFrame) -> DataFrame:
         F.sum("copies_value").alias("surplus"),
         F.min("order_date").alias("first"),
         F.max("order_date").alias("last"),
+        *moments(MEASURED, WITH_RETURNED),
     )
 
 
@@ -153,8 +157,7 @@ def findings_document(
 ) -> DataFrame:
     """The findings as one nested row of fixed fields; ``tables`` names what ``findings_tables`` holds."""
     orders, cells = analysis.orders, analysis.cells
-    matrix = correlation_matrix(orders, ("quantity", "discount_pct", "rating", "returned"))
-    with_returned = matrix.filter((F.col("var_y") == "returned") & (F.col("var_x") != "returned"))
+    r = [merged_r(i, j).alias(MEASURED[i]) for i, j in WITH_RETURNED]
     tier = spend_tier(F.col("amount"), tiers)
     totals = cells.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
@@ -176,15 +179,7 @@ def findings_document(
             "products": _row(_products(orders)),
             "risk": _row(rank_risk(cells).limit(1)),
             "months": _row(by_month),
-            "r": _row(
-                with_returned.agg(
-                    *[
-                        F.max(F.when(F.col("var_x") == v, F.col("r"))).alias(v)
-                        for v in ("quantity", "discount_pct", "rating")
-                    ],
-                    F.max(F.abs("r")).alias("strongest"),
-                )
-            ),
+            "r": _row(cells.agg(*r).withColumn("strongest", F.greatest(*[F.abs(MEASURED[i]) for i, _ in WITH_RETURNED]))),
             "people": _row(
                 customer_rollup(orders).agg(
                     F.count(F.lit(1)).alias("all"), *[F.count_if(tier == t).alias(t) for t in SPEND_TIERS]

@@ -579,6 +579,14 @@ ORACLE: dict[str, str] = {
     + f"""select returned, {ORDERS} as orders,
        round(cast(100 as double) * count(*) / (select count(*) from lines), 1) as pct from lines group by 1""",
     "correlation_matrix": CORRELATION + "select * from matrix",
+    "correlation_merged": CORRELATION + "select * from matrix",
+    "distinct_customers_by_grain": """select 'month' as grain, strftime(o_orderdate, '%Y-%m') as label, count(*) as orders,
+      count(distinct o_custkey) as customers, true as within_bound from orders group by 2
+      union all select 'all', 'all', count(*), count(distinct o_custkey), true from orders""",
+    "value_quantiles_by_grain": """with dated as (select strftime(ts, '%Y-%m') as label, value from events),
+      grains as (select * from dated union all select 'all', value from dated)
+      select label, cast(p as double) as p, count(value) as n_values, true as within_bound
+      from grains, (values (0.1), (0.5), (0.9)) as shares(p) group by label, p""",
     "correlation_verdicts": CORRELATION
     + """select var_x as variable, r, case when abs(r) < 0.15 then 'weak' else 'notable' end as verdict
        from matrix where var_y = 'returned' and var_x <> 'returned'""",

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.functions.labels import month_label
 from orderlens.functions.leaves import leaves
 from orderlens.functions.money import money
 from orderlens.functions.text import word_count
-from orderlens.operators import cleaning, correlation, enrich, factcheck, outliers, quality, rates, segments
+from orderlens.operators import cleaning, correlation, enrich, factcheck, outliers, quality, rates, segments, sketches
 from orderlens.operators.quantiles import grouped_quantiles
 from orderlens.plans import briefs, charts, findings, reports
-from orderlens.session import new_path, staged_generation
+from orderlens.session import new_path, stage, staged_generation
 from orderlens.sources import benchmark_tables as bench
 from orderlens.schemas import ORDERS
 from orderlens.sources.tables import read_csv, read_findings, read_table, write_briefs, write_findings, write_table
@@ -38,6 +39,10 @@ def _orders(spark, folder):
     return bench.retail_orders(spark, folder)
 
 
+def _headers(spark, folder):
+    return bench.order_headers(spark, folder)
+
+
 def _labelled(spark, folder):
     return cleaning.normalise_labels(_orders(spark, folder), "payment_method")
 
@@ -365,11 +370,54 @@ def correlation_matrix(spark, folder):
     return _correlations(spark, folder)
 
 
+@query
+def correlation_merged(spark, folder):
+    """The same matrix merged from co-moments per category: what cells of any grain give without their rows."""
+    filled = cleaning.fill_missing(_lines(spark, folder))
+    valued = enrich.order_value(filled, _products(spark, folder), _hot_products(spark, folder), "left")
+    return correlation.merged_matrix(valued.groupBy("category").agg(*correlation.moments(correlation.MEASURES)))
+
+
 @query
 def correlation_verdicts(spark, folder):
     return correlation.correlation_checks(_correlations(spark, folder))
 
 
+# Sketches in cells
+
+
+@query
+def distinct_customers_by_grain(spark, folder):
+    """Customers per month and overall from the sketches of one fold, held against exact counts."""
+    dated = _headers(spark, folder).withColumn("month", month_label(F.col("order_date")))
+    cells = stage(sketches.distinct_cells(dated, ["month", "payment_method"], "customer_id"), "customer-cells")
+    whole = F.lit("all")
+    estimates = sketches.distinct_of(cells, "month").select(F.lit("month").alias("grain"), F.col("month").alias("label"), "n", "estimate")
+    estimates = estimates.unionByName(sketches.distinct_of(cells).select(whole.alias("grain"), whole.alias("label"), "n", "estimate"))
+    customers = F.count_distinct("customer_id").alias("customers")
+    exact = dated.groupBy(F.lit("month").alias("grain"), F.col("month").alias("label")).agg(customers)
+    exact = exact.unionByName(dated.agg(customers).select(whole.alias("grain"), whole.alias("label"), "customers"))
+    return estimates.join(exact, ["grain", "label"]).select(
+        "grain", "label", F.col("n").alias("orders"), "customers", sketches.within(F.col("estimate"), F.col("customers")).alias("within_bound")
+    )
+
+
+@query
+def value_quantiles_by_grain(spark, folder):
+    """Quantiles of values per month and overall from sketches kept per month and type, held against their ranks."""
+    dated = bench.table(spark, folder, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
+    cells = stage(sketches.quantile_cells(dated, ["month", "event_type"], "value"), "value-cells")
+    shares, whole = (0.1, 0.5, 0.9), F.lit("all")
+    estimates = sketches.quantiles_of_cells(cells, shares, "month").withColumnRenamed("month", "label")
+    estimates = estimates.unionByName(sketches.quantiles_of_cells(cells, shares).withColumn("label", whole))
+    labelled = dated.select("value", F.explode(F.array("month", whole)).alias("label")).where("NOT isnan(value)")
+    ranks = labelled.join(estimates, "label").groupBy("label", "p", "n_values")
+    value, estimate = F.col("value"), F.col("estimate")
+    ranks = ranks.agg(F.count_if(value < estimate).alias("below"), F.count_if(value <= estimate).alias("upto"))
+    near = sketches.rank_within(F.col("p"), F.col("below"), F.col("upto"), F.col("n_values"))
+    return ranks.select("label", "p", "n_values", near.alias("within_bound"))
+
+
 # Data quality
 
 
