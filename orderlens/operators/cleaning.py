@@ -153,20 +153,35 @@ def reconcile(
     Each key yields its total and the amount of its first row; the difference is what the
     removed copies were worth.
     """
-    per_key = _per_key(orders, amount, key, order_by)
-    removed = F.col("total") - F.coalesce("kept", F.lit(0))
-    return per_key.agg(
+    return reconcile_state(copy_state(orders, amount, key, order_by))
+
+
+def copy_state(orders: DataFrame, amount: str, key: Sequence[str] = DEDUP_KEY, order_by: str = "order_id") -> DataFrame:
+    """What is known of each key: rows ``n``, their ``total`` and the ``first`` row (id and amount).
+
+    Kept as a table, it stands for all rows so far: ``merge_state`` takes in later ones, copies
+    of old keys and rows with smaller ids included, and reads no old row again.
+    """
+    first = F.struct(F.col(order_by).alias("id"), F.col(amount).alias("amount"))
+    return orders.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"), F.min(first).alias("first"))
+
+
+def merge_state(state: DataFrame, later: DataFrame) -> DataFrame:
+    """The state of all rows from that of the old ones and that of a later batch."""
+    kind = state.schema["total"].dataType
+    key = [c for c in state.columns if c not in ("n", "total", "first")]
+    both = state.unionByName(later.withColumn("total", F.col("total").cast(kind)))
+    return both.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("total").cast(kind).alias("total"), F.min("first").alias("first"))
+
+
+def reconcile_state(state: DataFrame) -> DataFrame:
+    """Raw against clean totals of the rows behind a state."""
+    kept = F.coalesce(F.col("first.amount"), F.lit(0))
+    return state.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("raw_rows"),
         F.count(F.lit(1)).alias("clean_rows"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("removed_rows"),
         F.coalesce(money(F.sum("total")), F.lit(0.0)).alias("raw_total"),
-        F.coalesce(money(F.sum("kept")), F.lit(0.0)).alias("clean_total"),
-        F.coalesce(money(F.sum(removed)), F.lit(0.0)).alias("delta"),
-    )
-
-
-def _per_key(orders: DataFrame, amount: str, key: Sequence[str], order_by: str) -> DataFrame:
-    first = F.min(F.struct(order_by, amount))
-    return orders.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(amount), F.lit(0)).alias("total"), first[amount].alias("kept")
+        F.coalesce(money(F.sum("first.amount")), F.lit(0.0)).alias("clean_total"),
+        F.coalesce(money(F.sum(F.col("total") - kept)), F.lit(0.0)).alias("delta"),
     )

@@ -439,6 +439,13 @@ KEYED = f"with {LINES}, keyed as " + """(select order_id, product_id, quantity,
              then 'order_key unknown' end) as reasons from lines)
 """
 
+RECONCILED = f""", kept as ({_first("typed")}),
+    a as (select count(*) as n, sum(amount) as s from typed), b as (select count(*) as n, sum(amount) as s from kept),
+    c as (select count(*) as n, sum(amount) as s from ({_first("typed", COPY_KEY, "> 1")}))
+    select cast(a.n as bigint) as raw_rows, cast(b.n as bigint) as clean_rows, cast(c.n as bigint) as removed_rows,
+      cast(a.s as double) as raw_total, cast(b.s as double) as clean_total, cast(c.s as double) as delta
+    from a, b, c"""
+
 ORACLE: dict[str, str] = {
     "report1_headline": FACT
     + f"""select {ORDERS} as total_orders, cast(count(distinct customer_id) as bigint) as customers,
@@ -479,6 +486,24 @@ ORACLE: dict[str, str] = {
     "report9_monthly": FACT
     + f"""select month as order_month, {ORDERS} as total_orders, cast(sum(quantity) as bigint) as units_sold,
        {REVENUE} as revenue, {RATE} as return_rate_pct from fact group by 1""",
+    "report9_colocated": FACT
+    + f"""select month as order_month, {ORDERS} as total_orders, cast(sum(quantity) as bigint) as units_sold,
+       {REVENUE} as revenue, {RATE} as return_rate_pct from fact group by 1""",
+    "report9_recent_months": FACT
+    + f"""select month as order_month, {ORDERS} as total_orders, cast(sum(quantity) as bigint) as units_sold,
+       {REVENUE} as revenue, {RATE} as return_rate_pct from fact
+       where month in (select distinct strftime(o_orderdate, '%Y-%m') as m from orders order by m desc limit 3) group by 1""",
+    "json_leaves": """with even as (select * from events where event_id % 2 = 0), odd as (select * from events where event_id % 2 <> 0)
+      select event_id, 'id' as path, cast(null as varchar) as text, cast(event_id as double) as value from even
+      union all select event_id, 'pair.0', null, 1.5 from even
+      union all select event_id, 'pair.1', null, 2.5 from even
+      union all select event_id, 'in.type', event_type, null from even where event_type is not null
+      union all select event_id, 'in.list.0.user', null, cast(user_id as double) from even
+      union all select event_id, 'in.list.1.flag', case when user_id % 7 = 0 then 'true' else 'false' end, null from even
+      union all select event_id, 'id', 'x' || event_id, null from odd
+      union all select event_id, 'in.0', 'true', null from odd
+      union all select event_id, 'in.1', null, cast(user_id as double) from odd
+      union all select event_id, 'in.2', 's', null from odd""",
     "order_value": FACT
     + "select order_id, product_id, quantity, cast(order_value as double) as order_value from valued",
     "enrich_orders": FACT
@@ -524,12 +549,9 @@ ORACLE: dict[str, str] = {
     kept as ({_first("filled")})
     select * replace (cast(amount as double) as amount) from kept""",
     "revenue_reconciliation": EVENTS
-    + f""", kept as ({_first("typed")}),
-    a as (select count(*) as n, sum(amount) as s from typed), b as (select count(*) as n, sum(amount) as s from kept),
-    c as (select count(*) as n, sum(amount) as s from ({_first("typed", COPY_KEY, "> 1")}))
-    select cast(a.n as bigint) as raw_rows, cast(b.n as bigint) as clean_rows, cast(c.n as bigint) as removed_rows,
-      cast(a.s as double) as raw_total, cast(b.s as double) as clean_total, cast(c.s as double) as delta
-    from a, b, c""",
+    + RECONCILED,
+    "reconciliation_incremental": EVENTS
+    + RECONCILED,
     "iqr_bounds": FENCES
     + """select round(q1, 6) as q1, round(q3, 6) as q3, round(iqr, 6) as iqr, round(lo, 6) as lower_fence,
        round(hi, 6) as upper_fence, (select cast(count(value) as bigint) from events) as n_values,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions.labels import month_label
+from orderlens.functions.leaves import json_leaves as leaves_of_json
 from orderlens.functions.leaves import leaves
 from orderlens.functions.money import money
 from orderlens.functions.text import word_count
@@ -17,7 +18,7 @@ from orderlens.plans import briefs, charts, findings, reports
 from orderlens.session import new_path, stage, staged_generation
 from orderlens.sources import benchmark_tables as bench
 from orderlens.schemas import ORDERS
-from orderlens.sources.tables import read_csv, read_findings, read_table, write_briefs, write_findings, write_table
+from orderlens.sources.tables import read_csv, read_findings, read_table, write_briefs, write_bucketed, write_findings, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,6 +559,54 @@ def ingest_roundtrip(spark, folder):
     return read_table(spark, path, dated.schema).select(*dated.columns)
 
 
+@query
+def report9_recent_months(spark, folder):
+    """The monthly report over the three latest months of a table written by month.
+
+    The months are known only when the query runs; files of other months aren't opened.
+    """
+    fact = _orders(spark, folder).withColumn("order_month", month_label(F.col("order_date")))
+    path = new_path(spark, "fact-by-month")
+    write_table(fact, path, partition_by=["order_month"])
+    months = _headers(spark, folder).select(month_label(F.col("order_date")).alias("order_month"))
+    latest = months.where("order_month IS NOT NULL").distinct().orderBy(F.desc("order_month")).limit(3)
+    recent = read_table(spark, path, fact.schema).where(F.col("order_month") >= latest.agg(F.min("order_month")).scalar())
+    return reports.monthly_trend(recent, _products(spark, folder))
+
+
+@query
+def report9_colocated(spark, folder):
+    """The monthly report over lines and headers kept in buckets of the order: their join shuffles nothing."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = write_bucketed(_lines(spark, folder), new_path(spark, "lines-by-order"), "order_key", buckets)
+    headers = write_bucketed(_headers(spark, folder), new_path(spark, "headers-by-order"), "order_key", buckets)
+    return reports.monthly_trend(lines.join(headers, "order_key"), _products(spark, folder))
+
+
+@query
+def reconciliation_incremental(spark, folder):
+    """Raw against clean revenue from two batches: the state of the first is kept, its rows aren't read again.
+
+    The later batch holds copies of old keys with smaller and larger ids.
+    """
+    rows = cleaning.typed_orders(bench.raw_events(spark, folder))
+    state = stage(cleaning.copy_state(rows.where("order_id % 3 <> 0"), "amount"), "copy-state")
+    return cleaning.reconcile_state(cleaning.merge_state(state, cleaning.copy_state(rows.where("order_id % 3 = 0"), "amount")))
+
+
+@query
+def json_leaves(spark, folder):
+    """Leaves of documents whose shape differs from row to row, read without a schema."""
+    even = F.col("event_id") % 2 == 0
+    user, flag, none = F.col("user_id"), F.col("user_id") % 7 == 0, F.lit(None)  # NULL fields aren't written
+    items = [F.struct(user.alias("user"), none.cast("boolean").alias("flag")), F.struct(none.cast("long").alias("user"), flag.alias("flag"))]
+    inner = F.struct(F.col("event_type").alias("type"), F.array(*items).alias("list"))
+    mixed = F.to_json(F.struct(F.col("event_id").alias("id"), F.array(F.lit(1.5), F.lit(2.5)).alias("pair"), inner.alias("in")))
+    other = F.concat(F.lit('{"id": "x'), "event_id", F.lit('", "pair": null, "in": [true, '), "user_id", F.lit(', "s", [], {}]}'))
+    texts = bench.table(spark, folder, "events").select("event_id", F.when(even, mixed).otherwise(other).alias("doc"))
+    return leaves_of_json(texts, "doc", "event_id")
+
+
 # Charts
 
 

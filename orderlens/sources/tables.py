@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -79,6 +80,27 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return reader.parquet(path)
 
 
+def read_months(spark: SparkSession, path: str, schema: StructType | str, first: str, last: str, column: str = "order_month") -> DataFrame:
+    """The rows of some months of a table written by month: other months' files aren't opened."""
+    return read_table(spark, path, schema).where(F.col(column).between(first, last))
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Write rows in ``buckets`` files sets by ``key``, sorted by it, and read them back as such.
+
+    Two tables with the same number of buckets of the same key are joined on it, and grouped by
+    it, without a shuffle. The table's name is only needed to read the buckets back, so it goes
+    again; the files stay below ``path``. Rows are dealt out by the key before they are written,
+    so there is one file for each bucket. A key with a large share of the rows makes a large
+    bucket: join such tables by ``spread_join`` instead.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def write_findings(document: DataFrame, path: str) -> None:
     """The findings document is one row by construction."""
     document.write.mode("overwrite").json(path)
