@@ -78,8 +78,8 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
             nested = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.reshape(-1)), mask=pa.array(~some) if len(some) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(set_ids(values, at), pa.binary()), nested, pa.array(np.diff(offsets))],
-                ["doc_id", "set_id", "bands", "size"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(set_ids(values, at), pa.binary()), nested, pa.array(np.diff(offsets))],
+                ["doc_id", "mark", "set_id", "bands", "size"],
             )
 
 
@@ -168,13 +168,16 @@ def classes(docs: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame
     First frame: doc_id, set_id (null without words). Second: set_id, keeper (smallest doc_id of
     the set), copies, root (smallest set_id of its near duplicates), links (other documents).
     """
-    made = in_arrow(docs.select("doc_id", text_or_empty(column).alias("_text")), sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_id binary, bands array<long>, size long")
+    text = text_or_empty(column)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("_text"))
+    made = in_arrow(marked, sketch, f"doc_id {kind}, mark long, set_id binary, bands array<long>, size long")
     made = stage(made, "sketches")
     members = made.select("doc_id", "set_id")
     sets = made.where("set_id is not null").groupBy("set_id").agg(
-        F.min(F.struct("doc_id")).alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("size").alias("size")
+        F.min(F.struct("doc_id", "mark")).alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max("size").alias("size")
     )
-    sets = stage(sets.select("set_id", F.col("low.doc_id").alias("keeper"), "copies", "bands", "size"), "sets")
+    sets = stage(sets.select("set_id", F.col("low.doc_id").alias("keeper"), F.col("low.mark").alias("mark"), "copies", "bands", "size"), "sets")
     rows = sets.select("set_id", "size", F.posexplode("bands").alias("pos", "band"))
     groups = rows.groupBy("band").agg(
         F.count("*").alias("n"), F.sum("size").alias("bytes"),
@@ -194,8 +197,11 @@ def classes(docs: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame
         F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.coalesce(F.get(F.map_values(F.map_filter(by_pos, lambda p, g: p == k)), F.lit(0)), F.lit(-1).cast("long"))).alias("gids"),
         F.array_distinct(F.transform("found", lambda x: F.struct(x["gid"], x["blocks"]))).alias("own"),
     )
-    held = stage(held.join(sets.select("set_id", "keeper", "copies"), "set_id"), "held")
-    texts = docs.select("doc_id", F.col(column).alias("text")).join(held.select("set_id", "keeper").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("keeper")))
+    held = stage(held.join(sets.select("set_id", "keeper", "mark", "copies"), "set_id"), "held")
+    # a keeper is found by its id and its text: many texts may share an id, or have none
+    keepers = held.select("set_id", "keeper", F.col("mark").alias("keeper_mark")).hint("shuffle_hash")
+    texts = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.col(column).alias("text"))
+    texts = texts.join(keepers, F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("mark") == F.col("keeper_mark")))
     texts = with_set_id(texts.select("text", "set_id")).where(F.col("_set_id") == F.col("set_id")).select("set_id", "text")
     # the text of a set's keeper, once, should rows be repeated or ids be used twice
     twice = made.where("set_id is not null").groupBy("doc_id", "set_id").count().where("count > 1").limit(1).count()

@@ -1,7 +1,10 @@
+import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens.llm import ngram_join
 
@@ -77,3 +80,27 @@ def test_one_row_of_each_group_stays(spark):
 @pytest.mark.parametrize("n", [1, 3])
 def test_bands_meet_the_target(n):
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** ngram_join.BANDS > 0.999
+
+
+def test_thousands_of_texts_without_an_id(spark):
+    pick = random.Random(11)
+    texts = []
+    for _ in range(1500):  # pairs of near copies
+        words = [f"w{pick.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(words + ["more"])]
+    named = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    nameless = named.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    shared = named.select(F.lit(7).cast("long").alias("doc_id"), "text")
+    want = near_duplicates_count(named)
+    assert want == {1: 3000}
+    seconds = []
+    for frame in (named, nameless, shared):
+        start = time.perf_counter()
+        assert near_duplicates_count(frame) == want
+        seconds.append(time.perf_counter() - start)
+    assert max(seconds[1:]) < 3 * seconds[0] + 5
+    assert ngram_join.drop_near_duplicates(nameless).count() == 1500
+
+
+def near_duplicates_count(frame):
+    return {r["n_links"]: r["count"] for r in ngram_join.near_duplicates(frame).groupBy("n_links").count().collect()}
