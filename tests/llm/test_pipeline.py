@@ -39,5 +39,5 @@ def test_stages_do_what_they_say(spark):
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
     names = [q.split("_")[0] for q in queries.QUERIES]
-    assert names == [f"op{n}" for n in range(1, 11)]
+    assert names == [f"op{n}" for n in range(1, 14)]
     assert ngram_join.near_duplicates(table(spark, SF, "documents")).count() == table(spark, SF, "documents").count()
