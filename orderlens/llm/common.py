@@ -29,3 +29,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def apart(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with every column but ``own`` named by its place, so that no helper column of an
+    operator can clash with it; ``toDF(*docs.columns)`` gives the names back."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in own else f"given_{i}") for i, c in enumerate(docs.columns)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import bounded_batches, in_arrow, text_or_empty
+from orderlens.llm.common import apart, bounded_batches, in_arrow, text_or_empty
 from orderlens.llm.components import components
 from orderlens.llm.textbytes import joined, mix, ngrams, per_text_unique, seeds, slices, whole_groups, words
 from orderlens.session import stage
@@ -243,10 +243,11 @@ def drop_near_duplicates(docs: DataFrame, column: str = "text") -> DataFrame:
     Rows without words stay as they are.
     """
     _, sets = classes(docs, column)
+    given = apart(docs, "doc_id", column)
     lowest = sets.groupBy("root").agg(F.min(F.struct("keeper", "set_id")).alias("low"))
     sets = stage(sets.join(lowest, "root").where((F.col("copies") > 1) | (F.col("low.set_id") != F.col("set_id")) | (F.col("links") > 0)).select(
         "set_id", (F.col("low.set_id") == F.col("set_id")).alias("stays"), "keeper"), "decisions")
-    marked = with_set_id(docs, column).join(sets.withColumnRenamed("set_id", "_set_id").withColumnRenamed("keeper", "_keeper").withColumnRenamed("stays", "_stays"), "_set_id", "left")
-    alone = marked.where("_stays is null").select(*docs.columns)
-    first = marked.where(F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("_keeper"))).dropDuplicates(["_set_id"]).select(*docs.columns)
-    return alone.unionByName(first)
+    marked = with_set_id(given, column).join(sets.withColumnRenamed("set_id", "_set_id").withColumnRenamed("keeper", "_keeper").withColumnRenamed("stays", "_stays"), "_set_id", "left")
+    alone = marked.where("_stays is null").select(*given.columns)
+    first = marked.where(F.col("_stays") & F.col("doc_id").eqNullSafe(F.col("_keeper"))).dropDuplicates(["_set_id"]).select(*given.columns)
+    return alone.unionByName(first).toDF(*docs.columns)

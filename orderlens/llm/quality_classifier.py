@@ -11,7 +11,12 @@ overall odds; it is rejected if low quality or toxicity is more likely than not.
 Defined cases: a null text is empty; null hosts and paths are sites of their own; unlabelled
 sites take their parent's share; documents labelled several times count as bad if any label
 says so, null labels not at all; with no labels, or of one kind only, evidence is the smoothed
-share itself; repeated rows are judged each; an empty table gives no rows.
+share itself; even odds (a tie) reject nothing; repeated rows are judged each; very long texts
+count whole; other columns may have any name; an empty table gives no rows.
+
+The sites are a table written to the shared folder, so that its true size decides whether it is
+broadcast; where it is too large, rows of hot hosts and paths are spread over salts. The
+classifier's rows leave their texts behind before they meet the sites.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.llm.common import apart
+from orderlens.operators.skew import hot_keys, spread_join
 from orderlens.session import stage
 
 #: Labelled documents the evidence is fitted on (about; chosen by a hash of their id).
@@ -125,9 +132,30 @@ def evidence(rows: DataFrame, target: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: model.transform(df).withColumn(f"{target}_odds", odds).drop("_raw")
 
 
-def judged(docs: DataFrame, labels: DataFrame, column: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and, as one struct ``_verdict``, quality, toxic (probabilities of
-    good quality and of toxicity), host_share, path_share (of low quality) and kept."""
+def site_key(*names: str) -> Column:
+    """Text of a host, or a host and path, that tells nulls from empty names and is never null."""
+    return F.to_json(F.struct(*(F.col(n).alias(f"k{i}") for i, n in enumerate(names))))
+
+
+def shrunk_sites(known: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, Site]]:
+    """Shares of all targets by ``_site`` and by ``_host``, written tables, and the priors."""
+    parts, priors = [], {}
+    for target in TARGETS:
+        shares, priors[target] = sites(known, target)
+        own = {f"{target}_at_host": F.col("host_share"), f"{target}_at_path": F.col("path_share")}
+        parts.append(shares.select("host", "path", *((own.get(n, F.lit(None).cast("double"))).alias(n) for t in TARGETS for n in (f"{t}_at_host", f"{t}_at_path"))))
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.unionByName(part)
+    both = met.groupBy("host", "path").agg(*(F.max(n).alias(n) for n in met.columns[2:]))
+    at_site = stage(both.select(site_key("host", "path").alias("_site"), site_key("host").alias("_host"), *met.columns[2:]), "sites")
+    at_host = stage(at_site.groupBy("_host").agg(*(F.max(f"{t}_at_host").alias(f"{t}_at_host") for t in TARGETS)), "hosts")
+    return at_site.select("_site", *(f"{t}_at_path" for t in TARGETS)), at_host, priors
+
+
+def judged(docs: DataFrame, labels: DataFrame, column: str = "text", host: str = "source", path: str = "lang", carried: list[str] | None = None) -> DataFrame:
+    """The columns ``carried`` (all) of ``docs`` and, as one struct ``_verdict``, quality, toxic (probabilities
+    of good quality and of toxicity), host_share, path_share (of low quality) and kept."""
     hashing = HashingTF(inputCol="_features", outputCol="vector", numFeatures=FEATURES, binary=True)
     vectors = lambda df: hashing.transform(df.withColumn("_features", features(F.coalesce(F.col(column), F.lit(""))))).drop("_features")
     known = stage(labelled(docs, labels, host, path), "labelled")
@@ -135,23 +163,22 @@ def judged(docs: DataFrame, labels: DataFrame, column: str = "text", host: str =
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < SAMPLE).select("doc_id", *TARGETS).dropDuplicates(["doc_id"])
     sample = docs.select("doc_id", column).join(F.broadcast(chosen) if n else chosen, "doc_id")
     sample = stage(vectors(sample).select("vector", *TARGETS), "sample")
-    work = vectors(docs.select(F.struct(*docs.columns).alias("_row"), F.col(column).alias(column), F.col(host).alias("_host"), F.col(path).alias("_path")))
+    at_site, at_host, priors = shrunk_sites(known)
+    keys = {"_site": site_key(host, path), "_host": site_key(host)}
+    work = vectors(docs.select(F.struct(*(carried or docs.columns)).alias("_row"), column, *(key.alias(k) for k, key in keys.items())))
     for target in TARGETS:
         work = evidence(sample, target)(work)
     work = work.drop("vector", column)
+    for (k, key), shares in zip(keys.items(), (at_site, at_host), strict=True):
+        work = spread_join(work, shares, k, "left", hot_keys(docs.select(key.alias(k)), k), ["quality_odds", "toxic_odds"]).drop(k)
     for target in TARGETS:
-        shares, prior = sites(known, target)
-        at_path = shares.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("path_share").alias("_at_path"))
-        at_host = shares.groupBy("host").agg(F.first("host_share").alias("_at_host")).withColumnRenamed("host", "h")
-        work = work.join(at_host, F.col("_host").eqNullSafe(F.col("h")), "left").drop("h")
-        work = work.join(at_path, F.col("_host").eqNullSafe(F.col("h")) & F.col("_path").eqNullSafe(F.col("p")), "left").drop("h", "p")
-        host_share = F.coalesce("_at_host", F.lit(prior.share))
-        path_share = F.coalesce("_at_path", host_share)
+        prior = priors[target]
+        host_share = F.coalesce(f"{target}_at_host", F.lit(prior.share))
+        path_share = F.coalesce(f"{target}_at_path", host_share)
         odds = F.col(f"{target}_odds") + logit(path_share) - logit(F.lit(prior.share))
         work = work.withColumn(f"{target}_bad", 1 / (1 + F.exp(-odds)))
         if target == "quality":
             work = work.withColumn("host_share", host_share).withColumn("path_share", path_share)
-        work = work.drop("_at_host", "_at_path", f"{target}_odds")
     kept = (F.col("quality_bad") <= 0.5) & (F.col("toxic_bad") <= 0.5)
     verdict = F.struct((1 - F.col("quality_bad")).alias("quality"), F.col("toxic_bad").alias("toxic"), "host_share", "path_share", kept.alias("kept"))
     return work.select("_row.*", verdict.alias("_verdict"))
@@ -159,9 +186,10 @@ def judged(docs: DataFrame, labels: DataFrame, column: str = "text", host: str =
 
 def classify(docs: DataFrame, labels: DataFrame, column: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
     """doc_id, host, path, quality, toxic, host_share, path_share, kept of every document."""
-    rows = judged(docs.select("doc_id", column, host, path), labels, column, host, path)
+    rows = judged(docs.select("doc_id", column, host, path), labels, column, host, path, ["doc_id", host, path])
     return rows.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "_verdict.*")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, column: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    return judged(docs, labels, column, host, path).where("_verdict.kept").select(*docs.columns)
+    given = apart(docs, "doc_id", column, host, path)
+    return judged(given, labels, column, host, path).where("_verdict.kept").select(*given.columns).toDF(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from orderlens.llm.common import bounded_batches, in_arrow
+from orderlens.llm.common import apart, bounded_batches, in_arrow
 from orderlens.llm.suffix_array import suffix_array
 from orderlens.llm.textbytes import joined, mix, seeds, slices, whole_groups
 from orderlens.session import stage
@@ -432,7 +432,8 @@ def removed_bytes(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def without_repeats(docs: DataFrame, column: str = "text") -> DataFrame:
     """All rows and columns, texts without their repeats; n_chars, if there, counts what is left."""
-    out = dedup(docs, docs.columns, True, column)
+    given = apart(docs, "doc_id", column)
+    out = dedup(given, given.columns, True, column).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(column).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -1,6 +1,8 @@
 import hashlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from orderlens.llm import bpe, ngram_join, queries
 from orderlens.llm.common import table
 from test_ngram_join import brute as brute_links
@@ -41,3 +43,15 @@ def test_run_and_registration(spark):
     names = [q.split("_")[0] for q in queries.QUERIES]
     assert names == [f"op{n}" for n in range(1, 14)]
     assert ngram_join.near_duplicates(table(spark, SF, "documents")).count() == table(spark, SF, "documents").count()
+
+
+def test_other_columns_may_have_any_name(spark):
+    docs = table(spark, SF, "documents").limit(40)
+    names = ["_d", "_m", "_found", "_leaks", "_set_id", "_stays", "_keeper", "_verdict", "_row", "vector", "_site", "_SALT", "given_0", "set_id", "quality"]
+    odd = docs.select("*", *(F.col("doc_id").alias(n) for n in names)).cache()
+    for name, work in corpus_pipeline.STAGES[:-1]:
+        out = work(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == r.doc_id for r in rows for n in names), name
+        assert {(r.doc_id, r.text) for r in rows} == {(r.doc_id, r.text) for r in work(spark, docs, SF).collect()}, name

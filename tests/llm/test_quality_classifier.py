@@ -1,4 +1,8 @@
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens.llm import quality_classifier as q
 
@@ -40,3 +44,63 @@ def test_odd_rows_and_missing_labels(spark):
     out = q.drop_rejected(docs, none)
     assert out.columns == docs.columns and out.count() == 4  # even odds reject nothing
     assert q.classify(docs.limit(0), labels).count() == 0
+
+
+def brute(docs, labels, odds):
+    """Verdicts of (doc_id, text, host, path) rows by plain loops; ``odds`` gives a text's evidence."""
+    logit = lambda p: math.log(p / (1 - p))
+    bad = {}
+    for doc, quality, toxic in labels:
+        own = bad.setdefault(doc, [None, None])
+        for k, (value, worse) in enumerate(((quality, 0), (toxic, 1))):
+            if value is not None:
+                own[k] = bool(own[k]) or value == worse
+    posterior = []
+    for k in range(2):
+        paths, hosts = {}, {}
+        for doc, _, host, path in docs:
+            if doc is not None and bad.get(doc, (None, None))[k] is not None:
+                for table, key in ((paths, (host, path)), (hosts, host)):
+                    n, b = table.get(key, (0, 0))
+                    table[key] = n + 1, b + bad[doc][k]
+        total, b = sum(n for n, _ in hosts.values()), sum(b for _, b in hosts.values())
+        share = (b + q.SMOOTHING) / (total + 2 * q.SMOOTHING)
+
+        def strength(groups, mean):
+            spread = sum(n * (b / n - mean(key)) ** 2 for key, (n, b) in groups.items())
+            return q._strength(share, spread, len(groups), total, float(sum(n * n for n, _ in groups.values())))
+
+        s = strength(hosts, lambda _: share)
+        at_host = {h: (b + s * share) / (n + s) for h, (n, b) in hosts.items()}
+        s = strength(paths, lambda key: at_host[key[0]])
+        at_path = {key: (b + s * at_host[key[0]]) / (n + s) for key, (n, b) in paths.items()}
+        posterior.append((share, at_host, at_path))
+    out = []
+    for doc, text, host, path in docs:
+        p = []
+        for k, (share, at_host, at_path) in enumerate(posterior):
+            site = at_path.get((host, path), at_host.get(host, share))
+            p.append(1 / (1 + math.exp(-(odds(text, k) + logit(site) - logit(share)))))
+        out.append((doc, host, path, 1 - p[0], p[1], p[0] <= 0.5 and p[1] <= 0.5))
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_posteriors_and_verdicts_against_loops(spark, monkeypatch, hot):
+    draw = random.Random(5)
+    evidence = lambda rows, target: lambda df: df.withColumn(f"{target}_odds", F.size(F.col("_row.marks")) / (3.0 if target == "toxic" else 2.0) - 1.0)
+    monkeypatch.setattr(q, "evidence", evidence)
+    if hot:
+        found = q.hot_keys
+        monkeypatch.setattr(q, "hot_keys", lambda df, key: found(df, key, 0.2, 0))
+    docs = [(None if i % 29 == 0 else i % 250, "x" * draw.randint(0, 5), draw.choice(["a", "a", "a", "b", "c", "", None, "new" if i > 200 else "b"]), draw.choice(["p", "q", None, ""])) for i in range(300)]
+    labels = [(draw.choice([None, *range(200)]), draw.choice([0, 1, 1, None]), draw.choice([0, 0, 1, None])) for _ in range(260)]
+    rows = spark.createDataFrame([(*r, list(r[1])) for r in docs], "doc_id long, text string, source string, lang string, marks array<string>")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [(r.doc_id, r.source, r.lang, r._verdict.quality, r._verdict.toxic, r._verdict.kept) for r in q.judged(rows, known).collect()]
+    order = lambda r: (str(r[:3]), round(r[3], 9), round(r[4], 9))
+    want = sorted(brute(docs, labels, lambda text, k: len(text) / (3.0 if k else 2.0) - 1.0), key=order)
+    got.sort(key=order)
+    assert len(got) == len(want) == 300
+    assert all(g[:3] == w[:3] and g[3:5] == pytest.approx(w[3:5], abs=1e-9) and g[5] == w[5] for g, w in zip(got, want, strict=True))
+    assert 0 < sum(r[5] for r in got) < 300
