@@ -98,24 +98,33 @@ def _strength(share: float, spread: float, groups: int, total: float, squares: f
     return min(max(within / between - 1, WEAKEST), STRONGEST) if between > 0 else STRONGEST
 
 
-def sites(known: DataFrame, target: str) -> tuple[DataFrame, Site]:
-    """(host, path, host_share, path_share) of the labelled sites by grouped sums, and the priors."""
-    paths = known.where(F.col(target).isNotNull()).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.col(target).cast("long")).alias("bad"))
-    paths = stage(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
-    total, bad = paths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    share = (bad + SMOOTHING) / (total + 2 * SMOOTHING)
-    moments = lambda p, mean, n: [F.coalesce(x, F.lit(0.0)) for x in (F.sum(n * (p - mean) ** 2), F.sum(n.cast("double") ** 2))]
-    n, p = F.col("host_n"), F.col("host_bad") / F.col("host_n")
-    spread, squares, groups = hosts.agg(*moments(p, F.lit(share), n), F.count("*")).first()
-    host_strength = _strength(share, spread, groups, total, squares)
-    hosts = hosts.withColumn("host_share", (F.col("host_bad") + host_strength * share) / (F.col("host_n") + host_strength))
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
-    n, p = F.col("n"), F.col("bad") / F.col("n")
-    spread, squares, groups = both.agg(*moments(p, F.col("host_share"), n), F.count("*")).first()
-    path_strength = _strength(share, spread, groups, total, squares)
-    shrunk = (F.col("bad") + path_strength * F.col("host_share")) / (F.col("n") + path_strength)
-    return both.select("host", "path", "host_share", shrunk.alias("path_share")), Site(share, host_strength, path_strength)
+def sites(known: DataFrame, *targets: str) -> tuple[DataFrame, dict[str, Site]]:
+    """host, path and, for every target, its shares at the host and at the path (``<target>_at_host``,
+    ``<target>_at_path``) of the labelled sites, by grouped sums of all targets at once; and the priors.
+
+    A site without a label of a target has its parent's share."""
+    counts = [c for t in targets for c in (F.count(t).alias(f"{t}_n"), F.coalesce(F.sum(F.col(t).cast("long")), F.lit(0)).alias(f"{t}_bad"))]
+    paths = stage(known.groupBy("host", "path").agg(*counts), "paths")
+    summed = [f"{t}_{x}" for t in targets for x in ("n", "bad")]
+    hosts = paths.groupBy("host").agg(*(F.sum(c).alias(f"host_{c}") for c in summed))
+    all_ = paths.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed)).first()
+    share = {t: (all_[f"{t}_bad"] + SMOOTHING) / (all_[f"{t}_n"] + 2 * SMOOTHING) for t in targets}
+
+    def strengths(groups: DataFrame, prefix: str, mean: dict[str, Column]) -> dict[str, float]:
+        sums = []
+        for t in targets:
+            n, p = F.col(f"{prefix}{t}_n"), F.col(f"{prefix}{t}_bad") / F.greatest(F.col(f"{prefix}{t}_n"), F.lit(1))
+            sums += [(F.sum(n * (p - mean[t]) ** 2), f"{t}_spread"), (F.sum(n.cast("double") ** 2), f"{t}_squares"), (F.sum((n > 0).cast("long")), f"{t}_groups")]
+        got = groups.agg(*(F.coalesce(x, F.lit(0)).alias(name) for x, name in sums)).first()
+        return {t: _strength(share[t], float(got[f"{t}_spread"]), got[f"{t}_groups"], all_[f"{t}_n"], float(got[f"{t}_squares"])) for t in targets}
+
+    at_host = strengths(hosts, "host_", {t: F.lit(share[t]) for t in targets})
+    shrunk = [((F.col(f"host_{t}_bad") + at_host[t] * share[t]) / (F.col(f"host_{t}_n") + at_host[t])).alias(f"{t}_at_host") for t in targets]
+    hosts = hosts.select(F.col("host").alias("_host"), *shrunk)
+    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+    at_path = strengths(both, "", {t: F.col(f"{t}_at_host") for t in targets})
+    shares = [c for t in targets for c in (F.col(f"{t}_at_host"), ((F.col(f"{t}_bad") + at_path[t] * F.col(f"{t}_at_host")) / (F.col(f"{t}_n") + at_path[t])).alias(f"{t}_at_path"))]
+    return both.select("host", "path", *shares), {t: Site(share[t], at_host[t], at_path[t]) for t in targets}
 
 
 def evidence(rows: DataFrame, target: str) -> Callable[[DataFrame], DataFrame]:
@@ -139,16 +148,8 @@ def site_key(*names: str) -> Column:
 
 def shrunk_sites(known: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, Site]]:
     """Shares of all targets by ``_site`` and by ``_host``, written tables, and the priors."""
-    parts, priors = [], {}
-    for target in TARGETS:
-        shares, priors[target] = sites(known, target)
-        own = {f"{target}_at_host": F.col("host_share"), f"{target}_at_path": F.col("path_share")}
-        parts.append(shares.select("host", "path", *((own.get(n, F.lit(None).cast("double"))).alias(n) for t in TARGETS for n in (f"{t}_at_host", f"{t}_at_path"))))
-    met = parts[0]
-    for part in parts[1:]:
-        met = met.unionByName(part)
-    both = met.groupBy("host", "path").agg(*(F.max(n).alias(n) for n in met.columns[2:]))
-    at_site = stage(both.select(site_key("host", "path").alias("_site"), site_key("host").alias("_host"), *met.columns[2:]), "sites")
+    shares, priors = sites(known, *TARGETS)
+    at_site = stage(shares.select(site_key("host", "path").alias("_site"), site_key("host").alias("_host"), *shares.columns[2:]), "sites")
     at_host = stage(at_site.groupBy("_host").agg(*(F.max(f"{t}_at_host").alias(f"{t}_at_host") for t in TARGETS)), "hosts")
     return at_site.select("_site", *(f"{t}_at_path" for t in TARGETS)), at_host, priors
 

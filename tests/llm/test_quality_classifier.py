@@ -30,7 +30,8 @@ def test_sites_shrink_towards_their_parents(spark):
     rows = [("a", "x", k < 45) for k in range(50)] + [("a", "y", True)] + [("b", "x", k < 5) for k in range(50)] + [("b", "z", False)] + [("c", "x", True)]
     known = spark.createDataFrame([(i, *r, False) for i, r in enumerate(rows)], "doc_id long, host string, path string, quality boolean, toxic boolean")
     shares, prior = q.sites(known, "quality")
-    at = {(r.host, r.path): (r.host_share, r.path_share) for r in shares.collect()}
+    prior = prior["quality"]
+    at = {(r.host, r.path): (r.quality_at_host, r.quality_at_path) for r in shares.collect()}
     assert prior.share < at["a", "x"][0] < 46 / 51 and 5 / 51 < at["b", "x"][0] < prior.share
     assert prior.share < at["c", "x"][0] < 1  # one label only: between its share and the overall one
     assert at["a", "y"][0] <= at["a", "y"][1] < 1
