@@ -2,8 +2,8 @@
 
 Words (lower case, no punctuation) are hashed to ``BUCKETS`` features, weighted by TF-IDF with
 document frequencies of all documents. A randomised SVD (power iterations whose sums come
-from Spark tasks) over a bounded sample of passages and the items gives ``RANK`` directions;
-passages and items are compared by the cosine of their whitened coordinates. Every document
+from Spark tasks) over the passages of all documents and the items, equal texts once, gives
+``RANK`` directions; passages and items are compared by the cosine of their whitened coordinates. Every document
 is cut into blocks of ``BLOCK`` words; an item of n words is compared with every run of
 ceil(n / BLOCK) + 1 blocks, so any occurrence lies whole in a run. Runs near enough
 (``COSINE``) are candidates, and so are runs that share ``SAME`` of the item's words. A candidate is verified word by word around the run: the longest
@@ -18,7 +18,7 @@ stand next to each other in a document.
 
 Items go to every task in groups of about ``ITEMS`` items and ``CHARACTERS`` characters (a bound on
 what is broadcast, but for a single longer item); more items are more passes. Documents are never
-shuffled.
+shuffled; the features of their words (two bytes a word) are, once, to find equal texts.
 
 Defined cases: null and empty texts are clean; an item without words matches nothing; repeated
 documents are judged each, benchmark rows with equal id and text count as one item; of equally
@@ -44,8 +44,8 @@ BUCKETS, RANK, EXTRA, POWER = 1 << 14, 64, 16, 2
 #: A word that an item repeats this often or more counts wherever it stands in a run.
 OFTEN = 8
 BLOCK = 8
-#: Passages of documents (about), of ``PASSAGE`` words each, that the directions are fitted on, and items (about).
-SAMPLE, PASSAGE = 20_000, 48
+#: Words of a passage, and passages that are multiplied together.
+PASSAGE, TOGETHER = 48, 24
 #: Share of the cosine of an unchanged copy, among as many other words as its run holds, that makes a candidate.
 COSINE = 0.55
 SAME, LOOSE = 0.8, 0.6
@@ -53,78 +53,104 @@ SAME, LOOSE = 0.8, 0.6
 PLAIN, BEHIND = 3, 4
 SHORTEST, ITEMS, CHARACTERS = 5, 2_000, 1_000_000
 #: Rows of the feature matrix that travel as one row of a frame.
-CHUNK = 1 << 12
+CHUNK = 1 << 9
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(50)).astype(np.int64)
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents that hold each feature, all documents, and all their passages.
-
-    At most ``BUCKETS`` + 2 rows come to the driver.
-    """
+def featured(texts: DataFrame) -> DataFrame:
+    """features (of all words, two bytes each) and n of every different text among the rows (text, n), n summed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows, parts = np.zeros(BUCKETS, np.int64), 0, 0
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 hashes, bounds = plain_words(batch.column("text"))
-                small = np.int32 if batch.num_rows * BUCKETS < 1 << 31 else np.int64
-                text = np.repeat(np.arange(batch.num_rows, dtype=small) * small(BUCKETS), np.diff(bounds))
-                total += np.bincount(np.unique(text + buckets(hashes).astype(small)) % BUCKETS, minlength=BUCKETS)
-                rows += batch.num_rows
-                parts += int((-(-np.diff(bounds) // PASSAGE)).sum())
+                bucket = buckets(hashes).astype(np.uint16)
+                each = pa.array([bucket[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("one", "two", "n")), each], ["one", "two", "n", "features"])
+
+    keyed = texts.select(F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"), F.col("n").cast("long").alias("n"), "text")
+    return in_arrow(keyed, work, "one long, two long, n long, features binary").groupBy("one", "two", "features").agg(F.sum("n").alias("n")).select("features", "n")
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all texts, and the texts' bounds among them."""
+    each = column.to_pylist()
+    return np.frombuffer(b"".join(each), np.uint16).astype(np.int64), np.cumsum([0, *(len(x) // 2 for x in each)])
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that hold each feature, and all documents, from the rows of ``featured``.
+
+    At most ``BUCKETS`` + 1 rows come to the driver.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            bucket, bounds = unpacked(batch.column("features"))
+            n = batch.column("n").to_numpy()
+            seen = np.zeros(batch.num_rows * BUCKETS, bool)
+            seen[np.repeat(np.arange(batch.num_rows) * BUCKETS, np.diff(bounds)) + bucket] = True
+            held = np.flatnonzero(seen)
+            np.add.at(total, held % BUCKETS, n[held // BUCKETS])
+            rows += int(n.sum())
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, (-1, -2)).astype(np.int32)), pa.array(np.append(total[some], (rows, parts)))], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], rows))], ["bucket", "n"])
 
-    out, n, parts = np.zeros(BUCKETS, np.int64), 0, 0
+    out, n = np.zeros(BUCKETS, np.int64), 0
     for row in in_arrow(texts, work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         if row.bucket == -1:
             n = row.n
-        elif row.bucket == -2:
-            parts = row.n
         else:
             out[row.bucket] = row.n
-    return out, n, parts
+    return out, n
 
 
-def passages(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, feature, weight) of passages of PASSAGE words, a shorter rest included."""
-    hashes, bounds = plain_words(column)
+def passages(bucket: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, weight) of every word, in passages of PASSAGE words, a shorter rest included."""
     count = -(-np.diff(bounds) // PASSAGE)
-    inner = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    inner = np.arange(len(bucket)) - np.repeat(bounds[:-1], np.diff(bounds))
     passage = np.repeat(np.cumsum(count) - count, np.diff(bounds)) + inner // PASSAGE
-    bucket = buckets(hashes)
     weight = idf[bucket].astype(np.float32)
     total = np.bincount(passage, weight.astype(np.float64) ** 2) if len(passage) else np.zeros(0)
-    return passage, bucket, weight / np.sqrt(np.maximum(total[passage], 1e-12)).astype(np.float32)
+    return passage, weight / np.sqrt(np.maximum(total[passage], 1e-12)).astype(np.float32)
+
+
+def add_products(total: np.ndarray, basis: np.ndarray, bucket: np.ndarray, passage: np.ndarray, weight: np.ndarray, gram: bool) -> None:
+    """Add (A B)^T (A B) if ``gram``, else A^T (A B), of these passages A and ``basis`` B."""
+    local = np.empty(BUCKETS, np.int64)
+    cuts = np.searchsorted(passage, np.arange(0, int(passage[-1]) + 1 + TOGETHER, TOGETHER)).tolist()
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        own, place = bucket[low:high], passage[low:high] - passage[low]
+        # few passages have few features: a small dense matrix
+        seen = np.zeros(BUCKETS, bool)
+        seen[own] = True
+        active = np.flatnonzero(seen)
+        local[active] = np.arange(len(active))
+        dense = np.zeros((int(place[-1]) + 1, len(active)), np.float32)
+        np.add.at(dense.ravel(), place * len(active) + local[own], weight[low:high])
+        shown = dense @ basis[active]
+        if gram:
+            total += shown.T @ shown
+        else:
+            total[active] += dense.T @ shown
 
 
-def _summed(sample: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
-    """Sum over the tasks of (A B)^T (A B) if ``gram``, else of A^T (A B), for the passages A and ``basis`` B."""
-    given = sample.sparkSession.sparkContext.broadcast((idf, basis))
+def _summed(texts: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
+    """Sum over the tasks of (A B)^T (A B) if ``gram``, else of A^T (A B), for the passages A of all texts and ``basis`` B."""
+    given = texts.sparkSession.sparkContext.broadcast((idf, basis))
     height, width = (basis.shape[1], basis.shape[1]) if gram else basis.shape
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = given.value
         total = np.zeros((height, width), np.float32)
-        for whole in batches:
-            for batch in slices(whole, "text", 1 << 18):
-                passage, bucket, weight = passages(batch.column("text"), idf)
-                if not len(passage):
-                    continue
-                head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                shown = np.add.reduceat(basis[bucket] * weight[:, None], head)
-                if gram:
-                    total += shown.T @ shown
-                    continue
-                order = np.argsort(bucket, kind="stable")
-                row = bucket[order]
-                part = (shown[np.cumsum(np.append(0, np.diff(passage) > 0))] * weight[:, None])[order]
-                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                total[row[first]] += np.add.reduceat(part, first)
+        for batch in batches:
+            bucket, bounds = unpacked(batch.column("features"))
+            if len(bucket):
+                add_products(total, basis, bucket, *passages(bucket, bounds, idf), gram)
         parts = [total[k : k + CHUNK].tobytes() for k in range(0, height, CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part"])
 
@@ -137,17 +163,18 @@ def _summed(sample: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "part"])
 
     schema = "chunk int, part binary"
-    rows = in_arrow(sample, work, schema).repartition("chunk").mapInArrow(add, schema).collect()
+    rows = in_arrow(texts.select("features"), work, schema).repartition("chunk").mapInArrow(add, schema).collect()
+    given.unpersist()
     parts = {r.chunk: np.frombuffer(r.part, np.float32) for r in rows}
     return np.concatenate([parts[k] for k in sorted(parts)]).reshape(height, width) if parts else np.zeros((height, width), np.float32)
 
 
-def directions(sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Features by RANK: right singular vectors of the sample's passages, each over its singular value."""
+def directions(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Features by RANK: right singular vectors of all passages, each over its singular value."""
     basis = np.random.default_rng(17).standard_normal((BUCKETS, RANK + EXTRA)).astype(np.float32)
     for _ in range(POWER + 1):
-        basis = np.linalg.qr(_summed(sample, idf, basis, False))[0].astype(np.float32)
-    values, vectors = np.linalg.eigh(_summed(sample, idf, basis, True).astype(np.float64))
+        basis = np.linalg.qr(_summed(texts, idf, basis, False))[0].astype(np.float32)
+    values, vectors = np.linalg.eigh(_summed(texts, idf, basis, True).astype(np.float64))
     best = np.argsort(values)[::-1][:RANK]
     scale = np.sqrt(np.maximum(values[best], 1e-9))
     return ((basis @ vectors[:, best]) / scale).astype(np.float32)
@@ -374,12 +401,11 @@ def marked(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataF
     texts = docs.select(text_or_empty(column).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text").alias("text")).distinct()
     asked, characters = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    df, n, parts = document_frequencies(texts)
+    # items shape the directions, but are no documents
+    known = stage(featured(texts.withColumn("n", F.lit(1)).unionByName(items.select("text", F.lit(0).alias("n")))), "features")
+    df, n = document_frequencies(known)
     idf = np.log((n + 1) / (df + 0.5)).clip(0.1).astype(np.float32)
-    one_of = lambda rows, k: rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, -(-k // SAMPLE)))) == 0)
-    # chosen by a hash of the text, so copies are chosen together: they count once
-    sample = stage(one_of(texts, parts).unionByName(one_of(items.select("text"), asked)).distinct(), "passages")
-    space = directions(sample, idf)
+    space = directions(known, idf)
     groups = max(1, -(-asked // ITEMS), -(-characters // CHARACTERS))
     out, schema = docs, StructType([*docs.schema.fields]).add("_leaks", ArrayType(LEAK))
     names = docs.columns

@@ -157,3 +157,36 @@ def test_empty_tables_and_columns(spark):
     assert d.leaked(docs, items.limit(0)).count() == 0 and d.leaked(docs.limit(0), items).count() == 0
     assert d.drop_leaked(docs, items.limit(0)).collect() == docs.collect()
     assert d.drop_leaked(docs, items).count() == 0
+
+
+def test_directions_are_fitted_on_every_passage(spark):
+    draw = random.Random(31)
+    texts = [" ".join(f"w{draw.randrange(900)}" for _ in range(draw.randint(0, 200))) for _ in range(60)]
+    rows = [(t, 1) for t in [*texts, *texts[:20]]] + [("an item of its own", 0), ("", 1)]
+    known = d.featured(spark.createDataFrame(rows, "text string, n int"))
+    df, n = d.document_frequencies(known)
+    hashed = [d.buckets(d.plain_words(pa.array([t]))[0]) for t, _ in rows]
+    want = np.zeros(d.BUCKETS, np.int64)
+    for own, (_, k) in zip(hashed, rows, strict=True):
+        want[np.unique(own)] += k
+    assert n == 81 and (df == want).all()
+    idf = np.log((n + 1) / (df + 0.5)).clip(0.1).astype(np.float32)
+    matrix = []
+    for own in hashed[:60] + hashed[80:81]:  # equal texts count once
+        for k in range(0, len(own), d.PASSAGE):
+            row = np.bincount(own[k : k + d.PASSAGE], idf[own[k : k + d.PASSAGE]], d.BUCKETS)
+            matrix.append(row / np.sqrt((idf[own[k : k + d.PASSAGE]].astype(float) ** 2).sum()))
+    a, basis = np.array(matrix), np.random.default_rng(1).standard_normal((d.BUCKETS, 5)).astype(np.float32)
+    assert np.allclose(d._summed(known, idf, basis, False), a.T @ (a @ basis), atol=1e-3)
+    assert np.allclose(d._summed(known, idf, basis, True), (a @ basis).T @ (a @ basis), atol=1e-2)
+
+
+def test_many_documents_leave_none_out(spark, monkeypatch):
+    """The directions see more passages than the 20,000 that were once sampled."""
+    seen = []
+    inner = d.directions
+    monkeypatch.setattr(d, "directions", lambda texts, idf: (seen.append(sum(-(-len(r.features) // 2 // d.PASSAGE) for r in texts.collect())), inner(texts, idf))[1])
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('document number ', id, ' holds few words') AS text")
+    items = spark.createDataFrame([(1, "document number 20999 holds few words"), (2, None)], "item_id long, text string")
+    assert 1 in {r.item_id for r in d.leaked(docs, items).collect()}
+    assert seen == [21_000]  # the item equals a document's text
