@@ -1,7 +1,7 @@
 """Quality classifier: a document's own evidence, combined with what is known of its site.
 
 Evidence is a logistic regression over hashed words and stepped style figures, one for low
-quality and one for toxicity, fitted on at most about ``SAMPLE`` labelled documents. Sites form
+quality and one for toxicity, fitted on all labelled documents. Sites form
 a hierarchy: all documents, a host, a path of the host. By empirical Bayes the share of bad
 labels of a host shrinks towards the overall share, and that of a path towards its host's, by
 strengths estimated from the spread between hosts and between paths (method of moments, from
@@ -34,8 +34,6 @@ from orderlens.llm.common import apart
 from orderlens.operators.skew import hot_keys, spread_join
 from orderlens.session import stage
 
-#: Labelled documents the evidence is fitted on (about; chosen by a hash of their id).
-SAMPLE = 20_000
 FEATURES = 1 << 17
 ITERATIONS, PENALTY = 30, 3e-4
 #: Style figures count in whole numbers up to this one.
@@ -75,10 +73,10 @@ def _steps(name: str, value: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.concat(F.lit(f" {name}>="), k.cast("string")))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFrame:
-    """doc_id, host, path and whether each target is bad (null if not said), a row for each document row."""
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with a label and whether each target is bad (null if not said)."""
     said = labels.where("doc_id is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("quality"), (F.max("toxic") == 1).alias("toxic"))
-    return docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path")).join(said, "doc_id")
+    return rows.join(said, "doc_id")
 
 
 @dataclass(frozen=True)
@@ -159,17 +157,17 @@ def judged(docs: DataFrame, labels: DataFrame, column: str = "text", host: str =
     of good quality and of toxicity), host_share, path_share (of low quality) and kept."""
     hashing = HashingTF(inputCol="_features", outputCol="vector", numFeatures=FEATURES, binary=True)
     vectors = lambda df: hashing.transform(df.withColumn("_features", features(F.coalesce(F.col(column), F.lit(""))))).drop("_features")
-    known = stage(labelled(docs, labels, host, path), "labelled")
-    n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < SAMPLE).select("doc_id", *TARGETS).dropDuplicates(["doc_id"])
-    sample = docs.select("doc_id", column).join(F.broadcast(chosen) if n else chosen, "doc_id")
-    sample = stage(vectors(sample).select("vector", *TARGETS), "sample")
-    at_site, at_host, priors = shrunk_sites(known)
     keys = {"_site": site_key(host, path), "_host": site_key(host)}
-    work = vectors(docs.select(F.struct(*(carried or docs.columns)).alias("_row"), column, *(key.alias(k) for k, key in keys.items())))
+    # made once: the labelled ones train, all are judged
+    work = docs.select("doc_id", F.struct(*(carried or docs.columns)).alias("_row"), column, *(key.alias(k) for k, key in keys.items()))
+    work = stage(vectors(work).drop(column), "vectors")
+    known = labelled(docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path")), labels)
+    sample = stage(labelled(work.select("doc_id", "vector"), labels).select("vector", *TARGETS), "sample")
+    at_site, at_host, priors = shrunk_sites(known)
+    work = work.drop("doc_id")
     for target in TARGETS:
         work = evidence(sample, target)(work)
-    work = work.drop("vector", column)
+    work = work.drop("vector")
     for (k, key), shares in zip(keys.items(), (at_site, at_host), strict=True):
         work = spread_join(work, shares, k, "left", hot_keys(docs.select(key.alias(k)), k), ["quality_odds", "toxic_odds"]).drop(k)
     for target in TARGETS:

@@ -105,3 +105,12 @@ def test_posteriors_and_verdicts_against_loops(spark, monkeypatch, hot):
     assert len(got) == len(want) == 300
     assert all(g[:3] == w[:3] and g[3:5] == pytest.approx(w[3:5], abs=1e-9) and g[5] == w[5] for g, w in zip(got, want, strict=True))
     assert 0 < sum(r[5] for r in got) < 300
+
+
+def test_evidence_is_fitted_on_every_label(spark, monkeypatch):
+    fitted = {}
+    monkeypatch.setattr(q, "evidence", lambda rows, target: (fitted.update({target: rows.count()}), lambda df: df.withColumn(f"{target}_odds", F.lit(0.0)))[1])
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat('text ', id % 7) AS text", "'s' AS source", "'en' AS lang").union(spark.sql("SELECT 1L, 'text 1', 's', 'en'"))
+    labels = spark.range(0, 24_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic")
+    assert q.classify(docs, labels).count() == 24_001
+    assert fitted == {"quality": 24_001, "toxic": 24_001}
