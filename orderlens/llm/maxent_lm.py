@@ -8,9 +8,11 @@ predicted by a softmax over hashed features of the history: the last word, the o
 Counts come from all training documents. The weights start from how often each feature is
 followed by each class, as shrunk log ratios (a pass that counts), and are then trained by
 ``ROUNDS`` synchronous gradient updates, each a pass over all training documents: the gradient is
-the observed less the expected counts, divided by a bound of its curvature. Tasks only add whole
+the observed less the expected counts, divided by a bound of its curvature. Equal histories of
+some ``TOGETHER`` tokens are written as one row with their number, which the passes read, as an
+expectation is the same for all of them. Tasks only add whole
 numbers (expected counts in units of 1 / ``UNIT``), so weights and scores do not depend on how the
-table is split. The sums of the tasks meet in two steps, first within ``BRANCHES`` groups of tasks.
+table is split. The sums of the tasks meet in two steps, first those of ``SIBLINGS`` tasks.
 Scoring is one pass in numpy; counts of rare words, too many to hand to every task, are joined by
 word hash. Words with at least N / 2**20 occurrences, so at most 2**20 of them, go to every task.
 
@@ -42,16 +44,19 @@ CLASSES = SINGLES + SHARED
 BUCKETS = 1 << 12
 KINDS = 3
 HEAD = 1 << 20
-ROUNDS, MINIBATCH, RATE = 1, 4096, 0.7
+ROUNDS, MINIBATCH, RATE = 3, 4096, 0.7
 #: Share of a feature's log ratio it starts with, as KINDS features speak at once, and the occurrences its prior is worth.
 START_SHARE, PRIOR = 1 / KINDS, 20.0
 #: Parts of one expected occurrence; MINIBATCH times as many stay below 2**31.
 UNIT = 1 << 18
-BRANCHES = 32
+#: Tasks whose sums meet first.
+SIBLINGS = 16
 #: Scores this far below the best one count as this far; keeps their powers normal numbers.
 LOWEST = np.float32(-60)
 #: Features that occur up to so many times in a minibatch are summed together, an occurrence at a time.
 FEW = 24
+#: Tokens whose equal histories are counted together.
+TOGETHER, TOGETHER_ROW = 1 << 21, 1 << 16
 #: Rows of the weight matrix that travel as one row of a frame.
 CHUNK = 64
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -132,17 +137,20 @@ def forward(weights: np.ndarray, bias: np.ndarray, active: np.ndarray) -> np.nda
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def add_observed(total: np.ndarray, active: np.ndarray, cls: np.ndarray) -> None:
-    """Count the classes that follow each feature."""
-    total += np.bincount((active * CLASSES + cls).ravel(), minlength=total.size).reshape(total.shape)
+def add_observed(total: np.ndarray, active: np.ndarray, cls: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Count the classes that follow each feature, every position ``times`` (once)."""
+    for row in active:
+        np.add.at(total.reshape(-1), row * CLASSES + cls, 1 if times is None else times)
 
 
-def add_expected(total: np.ndarray, weights: np.ndarray, bias: np.ndarray, active: np.ndarray) -> None:
-    """Add, for every feature that occurs, the probabilities of the classes in whole units."""
+def add_expected(total: np.ndarray, weights: np.ndarray, bias: np.ndarray, active: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Add, for every feature that occurs, the probabilities of the classes in whole units, every position ``times`` (once)."""
     share = raised(weights, bias, active)
     np.exp(share, out=share)
     share *= UNIT / share.sum(1, keepdims=True)
     share = np.rint(share, out=share).astype(np.int32)
+    if times is not None:
+        share = share * times[:, None]  # in 64 bits
     order = np.argsort(active.ravel().astype(np.int16), kind="stable")  # a radix sort; rows are below 2**15
     row = active.ravel()[order]
     order %= active.shape[1]
@@ -153,7 +161,7 @@ def add_expected(total: np.ndarray, weights: np.ndarray, bias: np.ndarray, activ
     part = share[order[head]]
     many = int(np.searchsorted(-size, -FEW))
     for i, (start, n) in enumerate(zip(head[:many].tolist(), size[:many].tolist(), strict=True)):
-        part[i] = share[order[start : start + n]].sum(0, dtype=np.int32)
+        part[i] = share[order[start : start + n]].sum(0, dtype=share.dtype)
     for j in range(1, FEW):
         upto = max(many, int(np.searchsorted(-size, -j)))  # those that occur more than j times
         part[many:upto] += share[order[head[many:upto] + j]]
@@ -183,22 +191,65 @@ def vocabulary(training: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return counts, Vocabulary(hashes, n, singles, total, kinds, shared_total, shared_kinds)
 
 
-def summed(training: DataFrame, known: Broadcast, model: Broadcast | None) -> np.ndarray:
-    """Counts by feature and class over all training documents: observed ones, or those a model expects."""
+def coded(active: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """A position's features and the class that follows as one number, the class last."""
+    code = np.zeros(len(cls), np.int64)
+    for k, row in enumerate(active):
+        code = code * BUCKETS + (row - k * BUCKETS)
+    return code * CLASSES + cls
+
+
+def features_of(history: np.ndarray) -> np.ndarray:
+    """The features in codes without their class."""
+    return np.stack([history // BUCKETS ** (KINDS - 1 - k) % BUCKETS + k * BUCKETS for k in range(KINDS)])
+
+
+def histories(training: DataFrame, known: Broadcast) -> DataFrame:
+    """Rows of up to ``TOGETHER_ROW`` codes (see ``coded``), sorted, and n, how often each occurs among some
+    ``TOGETHER`` tokens. A code may be in several rows."""
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        for k in range(0, len(code), TOGETHER_ROW):
+            own = slice(k, k + TOGETHER_ROW)
+            yield pa.RecordBatch.from_arrays([pa.array([x[own].astype(np.int64).tobytes()], pa.binary()) for x in (code, n)], ["code", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((KINDS * BUCKETS, CLASSES), np.int64)
+        held: list[np.ndarray] = []
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 token, at = tokens(batch.column("text"))
-                active = features(token, at)
-                if model is None:
-                    add_observed(total, active, known.value.find(token)[0])
-                    continue
-                for low in range(0, len(token), MINIBATCH):
-                    add_expected(total, *model.value, active[:, low : low + MINIBATCH])
+                held.append(coded(features(token, at), known.value.find(token)[0]))
+                if sum(map(len, held)) >= TOGETHER:
+                    yield from counted(held)
+                    held = []
+        if held:
+            yield from counted(held)
+
+    return stage(in_arrow(training.select("text"), work, "code binary, n binary"), "histories")
+
+
+def summed(seen: DataFrame, model: Broadcast | None) -> np.ndarray:
+    """Counts by feature and class over all ``histories``: observed ones, or those a model expects."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((KINDS * BUCKETS, CLASSES), np.int64)
+        rows = ([np.frombuffer(x.as_buffer(), np.int64) for x in row] for batch in batches for row in zip(*batch.columns, strict=True))
+        for code, n in rows:
+            if model is None:
+                add_observed(total, features_of(code // CLASSES), code % CLASSES, n)
+                continue
+            history = code // CLASSES
+            head = np.flatnonzero(np.append(True, history[1:] != history[:-1]))
+            history, n = history[head], np.add.reduceat(n, head)
+            # nearly all occur once: their sums stay below 2**31
+            for part, times in ((history[n == 1], None), (history[n > 1], n[n > 1])):
+                active = features_of(part)
+                for low in range(0, len(part), MINIBATCH):
+                    own = slice(low, low + MINIBATCH)
+                    add_expected(total, *model.value, active[:, own], None if times is None else times[own])
         chunks = {k // CHUNK: total[k : k + CHUNK] for k in range(0, len(total), CHUNK) if total[k : k + CHUNK].any()}
-        yield as_rows(chunks, TaskContext.get().partitionId() % BRANCHES)
+        yield as_rows(chunks, TaskContext.get().partitionId() // SIBLINGS)
 
     def as_rows(chunks: dict[int, np.ndarray], branch: int = 0) -> pa.RecordBatch:
         kinds = (pa.int32(), pa.int32(), pa.binary())
@@ -214,7 +265,7 @@ def summed(training: DataFrame, known: Broadcast, model: Broadcast | None) -> np
         yield as_rows(sums)
 
     schema = "chunk int, branch int, part binary"
-    parts = in_arrow(training.select("text"), work, schema)
+    parts = in_arrow(seen, work, schema)
     for keys in (("chunk", "branch"), ("chunk",)):
         parts = parts.repartition(*keys).mapInArrow(add, schema)
     out = np.zeros((KINDS * BUCKETS, CLASSES), np.int64)
@@ -241,11 +292,13 @@ def train(training: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     """Weights (features by classes) and bias."""
     context = training.sparkSession.sparkContext
     bias, known = vocab.bias(), context.broadcast(vocab)
-    observed = summed(training, known, None)
+    # a task sends sums of fixed size, so it should have that many tokens
+    seen = histories(training, known).coalesce(int(vocab.total) // TOGETHER + 1)
+    observed = summed(seen, None)
     weights = first_weights(observed, bias)
     for _ in range(ROUNDS):
         model = context.broadcast((weights, bias))
-        weights = updated(weights, observed, summed(training, known, model) / UNIT)
+        weights = updated(weights, observed, summed(seen, model) / UNIT)
         model.unpersist()
     return weights, bias
 

@@ -164,3 +164,35 @@ def test_score_is_that_of_a_plain_model_and_does_not_depend_on_the_split(spark):
     assert [d for d, _ in want] == [d for d, _ in runs[0]] == [d for d, _ in runs[1]]
     assert [x for _, x in runs[0]] == pytest.approx([x for _, x in runs[1]], abs=1e-9)
     assert [x for _, x in runs[0]] == pytest.approx([x for _, x in want], abs=2e-2)
+
+
+def test_equal_histories_are_counted_as_often_as_they_occur(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "TOGETHER", 700)
+    monkeypatch.setattr(maxent_lm, "TOGETHER_ROW", 64)
+    texts = [f"the w{i % 5} of the w{i % 3} Of" for i in range(200)] + ["", None, "the the the the"]
+    df = spark.createDataFrame([(t or "",) for t in texts], "text string").repartition(3)
+    _, vocab = maxent_lm.vocabulary(df)
+    known = spark.sparkContext.broadcast(vocab)
+    seen = maxent_lm.histories(df, known)
+    token, at = maxent_lm.tokens(pa.array([t or "" for t in texts]))
+    active, cls = maxent_lm.features(token, at), vocab.find(token)[0]
+    assert (maxent_lm.features_of(maxent_lm.coded(active, cls) // maxent_lm.CLASSES) == active).all()
+    assert sum(np.frombuffer(r.n, np.int64).sum() for r in seen.collect()) == len(token)
+    w = np.random.default_rng(3).normal(size=(3 * maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32)
+    observed, expected = np.zeros(w.shape, np.int64), np.zeros(w.shape, np.int64)
+    maxent_lm.add_observed(observed, active, cls)
+    maxent_lm.add_expected(expected, w, vocab.bias(), active)
+    assert (maxent_lm.summed(seen, None) == observed).all()
+    assert (maxent_lm.summed(seen, spark.sparkContext.broadcast((w, vocab.bias()))) == expected).all()
+
+
+def test_training_goes_on_after_the_first_update(spark, monkeypatch):
+    passes = []
+    inner = maxent_lm.updated
+    monkeypatch.setattr(maxent_lm, "updated", lambda *given: (passes.append(1), inner(*given))[1])
+    rows = corpus()
+    got = maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(passes) == maxent_lm.ROUNDS > 1
+    monkeypatch.setattr(maxent_lm, "ROUNDS", 1)
+    once = maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.score for r in got if not r.held_out) > sum(r.score for r in once if not r.held_out)
