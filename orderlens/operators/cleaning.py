@@ -66,16 +66,19 @@ def fold_first(
     order_by: str = "order_id",
     count_as: str | None = None,
     sums: Mapping[str, Column] | None = None,
+    by_hash: bool = False,
 ) -> DataFrame:
     """``keep_first`` in one pass over ``df``: whole rows are aggregated, which Spark sorts.
 
     Copies collapse before the shuffle, so a key with very many copies costs one row per task.
-    Rows that agree in key and ``order_by`` are told apart by their other columns.
+    Rows that agree in key and ``order_by`` are told apart by their other columns, or, ``by_hash``,
+    as in ``keep_first``.
     """
-    rest = [c for c in df.columns if c not in key and c != order_by]
+    hashes = dict(zip(("_t", "_u"), row_identity(df.columns), strict=True)) if by_hash else {}
+    rest = [*hashes, *(c for c in df.columns if c not in key and c != order_by)]
     counts = [F.count(F.lit(1)).alias(count_as)] if count_as else []
     totals = {name: F.sum(expr).alias(name) for name, expr in (sums or {}).items()}
-    first = df.groupBy(*key).agg(F.min(F.struct(order_by, *rest)).alias("_first"), *counts, *totals.values())
+    first = df.withColumns(hashes).groupBy(*key).agg(F.min(F.struct(order_by, *rest)).alias("_first"), *counts, *totals.values())
     extra = [*([count_as] if count_as else []), *totals]
     return first.select(*key, "_first.*", *extra).select(*df.columns, *extra)
 
@@ -121,9 +124,10 @@ def clean_orders(
 ) -> DataFrame:
     """Coerce, normalise, drop copies, fill - in this order.
 
-    The rows without copies are written once: the median and the result both read them.
+    The rows without copies are written once: the median and the result both read them. Text is
+    read as numbers and dates once per row, so copies go in one pass.
     """
-    unique = keep_first(typed_orders(orders, date_format), key)
+    unique = fold_first(typed_orders(orders, date_format), key, by_hash=True)
     if rating_policy == "median":
         unique = stage(unique, "clean-orders")
     return fill_missing(unique, rating_policy)

@@ -124,3 +124,24 @@ def test_keep_first_agrees_with_python(retail):
     assert sorted(r["order_id"] for r in found.collect()) == sorted(kept)
     assert cleaning.count_copies(cleaning.typed_orders(retail.orders)).first()[0] == len(orders) - len(kept)
     assert isinstance(found.first()["order_date"], dt.date)
+
+
+def tied_rows(spark):
+    """Copies that agree in key and id, ids that are missing, and rows of their own."""
+    rows = []
+    for i in range(60):
+        order = None if i % 7 == 0 else f"O{i % 9}"
+        rows.append((order, f"C{i % 4}", None if i % 5 == 0 else "P1", "2026-01-01", "1", "" if i % 3 else "0", " Card", str(i % 5 + 1), str(i % 2)))
+    return raw(spark, *rows).repartition(3)
+
+
+def reads(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_clean_orders_reads_its_rows_once_and_keeps_what_keep_first_keeps(spark):
+    df = tied_rows(spark)
+    kept = cleaning.clean_orders(df, rating_policy="keep_null")
+    want = cleaning.fill_missing(cleaning.keep_first(cleaning.typed_orders(df)), "keep_null")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert reads(kept) == reads(df) == 1
