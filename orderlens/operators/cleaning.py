@@ -137,7 +137,7 @@ def clean_orders_fill_first(
     orders: DataFrame, key: Sequence[str] = DEDUP_KEY, date_format: str = "yyyy-MM-dd"
 ) -> DataFrame:
     """The variant of the charts: discounts are filled before copies are dropped."""
-    return keep_first(fill_missing(typed_orders(orders, date_format), "keep_null"), key)
+    return fold_first(fill_missing(typed_orders(orders, date_format), "keep_null"), key, by_hash=True)
 
 
 def typed_orders(orders: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:

@@ -145,3 +145,11 @@ def test_clean_orders_reads_its_rows_once_and_keeps_what_keep_first_keeps(spark)
     want = cleaning.fill_missing(cleaning.keep_first(cleaning.typed_orders(df)), "keep_null")
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert reads(kept) == reads(df) == 1
+
+
+def test_fill_first_reads_its_rows_once_and_keeps_what_keep_first_keeps(spark):
+    df = tied_rows(spark)
+    kept = cleaning.clean_orders_fill_first(df)
+    want = cleaning.keep_first(cleaning.fill_missing(cleaning.typed_orders(df), "keep_null"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert reads(kept) == reads(df) == 1
