@@ -40,9 +40,13 @@ def enrich_orders(
     hot_products: HotKeys | None = None,
     hot_customers: HotKeys | None = None,
 ) -> DataFrame:
-    """Left joins to both dimensions, with the value and the month of each order."""
-    valued = order_value(orders, products, hot_products, "left")
-    joined = spread_join(valued, one_row_per_key(customers, "customer_id"), "customer_id", "left", hot_customers)
+    """Left joins to both dimensions, with the value and the month of each order.
+
+    Customers come first: orders that are partitioned by customer already stay where they are, and
+    the names of products aren't shuffled.
+    """
+    joined = spread_join(orders, one_row_per_key(customers, "customer_id"), "customer_id", "left", hot_customers)
+    joined = order_value(joined, products, hot_products, "left")
     return joined.withColumn("month", month_label(F.col("order_date")))
 
 

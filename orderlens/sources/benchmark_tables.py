@@ -94,11 +94,15 @@ def order_headers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def retail_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Order rows with customer, date and payment method from the order header."""
+def retail_orders(spark: SparkSession, folder: str, hashed: bool = False) -> DataFrame:
+    """Order rows with customer, date and payment method from the order header.
+
+    ``hashed`` headers are held as a hash table in each task, so the lines aren't sorted.
+    """
+    headers = order_headers(spark, folder)
     return spread_join(
         retail_lines(spark, folder),
-        order_headers(spark, folder),
+        headers.hint("shuffle_hash") if hashed else headers,
         "order_key",
         hot=hot(spark, folder, "lineitem", "l_orderkey"),
         spread_by=["product_id", "quantity", "rating"],
@@ -112,7 +116,7 @@ def retail_raw(spark: SparkSession, folder: str) -> DataFrame:
     arrivals = F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     method = F.when(F.col("arrival") == 1, F.lower("payment_method")).otherwise(F.col("payment_method"))
     return (
-        retail_orders(spark, folder)
+        retail_orders(spark, folder, hashed=True)
         .withColumn("arrival", F.explode(arrivals))
         .select(
             F.concat_ws("-", "order_id", "arrival").alias("order_id"),
