@@ -10,7 +10,8 @@ followed by each class, as shrunk log ratios (a pass that counts), and are then
 ``ROUNDS`` synchronous gradient updates, each a pass over all training documents: the gradient is
 the observed less the expected counts, divided by a bound of its curvature. Equal histories of
 some ``TOGETHER`` tokens are written as one row with their number, which the passes read, as an
-expectation is the same for all of them. Tasks only add whole
+expectation is the same for all of them. A position's scores are products of the powers of its
+features' weights, which are taken once in a task. Tasks only add whole
 numbers (expected counts in units of 1 / ``UNIT``), so weights and scores do not depend on how the
 table is split. The sums of the tasks meet in two steps, first those of ``SIBLINGS`` tasks.
 Scoring is one pass in numpy; counts of rare words, too many to hand to every task, are joined by
@@ -27,6 +28,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import in_arrow, text_or_empty
-from orderlens.llm.textbytes import joined, lowered, mix, slices, words
+from orderlens.llm.textbytes import joined, lowered, mix, places, slices, slots, words
 from orderlens.session import stage
 
 SINGLES, SHARED = 96, 32
@@ -44,17 +46,19 @@ CLASSES = SINGLES + SHARED
 BUCKETS = 1 << 12
 KINDS = 3
 HEAD = 1 << 20
-ROUNDS, MINIBATCH, RATE = 3, 4096, 0.7
+ROUNDS, MINIBATCH, RATE = 3, 1 << 14, 0.7
 #: Share of a feature's log ratio it starts with, as KINDS features speak at once, and the occurrences its prior is worth.
 START_SHARE, PRIOR = 1 / KINDS, 20.0
-#: Parts of one expected occurrence; MINIBATCH times as many stay below 2**31.
-UNIT = 1 << 18
+#: Positions whose scores are computed together, so that they stay in the cache.
+ABREAST = 1 << 10
+#: Parts of one expected occurrence; RARELY * RUN times as many stay below 2**31.
+UNIT, RARELY = 1 << 18, 3
+#: Positions that are summed together before the whole sum.
+RUN = 1 << 11
 #: Tasks whose sums meet first.
 SIBLINGS = 16
-#: Scores this far below the best one count as this far; keeps their powers normal numbers.
-LOWEST = np.float32(-60)
 #: Features that occur up to so many times in a minibatch are summed together, an occurrence at a time.
-FEW = 24
+FEW = 48
 #: Tokens whose equal histories are counted together.
 TOGETHER, TOGETHER_ROW = 1 << 21, 1 << 16
 #: Rows of the weight matrix that travel as one row of a frame.
@@ -99,12 +103,17 @@ class Vocabulary:
         if len(singles):
             self.single[np.searchsorted(self.hashes, singles)] = np.arange(len(singles))
 
+    @cached_property
+    def slot(self) -> np.ndarray:
+        """Made where it is used, not sent along."""
+        return slots(self.hashes)
+
     def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of each token, and its count where the word is frequent, else -1."""
         cls = SINGLES + (token % np.uint64(SHARED)).astype(np.int64)
         count = np.full(len(token), -1, np.int64)
         if len(self.hashes):
-            i = np.minimum(np.searchsorted(self.hashes, token), len(self.hashes) - 1)
+            i = np.minimum(places(self.hashes, self.slot, token), len(self.hashes) - 1)
             hit = self.hashes[i] == token
             count[hit] = self.counts[i[hit]]
             own = np.where(hit, self.single[i], -1)
@@ -121,22 +130,48 @@ class Vocabulary:
         return out.astype(np.float32)
 
 
-def raised(weights: np.ndarray, bias: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Scores of the classes for each position, less the largest one."""
-    z = weights[active[0]]
-    for k in range(1, KINDS):
-        z += weights[active[k]]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    return np.maximum(z, LOWEST, out=z)
+def powers(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """e to the weights, with the bias in those of the first kind: their products are the classes' scores.
+
+    A weight starts with at most a third of a log ratio and grows by less than RATE in a round, so
+    that the products of KINDS of them are ordinary numbers.
+    """
+    out = np.exp(weights)
+    out[:BUCKETS] *= np.exp(bias)
+    return out
+
+
+def scored(power: np.ndarray, active: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the classes for each position, in ``held``, and their sums."""
+    out, other = (x[: active.shape[1]] for x in held)
+    np.take(power, active[0], 0, out, "clip")
+    for row in active[1:]:
+        np.take(power, row, 0, other, "clip")
+        out *= other
+    return out, np.vecdot(out, np.ones(CLASSES, np.float32))
+
+
+def abreast() -> tuple[np.ndarray, np.ndarray]:
+    return np.empty((ABREAST, CLASSES), np.float32), np.empty((ABREAST, CLASSES), np.float32)
 
 
 def forward(weights: np.ndarray, bias: np.ndarray, active: np.ndarray) -> np.ndarray:
     """Log probabilities of the classes for each position."""
-    z = raised(weights, bias, active)
+    z = weights[active].sum(0) + bias
+    z -= z.max(1, keepdims=True)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def log_shares(weights: np.ndarray, bias: np.ndarray, power: np.ndarray, active: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Log probability of each position's class, that which ``forward`` gives it."""
+    out = weights[active, cls].sum(0, dtype=np.float64)
+    out += bias[cls]
+    held = abreast()
+    for low in range(0, len(cls), ABREAST):
+        out[low : low + ABREAST] -= np.log(scored(power, active[:, low : low + ABREAST], held)[1])
+    return out
+
+
 def add_observed(total: np.ndarray, active: np.ndarray, cls: np.ndarray, times: np.ndarray | None = None) -> None:
     """Count the classes that follow each feature, every position ``times`` (once)."""
     for row in active:
@@ -145,27 +180,50 @@ def add_observed(total: np.ndarray, active: np.ndarray, cls: np.ndarray, times:
 
 def add_expected(total: np.ndarray, weights: np.ndarray, bias: np.ndarray, active: np.ndarray, times: np.ndarray | None = None) -> None:
     """Add, for every feature that occurs, the probabilities of the classes in whole units, every position ``times`` (once)."""
-    share = raised(weights, bias, active)
-    np.exp(share, out=share)
-    share *= UNIT / share.sum(1, keepdims=True)
-    share = np.rint(share, out=share).astype(np.int32)
-    if times is not None:
-        share = share * times[:, None]  # in 64 bits
-    order = np.argsort(active.ravel().astype(np.int16), kind="stable")  # a radix sort; rows are below 2**15
-    row = active.ravel()[order]
-    order %= active.shape[1]
+    add_shares(total, powers(weights, bias), active, times)
+
+
+def add_shares(total: np.ndarray, power: np.ndarray, active: np.ndarray, times: np.ndarray | None = None) -> None:
+    """``add_expected`` of the weights behind ``power``, for up to ``MINIBATCH`` positions at a time."""
+    held = abreast()
+    rarely = times is None or times.max(initial=0) <= RARELY
+    whole = np.empty((min(MINIBATCH, active.shape[1]), CLASSES), np.int32 if rarely else np.int64)
+    for start in range(0, active.shape[1], MINIBATCH):
+        own = active[:, start : start + MINIBATCH]
+        share = whole[: own.shape[1]]
+        for low in range(0, len(share), ABREAST):
+            score, every = scored(power, own[:, low : low + ABREAST], held)
+            score *= (np.float32(UNIT) / every)[:, None]
+            share[low : low + ABREAST] = np.rint(score, out=score)
+        if times is not None:
+            share *= times[start : start + MINIBATCH, None].astype(share.dtype)
+        for row in own:
+            add_by_row(total, share, row)
+
+
+def add_by_row(total: np.ndarray, share: np.ndarray, row: np.ndarray) -> None:
+    """``np.add.at(total, row, share)``, an occurrence of all rows at a time, frequent rows each by itself."""
+    order = np.argsort(row.astype(np.int16), kind="stable")  # a radix sort; rows are below 2**15
+    row = row[order]
     head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     size = np.diff(np.append(head, len(row)))
     frequent = np.argsort(-size, kind="stable")
-    head, size = head[frequent], size[frequent]
-    part = share[order[head]]
+    head, size, row = head[frequent], size[frequent], row[head[frequent]]
+    held = np.empty((RUN, share.shape[1]), share.dtype)
     many = int(np.searchsorted(-size, -FEW))
-    for i, (start, n) in enumerate(zip(head[:many].tolist(), size[:many].tolist(), strict=True)):
-        part[i] = share[order[start : start + n]].sum(0, dtype=share.dtype)
-    for j in range(1, FEW):
-        upto = max(many, int(np.searchsorted(-size, -j)))  # those that occur more than j times
-        part[many:upto] += share[order[head[many:upto] + j]]
-    total[row[head]] += part
+    for one, start, end in zip(row[:many].tolist(), head[:many].tolist(), (head + size)[:many].tolist(), strict=True):
+        for low in range(start, end, RUN):
+            at = order[low : min(low + RUN, end)]
+            # rows that are sorted already stand together
+            near = share[at[0] : at[-1] + 1] if at[-1] - at[0] + 1 == len(at) else np.take(share, at, 0, held[: len(at)], "clip")
+            total[one] += near.sum(0, dtype=share.dtype)
+    for low in range(many, len(row), RUN):
+        first, n = head[low : low + RUN], size[low : low + RUN]
+        part = share[order[first]]
+        for j in range(1, int(n[0])):
+            upto = int(np.searchsorted(-n, -j))  # those that occur more than j times
+            part[:upto] += np.take(share, order[first[:upto] + j], 0, held[:upto], "clip")
+        total[row[low : low + RUN]] += part
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +262,25 @@ def features_of(history: np.ndarray) -> np.ndarray:
     return np.stack([history // BUCKETS ** (KINDS - 1 - k) % BUCKETS + k * BUCKETS for k in range(KINDS)])
 
 
+def packed(code: np.ndarray) -> bytes:
+    """Sorted codes: first the lower halves of all, then the higher ones, which hardly change and so take no room."""
+    return code.astype(np.uint32).tobytes() + (code >> 32).astype(np.uint16).tobytes()
+
+
+def unpacked(data: pa.Buffer) -> np.ndarray:
+    n = data.size // 6
+    return np.frombuffer(data, np.uint32, n).astype(np.int64) | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.int64) << 32
+
+
 def histories(training: DataFrame, known: Broadcast) -> DataFrame:
-    """Rows of up to ``TOGETHER_ROW`` codes (see ``coded``), sorted, and n, how often each occurs among some
+    """Rows of up to ``TOGETHER_ROW`` codes (see ``coded``), sorted and ``packed``, and n, how often each occurs among some
     ``TOGETHER`` tokens. A code may be in several rows."""
 
     def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         code, n = np.unique(np.concatenate(held), return_counts=True)
         for k in range(0, len(code), TOGETHER_ROW):
             own = slice(k, k + TOGETHER_ROW)
-            yield pa.RecordBatch.from_arrays([pa.array([x[own].astype(np.int64).tobytes()], pa.binary()) for x in (code, n)], ["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (packed(code[own]), n[own].astype(np.int64).tobytes())], ["code", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -234,7 +302,8 @@ def summed(seen: DataFrame, model: Broadcast | None) -> np.ndarray:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((KINDS * BUCKETS, CLASSES), np.int64)
-        rows = ([np.frombuffer(x.as_buffer(), np.int64) for x in row] for batch in batches for row in zip(*batch.columns, strict=True))
+        power = None if model is None else powers(*model.value)
+        rows = ((unpacked(code.as_buffer()), np.frombuffer(n.as_buffer(), np.int64)) for batch in batches for code, n in zip(*batch.columns, strict=True))
         for code, n in rows:
             if model is None:
                 add_observed(total, features_of(code // CLASSES), code % CLASSES, n)
@@ -242,12 +311,9 @@ def summed(seen: DataFrame, model: Broadcast | None) -> np.ndarray:
             history = code // CLASSES
             head = np.flatnonzero(np.append(True, history[1:] != history[:-1]))
             history, n = history[head], np.add.reduceat(n, head)
-            # nearly all occur once: their sums stay below 2**31
-            for part, times in ((history[n == 1], None), (history[n > 1], n[n > 1])):
-                active = features_of(part)
-                for low in range(0, len(part), MINIBATCH):
-                    own = slice(low, low + MINIBATCH)
-                    add_expected(total, *model.value, active[:, own], None if times is None else times[own])
+            # nearly all occur once or little more: their sums stay below 2**31
+            for some in (n <= RARELY, n > RARELY):
+                add_shares(total, power, features_of(history[some]), n[some])
         chunks = {k // CHUNK: total[k : k + CHUNK] for k in range(0, len(total), CHUNK) if total[k : k + CHUNK].any()}
         yield as_rows(chunks, TaskContext.get().partitionId() // SIBLINGS)
 
@@ -314,6 +380,7 @@ def score(docs: DataFrame, column: str = "text") -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w, b = model.value
+        power = powers(w, b)
         denominator = np.log10(known.total + 0.5 * (known.kinds + 1))
         inside = np.log10(known.shared_total + 0.5 * (known.shared_kinds + 1))
         serial = TaskContext.get().partitionId() << 33
@@ -321,12 +388,7 @@ def score(docs: DataFrame, column: str = "text") -> DataFrame:
             for batch in slices(whole, "text", 1 << 20):
                 token, at = tokens(batch.column("text"))
                 cls, count = known.find(token)
-                active = features(token, at)
-                log = np.empty(len(token))
-                for low in range(0, len(token), MINIBATCH):
-                    z = forward(w, b, active[:, low : low + MINIBATCH])
-                    log[low : low + MINIBATCH] = z[np.arange(len(z)), cls[low : low + MINIBATCH]]
-                log /= np.log(10)
+                log = log_shares(w, b, power, features(token, at), cls) / np.log(10)
                 shared = cls >= SINGLES
                 log[shared] -= inside[cls[shared] - SINGLES]
                 frequent = count >= 0

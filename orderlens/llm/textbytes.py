@@ -16,6 +16,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes hashed in one go; bounds the scratch arrays (about 40 bytes for each).
 PIECE = 1 << 20
+#: Of words that aren't longer than _BLOCK so many, in which the scratch arrays stay in the cache.
+NEAR = 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,6 +41,8 @@ def seeds(n: int, salt: int) -> np.ndarray:
 
 _BYTE = seeds(256, 11)
 _LOW = np.cumprod(np.full(_BLOCK, 0xF1357AEA2E62A9C5, np.uint64))
+_POWER = np.cumprod(np.full(NEAR + _BLOCK, 0xF1357AEA2E62A9C5, np.uint64))
+_BACK = np.cumprod(np.append(np.uint64(1), np.full(NEAR, pow(0xF1357AEA2E62A9C5, -1, 1 << 64), np.uint64)))
 _GRAM = seeds(64, 23)
 
 
@@ -83,6 +87,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return out
     length = ends - starts
+    if int(length.max()) <= _BLOCK:
+        # powers go on from word to word, each word's sum is brought back to its own first power
+        cuts = np.unique(np.searchsorted(starts, np.append(np.arange(starts[0], starts[-1] + 1, NEAR), starts[-1] + 1))).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            first, last = starts[a:b] - starts[a], ends[a:b] - starts[a] - 1
+            value = _BYTE[data[starts[a] : ends[b - 1]]]
+            value *= _POWER[: len(value)]
+            upto = np.cumsum(value)
+            out[a:b] = (upto[last] - upto[first] + value[first]) * _BACK[first]
+        return mix(out + length.astype(np.uint64) * _BYTE[7])
     total = np.cumsum(length)
     cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, int(total[-1]), PIECE), "left"), len(starts)))
     if cuts[0]:
@@ -107,6 +121,24 @@ def words(
     return span_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, offsets, "left")
 
 
+def slots(known: np.ndarray) -> np.ndarray:
+    """Where the hashes that share their first bits begin among sorted ones: about a slot for each."""
+    bits = max(len(known).bit_length(), 1)
+    return np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+
+
+def places(known: np.ndarray, slot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """``np.searchsorted(known, hashes)``, from the hashes' ``slots`` on instead of by bisection."""
+    at = slot[(hashes >> np.uint64(65 - len(slot).bit_length())).view(np.int64)]
+    left = np.flatnonzero(at < len(known))
+    left = left[known[at[left]] < hashes[left]]
+    while len(left):
+        at[left] += 1
+        left = left[at[left] < len(known)]
+        left = left[known[at[left]] < hashes[left]]
+    return at
+
+
 def ngrams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words inside one text, and the offsets of the texts among them.
 

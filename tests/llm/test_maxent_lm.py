@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from orderlens.llm import maxent_lm
+from orderlens.llm.textbytes import places, slots
 
 
 def tokens(text):
@@ -196,3 +197,43 @@ def test_training_goes_on_after_the_first_update(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "ROUNDS", 1)
     once = maxent_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.score for r in got if not r.held_out) > sum(r.score for r in once if not r.held_out)
+
+
+def test_products_of_powers_are_the_softmax(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "ABREAST", 64)
+    active, _, rng = drawn(6, 500)
+    cls = rng.integers(0, maxent_lm.CLASSES, 500)
+    w = rng.normal(size=(3 * maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32)
+    b = rng.normal(size=maxent_lm.CLASSES).astype(np.float32)
+    got = maxent_lm.log_shares(w, b, maxent_lm.powers(w, b), active, cls)
+    assert np.allclose(got, maxent_lm.forward(w, b, active)[np.arange(500), cls], atol=1e-5)
+
+
+def test_sums_by_row_are_exact_for_rare_and_frequent_rows(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "RUN", 16)
+    rng = np.random.default_rng(8)
+    for row in (rng.zipf(1.2, 3000).clip(0, 400), np.sort(rng.integers(0, 9, 3000)), np.arange(3000)):
+        share, want = rng.integers(0, maxent_lm.UNIT, (3000, 4)).astype(np.int32), np.zeros((3000, 4), np.int64)
+        got = want.copy()
+        np.add.at(want, row, share)
+        maxent_lm.add_by_row(got, share, row)
+        assert (got == want).all()
+    times, (active, _, _) = rng.integers(1, 9000, 2000), drawn(9)
+    w, once, many = rng.normal(size=(3 * maxent_lm.BUCKETS, maxent_lm.CLASSES)), *(np.zeros((3 * maxent_lm.BUCKETS, maxent_lm.CLASSES), np.int64) for _ in range(2))
+    power = maxent_lm.powers(w.astype(np.float32), np.zeros(maxent_lm.CLASSES, np.float32))
+    maxent_lm.add_shares(once, power, active[:, :1])
+    maxent_lm.add_shares(many, power, np.repeat(active[:, :1], 2000, 1), times)
+    assert (many == once * times.sum()).all()
+
+
+def test_packed_codes_come_back():
+    code = np.sort(np.random.default_rng(5).integers(0, maxent_lm.BUCKETS**3 * maxent_lm.CLASSES, 999))
+    assert (maxent_lm.unpacked(pa.py_buffer(maxent_lm.packed(code))) == code).all()
+
+
+def test_places_are_those_of_bisection():
+    rng = np.random.default_rng(4)
+    near = np.array([0, 1, 2, 3, 2**63 - 1, 2**63, 2**63 + 1, 2**64 - 1], np.uint64)
+    for known in (near[:0], near[:1], near[-1:], near[1:4], np.unique(rng.integers(0, 2**64, 999, dtype=np.uint64))):
+        asked = np.concatenate((near, known, rng.integers(0, 2**64, 999, dtype=np.uint64)))
+        assert (places(known, slots(known), asked) == np.searchsorted(known, asked)).all()
