@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructType
 
 from orderlens.llm.common import apart, bounded_batches, in_arrow, text_or_empty
-from orderlens.llm.textbytes import PUNCTUATION, mix, plain_words, slices, word_spans
+from orderlens.llm.textbytes import PUNCTUATION, mix, places, plain_words, slices, slots, word_spans
 from orderlens.session import stage
 
 BUCKETS, RANK, EXTRA, POWER = 1 << 14, 64, 16, 2
 #: A word that an item repeats this often or more counts wherever it stands in a run.
 OFTEN = 8
 BLOCK = 8
-#: Words of a passage, and passages that are multiplied together.
-PASSAGE, TOGETHER = 48, 24
+#: Words of a passage, passages that are multiplied together, and occurrences in these that make a feature frequent.
+PASSAGE, TOGETHER, FREQUENT = 48, 512, 24
 #: Share of the cosine of an unchanged copy, among as many other words as its run holds, that makes a candidate.
 COSINE = 0.55
 SAME, LOOSE = 0.8, 0.6
@@ -110,33 +110,55 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def passages(bucket: np.ndarray, bounds: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, weight) of every word, in passages of PASSAGE words, a shorter rest included."""
+    """Passage of every word, in passages of PASSAGE words, a shorter rest included, and one over each passage's length."""
     count = -(-np.diff(bounds) // PASSAGE)
     inner = np.arange(len(bucket)) - np.repeat(bounds[:-1], np.diff(bounds))
     passage = np.repeat(np.cumsum(count) - count, np.diff(bounds)) + inner // PASSAGE
-    weight = idf[bucket].astype(np.float32)
-    total = np.bincount(passage, weight.astype(np.float64) ** 2) if len(passage) else np.zeros(0)
-    return passage, weight / np.sqrt(np.maximum(total[passage], 1e-12)).astype(np.float32)
-
-
-def add_products(total: np.ndarray, basis: np.ndarray, bucket: np.ndarray, passage: np.ndarray, weight: np.ndarray, gram: bool) -> None:
-    """Add (A B)^T (A B) if ``gram``, else A^T (A B), of these passages A and ``basis`` B."""
+    return passage, 1 / np.sqrt(np.maximum(np.bincount(passage, (idf.astype(np.float64) ** 2)[bucket]), 1e-12)).astype(np.float32)
+
+
+def add_rows(total: np.ndarray, row: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
+    """``np.add.at(total, row, source[at])`` for sorted ``row``, an occurrence of all rows at a time."""
+    head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    size = np.diff(np.append(head, len(row)))
+    order = np.argsort(-size, kind="stable")
+    head, size, row = head[order], size[order], row[head[order]]
+    part = np.take(source, at[head], 0)
+    more = np.empty_like(part)
+    upto = np.searchsorted(-size, -np.arange(1, int(size[0]))).tolist()  # those that occur more than j times
+    for j, n in enumerate(upto, 1):
+        part[:n] += np.take(source, at[head[:n] + j], 0, more[:n], "clip")
+    total[row] += part
+
+
+def add_products(total: np.ndarray, scaled: np.ndarray, bucket: np.ndarray, passage: np.ndarray, weight: np.ndarray, gram: bool) -> None:
+    """Add (A B)^T (A B) if ``gram``, else A^T (A B), of these passages, with A a word's number in a passage by
+    ``weight`` and B ``scaled``."""
     local = np.empty(BUCKETS, np.int64)
     cuts = np.searchsorted(passage, np.arange(0, int(passage[-1]) + 1 + TOGETHER, TOGETHER)).tolist()
-    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-        own, place = bucket[low:high], passage[low:high] - passage[low]
-        # few passages have few features: a small dense matrix
-        seen = np.zeros(BUCKETS, bool)
-        seen[own] = True
-        active = np.flatnonzero(seen)
+    for first, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        own, place = bucket[low:high], passage[low:high] - first * TOGETHER
+        each = weight[first * TOGETHER : (first + 1) * TOGETHER, None]
+        times = np.bincount(own, minlength=BUCKETS)
+        # frequent features make a small dense matrix, the others are added one by one
+        active = np.flatnonzero(times >= FREQUENT)
         local[active] = np.arange(len(active))
-        dense = np.zeros((int(place[-1]) + 1, len(active)), np.float32)
-        np.add.at(dense.ravel(), place * len(active) + local[own], weight[low:high])
-        shown = dense @ basis[active]
+        often = times[own] >= FREQUENT
+        dense = np.bincount(place[often] * len(active) + local[own[often]], minlength=len(each) * len(active)).astype(np.float32).reshape(len(each), len(active))
+        shown = dense @ scaled[active]
+        seldom = np.flatnonzero(~often)
+        own, place = own[seldom], place[seldom]
+        if len(own):
+            add_rows(shown, place, scaled, own)
+        shown *= each
         if gram:
             total += shown.T @ shown
-        else:
-            total[active] += dense.T @ shown
+            continue
+        shown *= each
+        total[active] += dense.T @ shown
+        if len(own):
+            order = np.argsort(own.astype(np.int16), kind="stable")  # a radix sort; features are below 2**15
+            add_rows(total, own[order], shown, place[order])
 
 
 def _summed(texts: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
@@ -146,11 +168,14 @@ def _summed(texts: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = given.value
+        scaled = basis * idf[:, None]
         total = np.zeros((height, width), np.float32)
         for batch in batches:
             bucket, bounds = unpacked(batch.column("features"))
             if len(bucket):
-                add_products(total, basis, bucket, *passages(bucket, bounds, idf), gram)
+                add_products(total, scaled, bucket, *passages(bucket, bounds, idf), gram)
+        if not gram:
+            total *= idf[:, None]
         parts = [total[k : k + CHUNK].tobytes() for k in range(0, height, CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part"])
 
@@ -223,6 +248,27 @@ def neighbours(hashes: np.ndarray, n: int) -> np.ndarray:
     return code
 
 
+def sums_from(rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``size`` rows one below the other, by the first of them, from sums of powers of two rows."""
+    n, at, width, out = len(rows) - size + 1, 0, 1, None
+    while True:
+        if size & width:
+            out = rows[at : at + n] if out is None else out + rows[at : at + n]
+            at += width
+        if at == size:
+            return out
+        rows = rows[:-width] + rows[width:]
+        width *= 2
+
+
+def reached(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Places in the flat ``rows`` that are at least ``least`` of their column, many rows compared in one stroke."""
+    many = 64
+    even = len(rows) // many * many
+    found = np.flatnonzero(rows[:even].reshape(-1, many * len(least)) >= np.tile(least, many))
+    return np.append(found, np.flatnonzero(rows[even:] >= least) + even * len(least))
+
+
 class Searcher:
     """The items of one group, with their coordinates."""
 
@@ -239,6 +285,7 @@ class Searcher:
         self.place = place / np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-12)
         # how often each word of any item stands in every item
         self.known = np.unique(np.array([w for own in self.words for w in own], np.uint64))
+        self.slot = slots(self.known)
         self.times = np.zeros((len(self.known) + 1, len(self.words)), np.uint8)
         for k, w in enumerate(self.words):
             own, n = np.unique(np.array(w, np.uint64), return_counts=True)
@@ -276,18 +323,29 @@ class Searcher:
             out.append(at + k * (len(hashes) + 1))
         return np.concatenate(out)
 
-    def shared(self, word: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray) -> np.ndarray:
+    def shared(self, word: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Words that each item has in common with the words from ``low`` to ``high``, as often as both have them."""
         out = np.zeros(len(low), np.int64)
         width = int((high - low).max(initial=1))
         step = max(1, (1 << 18) // width)
+        asked = np.zeros(len(word), bool)
+        for i in range(0, len(low), step):
+            asked[np.minimum(low[i : i + step, None] + np.arange(width), len(word) - 1)] = True
+        # where equal words stand before those asked for
+        some = np.flatnonzero(asked & (word < len(self.known)))
+        order = np.argsort(word[some].astype(np.int16 if len(self.known) < 1 << 15 else np.int32), kind="stable")
+        before, number = np.full((OFTEN + 1, len(some) + 1), -1, np.int32), np.full(len(word), len(some), np.int32)
+        before[0], number[some] = np.iinfo(np.int32).max, np.arange(len(some))
+        for k in range(1, OFTEN):
+            same = word[some[order[k:]]] == word[some[order[:-k]]]
+            before[k, order[k:][same]] = some[order[:-k][same]]
         for i in range(0, len(low), step):
             first, k = low[i : i + step, None], items[i : i + step, None]
             at = first + np.arange(width)
             inside = at < high[i : i + step, None]
             at = np.minimum(at, len(word) - 1)
             # a word counts if as many equal ones as the item has don't stand before it in the run
-            out[i : i + step] = ((before[self.times[word[at], k], at] < first) & inside).sum(1)
+            out[i : i + step] = ((before[self.times[word[at], k], number[at]] < first) & inside).sum(1)
         return out
 
     def candidates(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, float, bool, float]]:
@@ -300,53 +358,63 @@ class Searcher:
         inner = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
         start = bounds[text] + inner * BLOCK
         last = np.cumsum(count)[text]
-        # the words as rows of times, and where equal ones stand before them
-        word = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        blocks = len(text)
+        # the words as rows of times
+        word = np.minimum(places(self.known, self.slot, hashes), len(self.known) - 1)
         word = np.where(self.known[word] == hashes, word, len(self.known)).astype(np.int32)
         some = np.flatnonzero(word < len(self.known))
         order = some[np.argsort(word[some].astype(np.int16 if len(self.known) < 1 << 15 else np.int32), kind="stable")]
-        before = np.full((OFTEN + 1, len(word)), -1, np.int32)
-        before[0] = np.iinfo(np.int32).max
-        for k in range(1, OFTEN):
-            same = word[order[k:]] == word[order[:-k]]
-            before[k, order[k:][same]] = order[:-k][same]
         cut = np.append(np.flatnonzero(np.append(True, word[order][1:] != word[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
         occurs = {int(hashes[order[a]]): order[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)}
         answers = self.answered(hashes, occurs)
-        # sums of blocks, a word of each block at a time
+        # how many words of each item stand in a block, a word of each block at a time
         place = np.arange(len(hashes)) - np.repeat(bounds[:-1], n) + np.repeat((np.cumsum(count) - count) * BLOCK, n)
-        cells, feature = np.full(len(text) * BLOCK, len(self.known), np.int32), np.full(len(text) * BLOCK, BUCKETS, np.int32)
+        cells, feature = np.full(blocks * BLOCK, len(self.known), np.int32), np.full((blocks + 1) * BLOCK, BUCKETS, np.int32)
         cells[place], feature[place] = word, buckets(hashes)
-        cells, feature = cells.reshape(-1, BLOCK).T, feature.reshape(-1, BLOCK).T
-        met = (self.times > 0).astype(np.uint8)
-        sums, held = self.weighted[feature[0]], met[cells[0]]
+        cells, feature = cells.reshape(-1, BLOCK).T, feature.reshape(-1, BLOCK)
+        met = (self.times[:, np.concatenate([*self.runs.values()])] > 0).astype(np.uint8)
+        held, more = met[cells[0]], np.empty((blocks, met.shape[1]), np.uint8)
         for j in range(1, BLOCK):
-            sums += self.weighted[feature[j]]
-            held += met[cells[j]]
-        upto = np.concatenate((np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)))
-        held = np.concatenate((np.zeros((1, held.shape[1]), np.uint32), np.cumsum(held, axis=0, dtype=np.uint32)))
+            held += np.take(met, cells[j], 0, more, "clip")
+        # sums of blocks where a run may be a candidate, and of no words
+        sums, done = np.zeros((blocks + 1, self.weighted.shape[1]), np.float32), np.zeros(blocks + 1, bool)
+        column = 0
         for length, group in self.runs.items():
-            items = np.array(group)
+            items, column = np.array(group), column + len(group)
             # runs that end where the text does, with fewer blocks, are parts of longer ones except the first
-            use = np.flatnonzero((inner == 0) | (inner + length <= count[text]))
+            use = (inner == 0) | (inner + length <= count[text])
             least = np.array([COSINE * np.sqrt(len(self.words[k]) / (length * BLOCK)) for k in group], np.float32)
-            weight, enough = held[:, items], np.ceil(self.least[items]).astype(np.uint32)
-            most = np.ceil(SAME * np.array([len(self.words[k]) for k in group])).astype(np.uint32)
-            place_of = np.ascontiguousarray(self.place[items].T)
-            for at in range(0, len(use), 4096):
-                run = use[at : at + 4096]
-                # the run with a block on each side must hold as many of the item's words, whatever their order
-                left, right = run - (inner[run] > 0), np.minimum(run + length + 1, last[run])
-                there = weight[right] - weight[left]
-                some = np.flatnonzero((there >= enough).any(1))  # no other run can have a candidate
-                if not len(some):
-                    continue
-                run, left, right, there = run[some], left[some], right[some], there[some]
-                own = (upto[np.minimum(run + length, last[run])] - upto[run]).astype(np.float32)
-                cosine = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12) @ place_of
-                row, k = np.nonzero((there >= most) | (cosine >= least) & (there >= enough))
-                low, high = start[left[row]], np.minimum(start[run[row]] + (length + 1) * BLOCK, bounds[text[run[row]] + 1])
-                item, cosine, have = items[k], cosine[row, k], there[row, k]
+            # the run with a block on each side, here of the next text too, must hold as many of the item's words, whatever their order
+            most = (length + 2) * BLOCK
+            kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+            enough, plenty = np.ceil(self.least[items]).astype(kind), np.ceil(SAME * np.array([len(self.words[k]) for k in group]))
+            padded = np.zeros((blocks + length + 2, len(items)), kind)
+            padded[1 : blocks + 1] = held[:, column - len(items) : column]
+            there = sums_from(padded, length + 2)[:blocks]
+            row, k = np.divmod(reached(there, enough), len(items))
+            row, k = row[use[row]], k[use[row]]
+            if len(row):
+                run, own_run = np.unique(row, return_inverse=True)
+                members = run[:, None] + np.arange(length)
+                members = np.where(members < last[run][:, None], members, blocks)
+                new = np.zeros(blocks + 1, bool)
+                new[members] = True
+                new = np.flatnonzero(new & ~done)
+                sums[new] = self.weighted[feature[new, 0]]
+                for j in range(1, BLOCK):
+                    sums[new] += self.weighted[feature[new, j]]
+                done[new] = True
+                own = np.zeros((len(run), sums.shape[1]))
+                for j in range(length):
+                    own += sums[members[:, j]]
+                own = own.astype(np.float32)
+                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+                cosine, have = (own @ self.place[items].T)[own_run, k], there[row, k]
+                some = np.flatnonzero((have >= plenty[k]) | (cosine >= least[k]))
+                row, k, cosine, have = row[some], k[some], cosine[some], have[some]
+                left = row - (inner[row] > 0)
+                low, high = start[left], np.minimum(start[row] + (length + 1) * BLOCK, bounds[text[row] + 1])
+                item = items[k]
                 size = np.array([len(self.words[i]) for i in item.tolist()], np.int64)
                 there = np.zeros(len(item), bool)
                 if len(answers):
@@ -356,9 +424,9 @@ class Searcher:
                     there = (next_ < len(answers)) & (answers[np.minimum(next_, len(answers) - 1)] <= ends)
                 need = np.where(there & (cosine >= least[k]), LOOSE, SAME) * size
                 good = np.flatnonzero(have >= need)
-                good = good[self.shared(word, before, low[good], high[good], item[good]) >= need[good]]
+                good = good[self.shared(word, low[good], high[good], item[good]) >= need[good]]
                 for i in good[np.argsort(-cosine[good], kind="stable")].tolist():
-                    yield int(text[run[row[i]]]), int(item[i]), int(low[i]), int(high[i]), float(need[i]), bool(there[i]), float(cosine[i])
+                    yield int(text[row[i]]), int(item[i]), int(low[i]), int(high[i]), float(need[i]), bool(there[i]), float(cosine[i])
 
     def whole(self, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, dict[int, tuple[int, bool, float]]]:
         """Like ``leaks``, the items of less than ``SHORTEST`` words: all of them next to each other."""

@@ -190,3 +190,39 @@ def test_many_documents_leave_none_out(spark, monkeypatch):
     items = spark.createDataFrame([(1, "document number 20999 holds few words"), (2, None)], "item_id long, text string")
     assert 1 in {r.item_id for r in d.leaked(docs, items).collect()}
     assert seen == [21_000]  # the item equals a document's text
+
+
+def test_sums_and_products_are_those_of_plain_loops(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 9, (90, 4)).astype(np.uint8)
+    for size in (*range(1, 18), 90):
+        want = np.array([rows[i : i + size].sum(0) for i in range(91 - size)])
+        assert (d.sums_from(rows.astype(np.uint16), size) == want).all()
+    least = np.array([3, 8, 9, 0], np.uint8)
+    for n in (0, 5, 64, 90):
+        assert (d.reached(rows[:n], least) == np.flatnonzero(rows[:n] >= least)).all()
+    # features that are frequent among the passages taken together, and others
+    monkeypatch.setattr(d, "TOGETHER", 7)
+    bounds = np.cumsum([0, 500, 0, 3, 1, 700, 48])
+    bucket = np.where(rng.random(bounds[-1]) < 0.5, rng.integers(0, 3, bounds[-1]), rng.integers(0, d.BUCKETS, bounds[-1]))
+    idf, basis = rng.uniform(0.1, 5, d.BUCKETS).astype(np.float32), rng.standard_normal((d.BUCKETS, 6)).astype(np.float32)
+    passage, weight = d.passages(bucket, bounds, idf)
+    a = np.zeros((passage[-1] + 1, d.BUCKETS))
+    np.add.at(a, (passage, bucket), idf[bucket] * weight[passage])
+    assert passage[-1] + 1 == 11 + 1 + 1 + 15 + 1
+    for frequent in (1, 12, 10_000):
+        monkeypatch.setattr(d, "FREQUENT", frequent)
+        for gram, want in ((True, (a @ basis).T @ (a @ basis)), (False, a.T @ (a @ basis))):
+            total = np.zeros(want.shape, np.float32)
+            d.add_products(total, basis * idf[:, None], bucket, passage, weight, gram)
+            assert np.allclose(total if gram else total * idf[:, None], want, rtol=1e-3, atol=1e-2)
+
+
+def test_small_items_and_long_ones_at_the_ends_of_texts():
+    word = [f"w{k}" for k in range(700)]
+    texts = [" ".join(word[:5]), " ".join(word[100:400]), " ".join(word[400:408])]  # sums beyond 255 for the second one
+    idf, space = np.ones(d.BUCKETS, np.float32), np.random.default_rng(1).standard_normal((d.BUCKETS, d.RANK)).astype(np.float32)
+    searcher = d.Searcher([0, 1, 2], texts, idf, space)
+    rows = ["", texts[0], "x " * 13 + texts[1], texts[2] + " x" * 40, "x y " + texts[0], texts[0][:5], "", texts[1] + " " + texts[2]]
+    got = searcher.leaks(*d.plain_words(pa.array(rows)))
+    assert {t: set(own) for t, own in got.items()} == {1: {0}, 2: {1}, 3: {2}, 4: {0}, 7: {1, 2}}
